@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -76,57 +77,40 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, encode), "")
 
 
+def _cut(text: str, terms: list[tuple[str, bool]], size: int, left: str, right: str, gap: str) -> str:
+    found = list(re.finditer(r"[^\W_]+", text))
+    folded = [fold_py(m.group()) for m in found]
+    term_of = [next((i for i, (t, prefix) in enumerate(terms) if (w.startswith(t) if prefix else w == t)), -1)
+               for w in folded]
+    hits = [i for i, t in enumerate(term_of) if t >= 0]
+    best, start = -1, 0
+    for n, i in enumerate(hits):
+        inside = [j for j in hits[n:n + size] if j < i + size]
+        different = len({term_of[j] for j in inside})
+        score = different * 1000 + len(inside) - different
+        if score > best:
+            slack = (size - (inside[-1] + 1 - i)) // 2
+            best, start = score, max(0, min(i - slack, len(found) - size))
+    shown = range(start, min(start + size, len(found)))
+    out, at = [], found[start].start() if start else 0
+    for i in shown:
+        word = found[i].group()
+        out += [text[at:found[i].start()], left + word + right if term_of[i] >= 0 else word]
+        at = found[i].end()
+    ends = start + size >= len(found)
+    return (gap if start else "") + "".join(out) + (text[at:] if ends else gap)
+
+
 def snippet(text: Column, terms: list[tuple[str, bool]], size: int = 12,
             left: str = "«", right: str = "»", gap: str = "…") -> Column:
     """Fragment of ``size`` words around the densest match, hits marked and cut ends shown by ``gap``.
 
     A window starting at a hit scores 1000 for every different term it contains and 1 for each further
-    hit; the best one is then centred on its hits.
+    hit; the best one is then centred on its hits. Meant for the rows of one result page.
     """
-    # one piece = the separators before a word, and the word as written
-    pieces = F.transform(
-        F.regexp_extract_all(text, F.lit(r"([^\p{L}\p{N}]*[\p{L}\p{N}\p{M}]+)"), F.lit(1)),
-        lambda p: F.struct(
-            F.regexp_extract(p, r"^([^\p{L}\p{N}]*)", 1).alias("sep"),
-            F.regexp_replace(p, r"^[^\p{L}\p{N}]*", "").alias("word"),
-        ),
-    )
-
-    def term_of(piece: Column) -> Column:
-        word = fold(piece["word"])
-        chosen = F.lit(-1)
-        for i, (term, prefix) in reversed(list(enumerate(terms))):
-            chosen = F.when(F.startswith(word, F.lit(term)) if prefix else word == term, F.lit(i)).otherwise(chosen)
-        return chosen
-
-    hit = F.transform(pieces, term_of)
-    count = F.size(pieces)
-
-    def window(position: Column) -> Column:
-        inside = F.filter(F.transform(F.slice(hit, position + 1, F.lit(size)),
-                                      lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
-                          lambda s: s["term"] >= 0)
-        different = F.size(F.array_distinct(F.transform(inside, lambda s: s["term"])))
-        reach = F.element_at(inside, -1)["at"] + 1
-        start = position - F.floor((F.lit(size) - reach) / 2).cast("int")
-        return F.struct(
-            (different * 1000 + F.size(inside) - different).alias("score"),
-            (-position).alias("earliest"),
-            F.greatest(F.lit(0), F.least(start, count - size)).alias("start"),
-        )
-
-    positions = F.filter(F.sequence(F.lit(0), count - 1), lambda p: F.get(hit, p) >= 0)
-    start = F.array_max(F.transform(positions, window))["start"]
-
-    def render(piece: Column, i: Column) -> Column:
-        marked = F.when(F.get(hit, start + i) >= 0, F.concat(F.lit(left), piece["word"], F.lit(right))) \
-            .otherwise(piece["word"])
-        return F.concat(F.when((i == 0) & (start > 0), F.lit("")).otherwise(piece["sep"]), marked)
-
-    body = F.array_join(F.transform(F.slice(pieces, start + 1, F.lit(size)), render), "")
-    tail = F.regexp_extract(text, r"([^\p{L}\p{N}]*)\z", 1)
-    return F.concat(
-        F.when(start > 0, F.lit(gap)).otherwise(F.lit("")),
-        body,
-        F.when(start + size < count, F.lit(gap)).otherwise(tail),
-    )
+    @F.arrow_udf("string")
+    def fragment(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _cut(t, terms, size, left, right, gap) for t in texts.to_pylist()],
+                        pa.string())
+
+    return fragment(text)

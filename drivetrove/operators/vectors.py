@@ -200,12 +200,13 @@ def _meet(anchored: DataFrame, routed: DataFrame, sizes: DataFrame, work, schema
         "cell", "entry_id", "vec",
         F.pmod(F.xxhash64("entry_id"), a_blocks).cast("int").alias("ablock"),
         F.explode(F.sequence(F.lit(0), r_blocks - 1)).alias("rblock"))
+    # new names: both sides may stem from the same table
     right = routed.select("entry_id", "vec", F.explode("cells").alias("cell")).join(sizes, "cell").select(
-        "cell", "entry_id", "vec",
-        F.explode(F.sequence(F.lit(0), a_blocks - 1)).alias("ablock"),
-        F.pmod(F.xxhash64("entry_id"), r_blocks).cast("int").alias("rblock"))
-    keys = ["cell", "ablock", "rblock"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+        F.col("cell").alias("r_cell"), F.col("entry_id").alias("r_id"), F.col("vec").alias("r_vec"),
+        F.explode(F.sequence(F.lit(0), a_blocks - 1)).alias("r_ablock"),
+        F.pmod(F.xxhash64("entry_id"), r_blocks).cast("int").alias("r_rblock"))
+    return left.groupBy("cell", "ablock", "rblock").cogroup(
+        right.groupBy("r_cell", "r_ablock", "r_rblock")).applyInArrow(work, schema)
 
 
 def _block_counts(anchored: DataFrame, routed: DataFrame, rows: int) -> DataFrame:
@@ -217,12 +218,11 @@ def _block_counts(anchored: DataFrame, routed: DataFrame, rows: int) -> DataFram
 
 
 def _sides(left: pa.Table, right: pa.Table):
-    def side(t: pa.Table):
-        ids = t.column("entry_id").to_numpy()
-        vec = t.column("vec").combine_chunks()
-        return ids, _matrix(vec, len(vec[0]) if len(vec) else 0)
+    def side(t: pa.Table, ids: str, vec: str):
+        vectors = t.column(vec).combine_chunks()
+        return t.column(ids).to_numpy(), _matrix(vectors, len(vectors[0]) if len(vectors) else 0)
 
-    return *side(left), *side(right)
+    return *side(left, "entry_id", "vec"), *side(right, "r_id", "r_vec")
 
 
 def _smallest_neighbour(anchored: DataFrame, routed: DataFrame, threshold: float, rows: int,

@@ -994,7 +994,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 
 @query("enrich_location", _NEAR + """SELECT c.id, gps_lat, gps_lon, b.p AS gps_place, captured_at, 'Make ' || p_brand AS camera_make, light_phase
-    FROM clips c JOIN near ON lat = gps_lat AND lon = gps_lon JOIN light l ON l.id = c.id""")
+    FROM clips c JOIN near ON near.lat = gps_lat AND near.lon = gps_lon JOIN light l ON l.id = c.id""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return enrich.enrich_location(cat.entries, cat["probes"], cat["gazetteer"]).select(
         "id", "gps_lat", "gps_lon", "gps_place", "captured_at", "camera_make", "light_phase")

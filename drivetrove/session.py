@@ -37,6 +37,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _size_setting(spark: SparkSession, key: str) -> int:
+    value = spark.conf.get(key).strip().lower().rstrip("b")
+    scale = {"k": 2**10, "m": 2**20, "g": 2**30}.get(value[-1:], 1)
+    return int(value.rstrip("kmg")) * scale
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when Catalyst's size estimate allows a broadcast, in which case it will choose one."""
+    limit = _size_setting(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= limit
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -49,12 +62,14 @@ def skew_join(
     """Join where ``left`` may hold a huge share of its rows under one key.
 
     Keys of ``left`` with more than ``hot_rows`` rows are spread over ``salts`` buckets and only the
-    matching rows of ``right`` are repeated. At most ``rows / hot_rows`` keys can be hot, so the list of
+    matching rows of ``right`` are repeated; a right side small enough to broadcast skips all that. At most ``rows / hot_rows`` keys can be hot, so the list of
     hot keys is small by construction. Valid for joins that never pad ``right``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
     keys = [on] if isinstance(on, str) else list(on)
+    if is_small(right):
+        return left.join(right, keys, how)  # a broadcast join has no hot task
     hot = (
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
