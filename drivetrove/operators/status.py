@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from drivetrove.catalog import Catalog
+from drivetrove.schema import conform
 
 DRIFT_BYTES = 5 * 1024**3
 DRIFT_SHARE = 0.15
@@ -13,7 +14,7 @@ DRIFT_SHARE = 0.15
 def _first(volumes: DataFrame, key: str) -> DataFrame:
     """One volume per key: the first by mount path."""
     picked = F.min(F.struct("mount_path", "total_space", "available_space")).alias("v")
-    return volumes.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{key}")).agg(picked)
+    return conform(volumes, "volumes").filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{key}")).agg(picked)
 
 
 def online_status(disks: DataFrame, volumes: DataFrame) -> DataFrame:

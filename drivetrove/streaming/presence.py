@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-EVENTS = "mount_path string, event string, at timestamp"
+_CHANGES = "mount_path string, event string, us bigint"
 
 
 class _Presence(StatefulProcessor):
@@ -19,23 +18,26 @@ class _Presence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp")
+        self.last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest = max(row["at"] for row in rows)
-        if not self.last.exists():
-            yield Row(mount_path=key[0], event="added", at=newest)
-        else:
-            newest = max(newest, self.last.get()[0])
-        self.last.update((newest,))
+        last = self.last.get()[0] if self.last.exists() else None
+        for beat in sorted(row["us"] for row in rows):
+            if last is not None and beat - last > self.timeout_ms * 1000:
+                # the silence was long enough, its timer just had no chance to fire yet
+                yield Row(mount_path=key[0], event="removed", us=last + self.timeout_ms * 1000)
+                last = None
+            if last is None:
+                yield Row(mount_path=key[0], event="added", us=beat)
+            last = beat if last is None else max(last, beat)
+        self.last.update((last,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(pd.Timestamp(newest).timestamp() * 1000) + self.timeout_ms)
+        self.handle.registerTimer(last // 1000 + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        gone = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms").to_pydatetime()
         self.last.clear()
-        yield Row(mount_path=key[0], event="removed", at=gone)
+        yield Row(mount_path=key[0], event="removed", us=expiredTimerInfo.getExpiryTimeInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -44,13 +46,14 @@ class _Presence(StatefulProcessor):
 def presence_changes(heartbeats: DataFrame, timeout_ms: int = 2500, delay: str = "0 seconds") -> DataFrame:
     """Stream ``added`` and ``removed`` events from heartbeats ``(mount_path, at)``.
 
-    A mount is removed once event time passes its last heartbeat by ``timeout_ms``. State is one
-    timestamp per mount; it needs the RocksDB state store.
+    A mount is removed once event time passes its last heartbeat by ``timeout_ms``. State is one number
+    per mount; it needs the RocksDB state store.
     """
-    return (
-        heartbeats.select("mount_path", "at").withWatermark("at", delay).groupBy("mount_path")
-        .transformWithState(_Presence(timeout_ms), EVENTS, "Append", "EventTime")
+    changes = (
+        heartbeats.select("mount_path", "at", F.unix_micros("at").alias("us")).withWatermark("at", delay)
+        .groupBy("mount_path").transformWithState(_Presence(timeout_ms), _CHANGES, "Append", "EventTime")
     )
+    return changes.select("mount_path", "event", F.timestamp_micros("us").alias("at"))
 
 
 def presence_batch(snapshots: DataFrame) -> DataFrame:

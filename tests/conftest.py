@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession, functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from drivetrove import Catalog  # noqa: E402
-from drivetrove.schema import TABLES  # noqa: E402
+from drivetrove.schema import TABLES, conform  # noqa: E402
 from drivetrove.sources import ingest  # noqa: E402
 
 NODES = ("disk_name string, local_idx bigint, parent_idx bigint, name string, is_folder boolean, "
@@ -68,6 +68,6 @@ def entry_id(cat, path):
 
 
 def typed(spark, table, data, columns):
-    """A table with only some columns given."""
+    """A table with only some columns given, the others NULL."""
     schema = {f.name: f.dataType.simpleString() for f in TABLES[table]}
-    return spark.createDataFrame(data, ", ".join(f"{c} {schema[c]}" for c in columns))
+    return conform(spark.createDataFrame(data, ", ".join(f"{c} {schema[c]}" for c in columns)), table)
