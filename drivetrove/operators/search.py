@@ -21,20 +21,16 @@ MIN_IDF = 1e-6
 
 
 def build_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Inverted index of ``docs(entry_id, disk_id, text)``.
+    """Inverted index of ``docs(entry_id, disk_id, text)``: one row per word and entry.
 
-    Counting happens inside the row (distinct words of one text), so the index needs no shuffle.
+    Repeated words collapse before the shuffle, which then moves rows of the final size only.
     """
-    words_of = docs.select("entry_id", "disk_id", tx.tokens(F.col(text_col)).alias("w"))
-    counted = words_of.withColumn("d", F.array_sort("w")).select(
-        "entry_id", "disk_id", F.size("w").alias("doc_len"), F.col("d"),
-        F.explode(F.array_distinct("w")).alias("token"))
-    # in a sorted list the copies of a word are consecutive: its count is the gap between its two ends
-    n = F.size("d")
-    first = F.array_position("d", F.col("token"))
-    last = n - F.array_position(F.reverse("d"), F.col("token")) + 1
-    return counted.select("token", "entry_id", "disk_id", (last - first + 1).cast("int").alias("tf"),
-                          F.col("doc_len").cast("int").alias("doc_len"))
+    split = docs.select("entry_id", "disk_id", tx.tokens(F.col(text_col)).alias("w"))
+    return (
+        split.select("entry_id", "disk_id", F.size("w").alias("doc_len"), F.explode("w").alias("token"))
+        .groupBy("token", "entry_id", "disk_id", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        .select("token", "entry_id", "disk_id", "tf", "doc_len")
+    )
 
 
 def name_documents(entries: DataFrame) -> DataFrame:

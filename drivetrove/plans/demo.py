@@ -110,8 +110,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = ("c_custkey", "o_orderkey", "l_linenumber")
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = materialize(tree.with_paths(_nodes(spark, sf_dir).drop(*_KEYS)), "paths")
+def _entries(nodes: DataFrame) -> DataFrame:
+    closed = materialize(tree.with_paths(nodes.drop(*_KEYS)), "paths")
     lit = closed.withColumn("light_phase", solar.light_phase(F.col("gps_lat"), F.col("gps_lon"), F.col("captured_at")))
     return conform(tree.folder_rollup(lit), "entries")
 
@@ -120,10 +120,9 @@ BACKUP_DISK = 1000
 BACKUP_ID = 10**15
 
 
-def _backup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _backup_nodes(nodes: DataFrame) -> DataFrame:
     """A later, imperfect copy of every disk: lost, grown, unhashed, altered and extra files, lost order
     folders, and customers that have turned into files."""
-    nodes = _nodes(spark, sf_dir)
     m = (F.col("o_orderkey") * 7 + F.col("l_linenumber")) % 10
     is_file = F.col("l_linenumber").isNotNull()
     turned = F.coalesce(F.col("c_custkey") % 50 == 7, F.lit(False))
@@ -142,8 +141,8 @@ def _backup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "disk_id": F.col("disk_id") + BACKUP_DISK})
 
 
-def _backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed = materialize(tree.with_paths(_backup_nodes(spark, sf_dir).drop(*_KEYS)), "paths")
+def _backup(nodes: DataFrame) -> DataFrame:
+    closed = materialize(tree.with_paths(_backup_nodes(nodes).drop(*_KEYS)), "paths")
     return conform(tree.folder_rollup(closed), "entries")
 
 
@@ -293,8 +292,9 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             "pos_ms", F.floor(F.col("t") * 1000)), "video_frames")
 
     cat._tables.update({
-        "entries": stored("entries", lambda: _entries(spark, sf_dir)),
-        "backup": stored("backup", lambda: _backup(spark, sf_dir), "entries"),
+        "nodes": stored("nodes", lambda: _nodes(spark, sf_dir)),
+        "entries": stored("entries", lambda: _entries(cat["nodes"])),
+        "backup": stored("backup", lambda: _backup(cat["nodes"]), "entries"),
         "disks": stored("disks", lambda: _disks(spark, sf_dir, cat.entries)),
         "entry_tags": stored("entry_tags", tags),
         "thumbnails": lambda: conform(
