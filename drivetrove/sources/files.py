@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drivetrove.functions import media, paths, text as tx, words
 from drivetrove.operators.tree import tree_from_paths
 
-#: The binary source refuses files above this size.
-READ_LIMIT = 2**31 - 1
+#: Files up to this size are hashed by the JVM from the binary source, larger ones as a stream.
+WHOLE_FILE = 64 * 1024 * 1024
+CHUNK = 8 * 1024 * 1024
 
 
 def _scan(spark: SparkSession, root: str) -> DataFrame:
@@ -60,34 +62,62 @@ def file_inventory(spark: SparkSession, root: str, **options) -> DataFrame:
         "modified_at", F.when(~F.col("is_folder"), tx.extension(F.col("name"))).alias("ext"))
 
 
-def content_hash(spark: SparkSession, root: str, limit: int = READ_LIMIT) -> DataFrame:
-    """SHA-256 of every file; files the source cannot hold in one row keep a NULL hash."""
-    size = _scan(spark, root).select(_relative(root).alias("rel_path"), F.col("length").alias("size"))
-    hashed = _scan(spark, root).filter(F.col("length") <= limit).select(
-        _relative(root).alias("rel_path"), F.sha2("content", 256).alias("content_hash"))
-    return size.join(hashed, "rel_path", "left").withColumn(
-        "hash_algo", F.when(F.col("content_hash").isNotNull(), "sha256"))
+def _open(path: str):
+    """A listed file, opened in the task from the storage all executors share."""
+    scheme, _, rest = path.partition(":")
+    if scheme in ("file", path):
+        return pafs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    authority, _, inner = rest.removeprefix("//").partition("/")
+    store, base = pafs.FileSystem.from_uri(f"{scheme}://{authority}")
+    return store.open_input_file(f"{base.rstrip('/')}/{inner}")
+
+
+def _stream_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            try:
+                digest = hashlib.sha256()
+                with _open(path) as f:
+                    while chunk := f.read(CHUNK):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            except OSError:
+                digests.append(None)
+        yield pa.record_batch([batch.column("rel_path"), batch.column("size"), pa.array(digests, pa.string())],
+                              names=["rel_path", "size", "content_hash"])
+
+
+def content_hash(spark: SparkSession, root: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """SHA-256 of every file. Large files are read in chunks, one row of bytes never holds them."""
+    found = _scan(spark, root)
+    small = found.filter(F.col("length") <= whole).select(
+        _relative(root).alias("rel_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"))
+    # one task per few large files instead of per listing split
+    large = found.filter(F.col("length") > whole).select("path", _relative(root).alias("rel_path"),
+                                                         F.col("length").alias("size")).repartition("path")
+    hashed = large.mapInArrow(_stream_hashes, "rel_path string, size bigint, content_hash string")
+    return small.unionByName(hashed).withColumn("hash_algo", F.when(F.col("content_hash").isNotNull(), "sha256"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = ("rel_path", "member", "size", "is_dir", "y", "mo", "d", "h", "mi", "s")
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), *[pa.int32()] * 6]
     for batch in batches:
-        rows = []
-        for path, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist()):
+        for path, rel_path in zip(batch.column("path").to_pylist(), batch.column("rel_path").to_pylist()):
             try:
-                members = zipfile.ZipFile(io.BytesIO(content)).infolist()
-            except zipfile.BadZipFile:
+                with _open(path) as f:
+                    members = zipfile.ZipFile(f).infolist()  # reads the directory at the end only
+            except (OSError, pa.ArrowInvalid, zipfile.BadZipFile):
                 continue
-            rows += [(path, m.filename, m.file_size, m.is_dir(), *m.date_time) for m in members]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), *[pa.int32()] * 6]
-        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(fields))
+            rows = [(rel_path, m.filename, m.file_size, m.is_dir(), *m.date_time) for m in members]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(fields))
 
 
-def archive_index(spark: SparkSession, root: str, limit: int = READ_LIMIT) -> DataFrame:
+def archive_index(spark: SparkSession, root: str) -> DataFrame:
     """Members of zip containers: path, name, size, time and kind. Damaged containers give no rows."""
-    containers = _scan(spark, root).filter(
-        F.lower("path").rlike(r"\.(zip|cbz)\z") & (F.col("length") <= limit)).select(
-        _relative(root).alias("rel_path"), "content")
+    containers = _scan(spark, root).filter(F.lower("path").rlike(r"\.(zip|cbz)\z")).select(
+        "path", _relative(root).alias("rel_path")).repartition("path")
     found = containers.mapInArrow(_members, "rel_path string, member string, size bigint, is_dir boolean, "
                                             "y int, mo int, d int, h int, mi int, s int")
     path = F.regexp_replace("member", r"/+\z", "")
