@@ -85,7 +85,8 @@ def signatures(cat: Catalog, model: str) -> DataFrame:
     """Unit-length mean vector of every entry; entries whose vectors cancel out are dropped.
 
     One sum per dimension keeps the work in JVM aggregates with partial sums before the shuffle, so an
-    entry with very many frames is no hot group.
+    entry with very many frames is no hot group. Twelve digits are kept: equal frames then give equal
+    signatures whatever the order of summation.
     """
     rows = cat.embeddings.filter((F.col("model") == model) & F.col("vec").isNotNull())
     dim = vector_dim(rows)
@@ -94,7 +95,7 @@ def signatures(cat: Catalog, model: str) -> DataFrame:
     vec = F.array(*[F.col(f"s{i}") for i in range(dim)]) if dim else F.array().cast("array<double>")
     norm = F.sqrt(F.aggregate("sum", F.lit(0.0), lambda acc, x: acc + x * x))
     return sums.select("entry_id", vec.alias("sum")).withColumn("norm", norm).filter("norm > 0").select(
-        "entry_id", F.transform("sum", lambda x: x / F.col("norm")).alias("vec"))
+        "entry_id", F.transform("sum", lambda x: F.round(x / F.col("norm"), 12)).alias("vec"))
 
 
 def similar_to(cat: Catalog, model: str, entry_id: int, threshold: float = 0.0,

@@ -405,10 +405,10 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return compare.missing_tree(_diff(cat, "deep"), include_mismatch=True, keys=("pair",))
 
 
-_COVER_SQL = """, sel AS (SELECT DISTINCT pair, rel_path FROM diff WHERE fast = 'missing'),
-    cover AS (SELECT * FROM sel s WHERE NOT EXISTS (SELECT 1 FROM sel a WHERE a.pair = s.pair
-      AND (a.rel_path = string_split(s.rel_path, '/')[1] AND contains(s.rel_path, '/')
-           OR a.rel_path = array_to_string(string_split(s.rel_path, '/')[1:2], '/') AND len(string_split(s.rel_path, '/')) > 2)))
+_COVER_SQL = """, sel AS (SELECT pair, rel_path, CASE WHEN len(p) > 1 THEN p[1] END AS up1, CASE WHEN len(p) > 2 THEN p[1] || '/' || p[2] END AS up2
+      FROM (SELECT DISTINCT pair, rel_path, string_split(rel_path, '/') AS p FROM diff WHERE fast = 'missing')),
+    cover AS (SELECT pair, rel_path FROM sel s WHERE NOT EXISTS (SELECT 1 FROM sel a WHERE a.pair = s.pair AND a.rel_path = s.up1)
+      AND NOT EXISTS (SELECT 1 FROM sel a WHERE a.pair = s.pair AND a.rel_path = s.up2))
 """
 
 
@@ -705,8 +705,9 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 
 _SIG = """, sums AS (SELECT entry_id, i, sum(v[i]) AS x FROM (SELECT entry_id, v, unnest(generate_series(1, len(v))) AS i FROM vecs) GROUP BY 1, 2),
-    sig AS (SELECT entry_id, list(x / n ORDER BY i) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY entry_id)) AS n FROM sums) WHERE n > 0 GROUP BY 1),
-    near AS (SELECT a.entry_id AS a, b.entry_id AS b, list_dot_product(a.v, b.v) AS score FROM sig a JOIN sig b ON a.entry_id < b.entry_id)
+    sig AS (SELECT entry_id, list(round(x / n, 12) ORDER BY i) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY entry_id)) AS n FROM sums) WHERE n > 0 GROUP BY 1),
+    reps AS (SELECT min(entry_id) AS entry_id, v FROM sig GROUP BY v),
+    near AS (SELECT a.entry_id AS a, b.entry_id AS b, list_dot_product(a.v, b.v) AS score FROM reps a JOIN reps b ON a.entry_id < b.entry_id)
 """
 _VISUAL = 0.2
 
@@ -805,7 +806,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 
 # The sequential rule as a recursion over ascending ids: the working table always holds all leaders so far.
-@query("visual_duplicates", _SIG.replace(", sums AS", ", sums AS", 1) + f""", num AS (SELECT *, row_number() OVER (ORDER BY entry_id) AS r FROM sig),
+@query("visual_duplicates", _SIG + f""", num AS (SELECT *, row_number() OVER (ORDER BY entry_id) AS r FROM sig),
     edge AS (SELECT a.r AS a, b.r AS b FROM num a JOIN num b ON a.r < b.r AND list_dot_product(a.v, b.v) >= {_VISUAL}),
     lead AS (
       SELECT r, leaders FROM (WITH RECURSIVE g(r, leaders) AS (
