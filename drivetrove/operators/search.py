@@ -54,14 +54,16 @@ def _matches(token: Column, term: tuple[str, bool]) -> Column:
     return F.startswith(token, F.lit(word)) if prefix else token == F.lit(word)
 
 
-def rank_text(postings: DataFrame, stats: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """Entries holding every term with their BM25 score (lower is better).
+def rank_text(postings: DataFrame, stats: DataFrame, terms: list[tuple[str, bool]],
+              disk_id: int | None = None) -> DataFrame:
+    """Entries holding every term: BM25 score (lower is better) and their ``total`` on each row.
 
     All terms are counted in one aggregation keyed by entry. A prefix counts as one term: its frequency
-    is the sum over all words it matches. Corpus facts are global even if the caller filters afterwards.
+    is the sum over all words it matches. Corpus facts stay global when the answer is cut to one disk.
     """
     if not terms:
-        return postings.filter(F.lit(False)).select("entry_id", "disk_id", F.lit(0.0).alias("score"))
+        return postings.filter(F.lit(False)).select("entry_id", "disk_id", F.lit(0.0).alias("score"),
+                                                    F.lit(0).cast("bigint").alias("total"))
     any_term = F.lit(False)
     for term in terms:
         any_term = any_term | _matches(F.col("token"), term)
@@ -69,12 +71,14 @@ def rank_text(postings: DataFrame, stats: DataFrame, terms: list[tuple[str, bool
         F.max("disk_id").alias("disk_id"), F.max("doc_len").alias("doc_len"),
         *[F.coalesce(F.sum(F.when(_matches(F.col("token"), t), F.col("tf"))), F.lit(0)).alias(f"tf{i}")
           for i, t in enumerate(terms)])
-    df = hits.agg(F.struct(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
-    corpus = stats.agg(F.struct(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"))).scalar()
-    all_terms = F.lit(True)
+    wanted = F.lit(True) if disk_id is None else F.col("disk_id") == disk_id
     for i in range(len(terms)):
-        all_terms = all_terms & (F.col(f"tf{i}") > 0)
-    scored = hits.filter(all_terms).withColumn("_df", df).withColumn("_c", corpus)
+        wanted = wanted & (F.col(f"tf{i}") > 0)
+    # one row: how many entries hold each term, and how many are wanted
+    df = hits.agg(F.struct(F.count_if(wanted).alias("total"), *[
+        F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    corpus = stats.agg(F.struct(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words"))).scalar()
+    scored = hits.filter(wanted).withColumn("_df", df).withColumn("_c", corpus)
     n = F.col("_c.n")
     length = F.lit(1 - B) + F.lit(B) * F.col("doc_len") * n / F.col("_c.words")
     score = F.lit(0.0)
@@ -83,7 +87,7 @@ def rank_text(postings: DataFrame, stats: DataFrame, terms: list[tuple[str, bool
         idf = F.greatest(F.log((n - seen + 0.5) / (seen + 0.5)), F.lit(MIN_IDF))
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + F.lit(K1) * length)
-    return scored.select("entry_id", "disk_id", (-score).alias("score"))
+    return scored.select("entry_id", "disk_id", (-score).alias("score"), F.col("_df.total").alias("total"))
 
 
 def to_items(cat: Catalog, hits: DataFrame) -> DataFrame:
@@ -100,15 +104,11 @@ def search_items(cat: Catalog, hits: DataFrame) -> DataFrame:
 
 def search_names(cat: Catalog, query: str, limit: int = NAME_LIMIT, disk_id: int | None = None) -> DataFrame:
     """Best names first; every row carries the exact total and whether the page was cut."""
-    ranked = rank_text(cat.name_postings, cat["name_stats"], tx.query_terms(query))
-    if disk_id is not None:
-        ranked = ranked.filter(F.col("disk_id") == disk_id)
-    # a hit counts only with its entry and disk, so the total agrees with the items
-    ranked = ranked.join(cat.disks.select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
-    total = ranked.agg(F.count(F.lit(1))).scalar()
-    best = ranked.orderBy("score", "entry_id").limit(limit).select(F.col("entry_id").alias("id"), "score")
-    return to_items(cat, best).withColumn("total", total).withColumn(
-        "truncated", F.col("total") > limit).orderBy("score", "id")
+    # a hit counts only with its disk, so the total agrees with the items
+    present = cat.name_postings.join(cat.disks.select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
+    ranked = rank_text(present, cat["name_stats"], tx.query_terms(query), disk_id)
+    best = ranked.orderBy("score", "entry_id").limit(limit).select(F.col("entry_id").alias("id"), "score", "total")
+    return to_items(cat, best).withColumn("truncated", F.col("total") > limit).orderBy("score", "id")
 
 
 def search_transcripts(cat: Catalog, query: str, limit: int = TRANSCRIPT_LIMIT, lang: str | None = None) -> DataFrame:

@@ -190,7 +190,9 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 def _diff(cat: Catalog, mode: str) -> DataFrame:
     src = tree.rel_index(cat.entries).withColumnRenamed("disk_id", "pair")
-    dst = tree.rel_index(cat.backup).withColumn("pair", F.col("disk_id") - BACKUP_DISK).drop("disk_id")
+    # paired before the index is built, so both sides are already shuffled by the join keys
+    dst = tree.rel_index(cat.backup.withColumn("disk_id", F.col("disk_id") - BACKUP_DISK)).withColumnRenamed(
+        "disk_id", "pair")
     return compare.compare(src, dst, mode, ("pair",))
 
 
