@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .contamination import contamination
 from .licences import duckdb_sql, licences
+from .lm import lm_scores
 from .mixing import mix
 from .quality import quality
 
@@ -27,11 +28,15 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op8_licences, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op8_licences, op9_lm_scoring, op10_mixing)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
