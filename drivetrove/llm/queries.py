@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .contamination import contamination
+from .html import extract
 from .licences import duckdb_sql, licences
 from .lm import lm_scores
 from .mixing import mix
@@ -26,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_spans")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op5_minhash_dedup, op6_suffix_dedup, op8_licences, op9_lm_scoring, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op4_html_extraction, op5_minhash_dedup, op6_suffix_dedup, op8_licences, op9_lm_scoring, op10_mixing)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
