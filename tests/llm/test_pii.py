@@ -1,0 +1,98 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from drivetrove.llm import pii
+from drivetrove.llm.common import table
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else x * 2 // 10 + x * 2 % 10 for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(d) <= 19 and luhn(d) or kind == "phone" and 8 <= len(d) <= 15:
+                out.append((kind, *m.span()))
+    return out
+
+
+TEXTS = ["", "a@b.c", "x..@a.b@c.d e@f", "@a.b a@-.-", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.004", "4111 1111 1111 1111, 4111-1111-1111-11111", "+1 (826) 555-4081 190.137.223.20",
+         "é@x.y ü.a@b.co.uk", "+1+2 345 6789+", "9" * 3000, "a" * 3000 + "@", "1 " * 900, 'token = "f3ef4d6b2755a36d7d9c25bd72f3ef4d6b2755a3"', "4845168114407329 1.2.3.4", "+12345678 ()..9"]
+
+
+def test_base():
+    rng = random.Random(1)
+    for t in TEXTS + ["".join(rng.choices("1234 +-().@ab%\n", k=rng.randint(0, 90))) for _ in range(4000)]:
+        assert pii.base_spans(t) == brute(t), t
+
+
+def best_by_force(text, start, end, weights):
+    tokens, found = pii.segments(text, start, end)
+    score = pii.scores_of(found, weights) if found else np.zeros((0, 1))
+    memo = {0: 0.0}
+    for j in range(1, len(tokens) + 1):
+        memo[j] = max([memo[j - 1]] + [memo[i] + score[k].max() for k, (i, b, _) in enumerate(found) if b == j])
+    return memo[len(tokens)]
+
+
+def test_decode_is_best():
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(len(pii.FEATURES), len(pii.KINDS)))
+    for text in TEXTS[1:9]:
+        spans = pii.decode(text, weights)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+        total = 0.0
+        for start, end in pii.regions(text):
+            tokens, found = pii.segments(text, start, end)
+            score = pii.scores_of(found, weights) if found else None
+            for k, (i, j, _) in enumerate(found):
+                for kind, a, b in spans:
+                    if (tokens[i][0], tokens[j - 1][1]) == (a, b):
+                        total += score[k][pii.KINDS.index(kind)]
+        assert abs(total - sum(best_by_force(text, a, b, weights) for a, b in pii.regions(text))) < 1e-9
+
+
+def test_query(spark, docs):
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
+    base_n = found_again = 0
+    weights = pii.train(df)
+    for r in df.collect():
+        base, g = brute(r["text"]), got[r["doc_id"]]
+        assert [g[f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in base) for k in PLAIN]
+        assert g["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in g["spans"].split(",") if x]
+        assert {(k, str(a), str(b)) for k, a, b in base} <= set(spans)
+        assert len(spans) == len(base) + g["n_added"]
+        base_n += len(base)
+        found_again += len(set(base) & set(pii.decode(r["text"], weights)))
+    assert found_again > 0.9 * base_n  # what the field has learned
+
+
+def test_edges(spark, docs):
+    rows = [(i if i else None, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (90, None), (91, "12 ab@c.d " * 9000)]
+    df = docs(rows)
+    got = sorted(str((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"])) for r in pii.personal_data(df).collect())
+    assert got == sorted(str((i, *[sum(s[0] == k for s in brute(t)) for k in PLAIN])) for i, t in rows)
+    clean = pii.without_personal_data(df)
+    assert clean.schema == df.schema and clean.count() == len(rows)
+    assert clean.filter(F.col("text").contains("a@b.c") | F.col("text").contains("ab@c.d")).count() == 0
+    assert clean.filter("doc_id = 90 and text is null").count() == 1
+    assert pii.personal_data(df.limit(0)).count() == 0
+    assert pii.personal_data(docs([(1, "no such thing")])).first()["spans"] == ""
+
+
+def test_redaction():
+    assert pii.redacted("mail a@b.co or 1.2.3.4!", [("email", 5, 11), ("ip", 15, 22)]) == "mail [EMAIL] or [IP]!"
