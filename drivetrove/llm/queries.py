@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .pii import personal_data
 from .quality import quality
 from .repeats import without_repeats
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_pii, op4_html_extraction, op5_minhash_dedup, op6_suffix_dedup, op8_licences, op9_lm_scoring, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_pii, op4_html_extraction, op5_minhash_dedup, op6_suffix_dedup, op7_toxicity, op8_licences, op9_lm_scoring, op10_mixing)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
