@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drivetrove.schema import TABLES, conform
@@ -26,13 +28,18 @@ class Catalog:
     A table may be given as a function and is then built on first use.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]],
+                 stored: dict[str, tuple[str, str]] | None = None):
         self.spark = spark
         self._tables = dict(tables)
+        #: Root and folder of the tables that are unchanged since they were loaded.
+        self._stored = dict(stored or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         table = self._tables.get(name)
         if table is None:
+            if name not in TABLES:
+                raise KeyError(f"a catalogue has no table {name!r}")
             table = self.spark.createDataFrame([], TABLES[name])
         elif not isinstance(table, DataFrame):
             table = table()
@@ -52,37 +59,77 @@ class Catalog:
 
     def replacing(self, **tables: DataFrame) -> Catalog:
         """A copy with some tables exchanged."""
-        return Catalog(self.spark, {**self._tables, **tables})
+        kept = {name: where for name, where in self._stored.items() if name not in tables}
+        return Catalog(self.spark, {**self._tables, **tables}, kept)
 
     def save(self, root: str) -> None:
-        """Write every table below ``root`` as Parquet."""
+        """Commit the tables below ``root`` as a new version; whoever reads an older one is not disturbed.
+
+        Changed tables go to fresh folders, unchanged ones of the same root stay where they are. The commit record
+        comes last and is what readers follow, so a job that fails before leaves the catalogue as it was.
+        """
+        folder = f"data/{uuid.uuid4().hex}"
+        places = {}
         for name in self:
-            write_table(self[name], name, f"{root}/{name}")
+            if name not in TABLES:
+                continue
+            own_root, own_folder = self._stored.get(name, ("", ""))
+            if own_root == root:
+                places[name] = own_folder
+            else:
+                places[name] = f"{folder}/{name}"
+                write_table(self[name], name, f"{root}/{places[name]}")
+        last = _commits(self.spark, root)
+        version = (last["version"] if last else 0) + 1
+        record = self.spark.createDataFrame([(version, folder, places)], COMMIT)
+        record.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+COMMIT = "version bigint, folder string, places map<string,string>"
+
+
+def _commits(spark: SparkSession, root: str):
+    """The last commit below ``root``, None where there is none."""
+    try:
+        log = spark.read.schema(COMMIT).parquet(f"{root}/commits")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return log.orderBy(F.desc("version"), F.desc("folder")).first()
 
 
 def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") -> None:
-    """Write one table with its layout; partitioned tables replace only the disks they contain."""
+    """Write one table with its layout; partitioned tables are stored by disk."""
     if name in LAYOUT:
         df = df.repartitionByRange(*LAYOUT[name]).sortWithinPartitions(*LAYOUT[name])
     writer = df.write.mode(mode)
     if name in PARTITIONED:
-        writer = writer.partitionBy(PARTITIONED[name]).option("partitionOverwriteMode", "dynamic")
+        writer = writer.partitionBy(PARTITIONED[name])
     writer.parquet(path)
 
 
 def load_catalog(spark: SparkSession, root: str) -> Catalog:
-    """Open the tables stored below ``root``, bringing older files up to the current schema.
+    """Open the last version stored below ``root``, bringing older files up to the current schema.
 
-    Files written before a column existed are read with the present schema, which yields NULL for it.
+    Files written before a column existed are read with the present schema, which yields NULL for it. A folder without
+    commits is read as one table per folder.
     """
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = paths.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    present = {status.getPath().getName() for status in fs.listStatus(paths)}
-    tables = {}
+    last = _commits(spark, root)
+    tables, stored = {}, {}
     for name, schema in TABLES.items():
-        if name in present:
-            tables[name] = conform(spark.read.schema(schema).parquet(f"{root}/{name}"), name)
-    return Catalog(spark, tables)
+        folder = last["places"].get(name) if last else name
+        if folder is None:
+            continue
+        try:
+            tables[name] = conform(spark.read.schema(schema).parquet(f"{root}/{folder}"), name)
+        except AnalysisException as e:
+            if last or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if last:
+            stored[name] = (root, folder)
+    return Catalog(spark, tables, stored)
 
 
 def disk_counts(entries: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_rows(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """Adds the place of every row, from 1, by the given columns.
+
+    Rows are cut into ranges and numbered inside them; only one count per range reaches the driver, so no task
+    sorts everything.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
+    before, at = F.lit(0).cast("bigint"), 0
+    for part in sorted(sizes):
+        before, at = F.when(F.col("_part") == part, F.lit(at).cast("bigint")).otherwise(before), at + sizes[part]
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(name, before + inside).drop("_part")
+
+
 def _size_setting(spark: SparkSession, key: str) -> int:
     value = spark.conf.get(key).strip().lower().rstrip("b")
     scale = {"k": 2**10, "m": 2**20, "g": 2**30}.get(value[-1:], 1)

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from drivetrove.session import materialize, number_rows
+
 _CHANGES = "mount_path string, event string, us bigint"
 
 
 class _Presence(StatefulProcessor):
     """One mount: remembers its last heartbeat and times out when heartbeats stop."""
 
-    def __init__(self, timeout_ms: int):
+    def __init__(self, timeout_ms: int, first_us: int | None):
         self.timeout_ms = timeout_ms
+        self.first_us = first_us  # beats up to here belong to the first poll
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -28,7 +32,8 @@ class _Presence(StatefulProcessor):
                 yield Row(mount_path=key[0], event="removed", us=last + self.timeout_ms * 1000)
                 last = None
             if last is None:
-                yield Row(mount_path=key[0], event="added", us=beat)
+                first = self.first_us is not None and beat <= self.first_us
+                yield Row(mount_path=key[0], event="initial" if first else "added", us=beat)
             last = beat if last is None else max(last, beat)
         self.last.update((last,))
         for timer in list(self.handle.listTimers()):
@@ -43,15 +48,18 @@ class _Presence(StatefulProcessor):
         pass
 
 
-def presence_changes(heartbeats: DataFrame, timeout_ms: int = 2500, delay: str = "0 seconds") -> DataFrame:
-    """Stream ``added`` and ``removed`` events from heartbeats ``(mount_path, at)``.
+def presence_changes(heartbeats: DataFrame, timeout_ms: int = 2500, delay: str = "0 seconds",
+                     started: datetime | None = None) -> DataFrame:
+    """Stream ``initial``, ``added`` and ``removed`` events from heartbeats ``(mount_path, at)``.
 
-    A mount is removed once event time passes its last heartbeat by ``timeout_ms``. State is one number
-    per mount; it needs the RocksDB state store.
+    Mounts that beat within ``timeout_ms`` of ``started`` (the first poll) were there already and come as
+    ``initial``. A mount is removed once event time passes its last heartbeat by ``timeout_ms``. State is one
+    number per mount; it needs the RocksDB state store.
     """
+    first_us = None if started is None else int(started.timestamp() * 1_000_000) + timeout_ms * 1000
     changes = (
         heartbeats.select("mount_path", "at", F.unix_micros("at").alias("us")).withWatermark("at", delay)
-        .groupBy("mount_path").transformWithState(_Presence(timeout_ms), _CHANGES, "Append", "EventTime")
+        .groupBy("mount_path").transformWithState(_Presence(timeout_ms, first_us), _CHANGES, "Append", "EventTime")
     )
     return changes.select("mount_path", "event", F.timestamp_micros("us").alias("at"))
 
@@ -61,12 +69,10 @@ def presence_batch(snapshots: DataFrame) -> DataFrame:
 
     The first poll gives ``initial`` rows; later ones ``added`` or ``removed`` against the poll before.
     """
-    seen = snapshots.select("poll", "mount_path").distinct()
-    polls = seen.select("poll").distinct()
-    # one row per poll
-    order = Window.orderBy("poll")
-    numbered = polls.select("poll", F.row_number().over(order).alias("n"), F.lead("poll").over(order).alias("_next"))
-    dated = seen.join(numbered, "poll")
+    seen = materialize(snapshots.select("poll", "mount_path").distinct(), "seen")
+    numbered = number_rows(seen.select("poll").distinct(), "poll")
+    following = numbered.select(F.col("poll").alias("_next"), (F.col("n") - 1).alias("n"))
+    dated = seen.join(numbered, "poll").join(following, "n", "left")
     mine = Window.partitionBy("mount_path").orderBy("n")
     stepped = dated.withColumns({"_before": F.lag("n").over(mine), "_after": F.lead("n").over(mine)})
     came = stepped.filter(F.col("_before").isNull() | (F.col("_before") < F.col("n") - 1)).select(

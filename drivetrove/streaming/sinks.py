@@ -1,37 +1,61 @@
-"""``foreachBatch`` sinks; each can see the same batch again and leaves the same result."""
+"""``foreachBatch`` sinks; each can see the same batch again and leaves the same result.
+
+A batch is stored under its number and read together with the others, so nothing written before is lost or copied.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drivetrove.catalog import write_table
+from drivetrove.functions import text as tx
 from drivetrove.operators import search, status
 from drivetrove.schema import conform
 
 
 def online_status_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """Keep ``disks`` online flags current from batches of present volumes.
-
-    Versions alternate between numbered folders; the reader takes the highest batch.
-    """
-    def write(volumes: DataFrame, batch_id: int) -> None:
-        disks = volumes.sparkSession.read.parquet(f"{root}/disks")
-        status.online_status(disks, volumes).write.mode("overwrite").parquet(f"{root}/disks_online/batch={batch_id}")
+    """Keep the presence events ``(mount_path, event, at)`` of :func:`presence.presence_changes`."""
+    def write(events: DataFrame, batch_id: int) -> None:
+        events.select("mount_path", "event", "at").write.mode("overwrite").parquet(f"{root}/presence/batch={batch_id}")
 
     return write
 
 
+def online_now(spark: SparkSession, root: str, disks: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``disks`` with online flags from the last event of every mount; ``volumes`` says which volume a mount is."""
+    events = spark.read.schema("mount_path string, event string, at timestamp, batch bigint").parquet(f"{root}/presence")
+    last = events.groupBy("mount_path").agg(F.max_by("event", F.struct("at", "batch", "event")).alias("event"))
+    present = last.filter("event <> 'removed'").select("mount_path")
+    return status.online_status(disks, volumes.join(present, "mount_path", "left_semi"))
+
+
+_DOCS = "entry_id bigint, disk_id bigint, n_words int, batch bigint"
+_POSTINGS = "token string, entry_id bigint, disk_id bigint, tf int, doc_len int, batch bigint"
+
+
 def index_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """Index newly arrived trees: only the disks in the batch get new postings."""
+    """Index newly arrived entries; a disk may arrive over any number of batches."""
     def write(entries: DataFrame, batch_id: int) -> None:
-        postings = conform(search.build_postings(search.name_documents(entries)), "name_postings")
-        write_table(postings, "name_postings", f"{root}/name_postings")
+        docs = search.name_documents(entries)
+        postings = conform(search.build_postings(docs), "name_postings")
+        postings.write.mode("overwrite").parquet(f"{root}/name_index/postings/batch={batch_id}")
+        docs.select("entry_id", "disk_id", F.size(tx.tokens(F.col("text"))).alias("n_words")) \
+            .write.mode("overwrite").parquet(f"{root}/name_index/docs/batch={batch_id}")
 
     return write
 
 
+def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Name postings and index facts of all batches; an entry that came again counts as it came last."""
+    docs = spark.read.schema(_DOCS).parquet(f"{root}/name_index/docs")
+    last = docs.groupBy("entry_id").agg(F.max(F.struct("batch", "disk_id", "n_words")).alias("d")).select("entry_id", "d.*")
+    postings = spark.read.schema(_POSTINGS).parquet(f"{root}/name_index/postings")
+    current = postings.join(last.select("entry_id", "batch"), ["entry_id", "batch"], "left_semi")
+    facts = last.groupBy("disk_id").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"))
+    return conform(current, "name_postings"), conform(facts, "name_stats")
+
+
 def audit_stream(records: DataFrame, path: str, checkpoint: str):
     """Append access records as they arrive, partitioned by UTC day."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86400).cast("int"))

@@ -1,3 +1,4 @@
+import pytest
 from conftest import BACKUP, SF28, entry_id, rows, typed
 from pyspark.sql import functions as F
 
@@ -116,3 +117,30 @@ def test_annotations_and_keyed_replace(spark, load):
     old = typed(spark, "embeddings", [(1, "m", 0.0), (1, "n", 0.0), (2, "m", 0.0)], ["entry_id", "model", "frame_ts"])
     left = ingest.clear_embeddings(cat.replacing(embeddings=old), "m", spark.createDataFrame([(1,)], "entry_id bigint"))
     assert rows(left.embeddings, "entry_id", "model") == [(1, "n"), (2, "m")]
+
+
+def test_edits_survive_in_place(spark, load, nodes, tmp_path):
+    root = str(tmp_path)
+    load({"SF28": SF28, "BACKUP": BACKUP}).save(root)
+    cat = load_catalog(spark, root)
+    assert rows(search.search_names(cat, "c0001"), "disk_name") == [("BACKUP",), ("SF28",)]
+    gone = cat.disks.filter("name = 'BACKUP'").first()["id"]
+    before = cat.entries
+    ingest.delete_disk(cat, gone).save(root)
+    after = load_catalog(spark, root)
+    assert rows(after.disks, "name") == [("SF28",)] and after.entries.filter(F.col("disk_id") == gone).isEmpty()
+    assert rows(search.search_advanced(after, {"text": "c0001"}), "name", "disk_name") == [("C0001.MP4", "SF28")]
+    assert before.filter(F.col("disk_id") == gone).count() > 0  # readers of the version before go on
+    ingest.rescan_replace(after, nodes({"SF28": SF28[:3]}), volumes(spark, ("SF28", "U1")))[0].save(root)
+    again = load_catalog(spark, root)
+    assert rows(again.disks, "name", "file_count") == [("SF28", 1)] and rows(again.name_stats, "n_docs") == [(3,)]
+    assert rows(search.search_names(again, "roll"), "name") == []
+    # a table that did not change keeps its files
+    again.replacing(disks=again.disks).save(root)
+    kept = load_catalog(spark, root)
+    assert kept._stored["entries"] == again._stored["entries"] and kept._stored["disks"] != again._stored["disks"]
+
+
+def test_unknown_table(spark):
+    with pytest.raises(KeyError, match="no table 'nothing'"):
+        Catalog(spark, {})["nothing"]

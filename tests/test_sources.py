@@ -1,4 +1,5 @@
 import hashlib
+from datetime import UTC, datetime
 import json
 import os
 import zipfile
@@ -11,7 +12,7 @@ from drivetrove.functions import media, solar, text as tx, words
 from drivetrove.operators import enrich, status
 from drivetrove.sources import files, probes, sinks
 from drivetrove.streaming.presence import presence_batch, presence_changes
-from drivetrove.streaming.sinks import index_sink, online_status_sink
+from drivetrove.streaming.sinks import index_sink, online_now, online_status_sink, read_index
 
 
 def values(spark, fn, items, kind="string"):
@@ -135,26 +136,36 @@ def test_presence_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = spark.readStream.schema("mount_path string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = presence_changes(source, timeout_ms=10_000).writeStream.format("parquet").option(
+    begin = datetime.fromtimestamp(1700000000 - 9, UTC)
+    q = presence_changes(source, timeout_ms=10_000, started=begin).writeStream.format("parquet").option(
         "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out").select("mount_path", "event", (F.unix_seconds("at") - 1700000000).alias("s"))
-    assert rows(got, "mount_path", "event", "s") == [("a", "added", 0), ("a", "added", 60), ("a", "removed", 14), ("b", "added", 0), ("b", "removed", 10)]
+    assert rows(got, "mount_path", "event", "s") == [
+        ("a", "added", 60), ("a", "initial", 0), ("a", "removed", 14), ("b", "initial", 0), ("b", "removed", 10)]
 
 
 def test_sinks_are_idempotent(spark, tmp_path):
     root = str(tmp_path)
     entries = typed(spark, "entries", [(1, 1, "uno dos"), (2, 2, "tres")], ["id", "disk_id", "name"])
+    renamed = entries.filter("disk_id = 1").withColumn("name", F.lit("cuatro"))
+    late = typed(spark, "entries", [(3, 1, "seis siete"), (4, 1, "")], ["id", "disk_id", "name"])  # one disk over three batches
     sink = index_sink(root)
-    sink(entries, 0)
-    sink(entries.filter("disk_id = 1").withColumn("name", F.lit("cuatro")), 1)
-    sink(entries.filter("disk_id = 1").withColumn("name", F.lit("cuatro")), 1)
-    assert rows(spark.read.parquet(f"{root}/name_postings"), "token", "disk_id") == [("cuatro", 1), ("tres", 2)]
-    typed(spark, "disks", [(1, "A", "u1")], ["id", "name", "volume_uuid"]).write.parquet(f"{root}/disks")
-    vols = typed(spark, "volumes", [("X", "/mx", "u1")], ["name", "mount_path", "fingerprint"])
-    online_status_sink(root)(vols, 3)
-    online_status_sink(root)(vols, 3)
-    assert rows(spark.read.parquet(f"{root}/disks_online"), "name", "is_online", "batch") == [("A", True, 3)]
+    for batch_id, batch in ((0, entries), (1, renamed), (1, renamed), (2, late)):
+        sink(batch, batch_id)
+    postings, facts = read_index(spark, root)
+    assert rows(postings, "token", "entry_id", "disk_id") == [("cuatro", 1, 1), ("seis", 3, 1), ("siete", 3, 1), ("tres", 2, 2)]
+    assert rows(facts, "disk_id", "n_docs", "n_words") == [(1, 3, 3), (2, 1, 1)]
+
+    disks = typed(spark, "disks", [(1, "A", "u1"), (2, "B", "u2"), (3, "C", "u3")], ["id", "name", "volume_uuid"])
+    vols = typed(spark, "volumes", [("X", "/mx", "u1"), ("Y", "/my", "u2"), ("Z", "/mz", "u3")], ["name", "mount_path", "fingerprint"])
+    at = F.timestamp_seconds("s").alias("at")
+    one = spark.createDataFrame([("/mx", "initial", 1), ("/my", "initial", 1)], "mount_path string, event string, s bigint").select("mount_path", "event", at)
+    two = spark.createDataFrame([("/my", "removed", 5), ("/mz", "added", 6)], "mount_path string, event string, s bigint").select("mount_path", "event", at)
+    keep = online_status_sink(root)
+    for batch_id, batch in ((3, one), (4, two), (4, two)):
+        keep(batch, batch_id)
+    assert rows(online_now(spark, root, disks, vols), "name", "is_online") == [("A", True), ("B", False), ("C", True)]
     sinks.append_audit(typed(spark, "access_log", [(86400 * 3 + 5, "d")], ["ts", "device_id"]), f"{root}/audit")
     assert str(spark.read.parquet(f"{root}/audit").first()["day"]) == "1970-01-04"
 
