@@ -1,35 +1,35 @@
 """Near-duplicates by MinHash bands, verified first by odd sketches and then on full shingle sets.
 
-Equal sets collapse into one class before anything else. Inside a band bucket members are compared with two leaders, never
-all with all; what that leaves apart is compared across components only. Buckets with too many components left are cut
-finer by a second band and treated again. Odd sketches drop pairs that are clearly below the threshold; the rest is
-confirmed on the sets themselves, so no link is wrong. Missed links: two sets at the threshold share no band with probability
-(1 - 0.8^rows)^bands, 3e-5 for 20 bands of 4.
+Equal sets collapse into one class before anything else. Inside a band bucket members are compared with one hub, the member
+that meets most others over all its buckets, never all with all. Only where that leaves a bucket in several components, the
+members outside the largest one are held against the others, block by block and by sketches alone. Odd sketches drop pairs
+that are below the threshold beyond sampling error; the rest is confirmed on the sets themselves, so no link is wrong.
+Missed links: two sets at the threshold share no band with probability (1 - 0.8^rows)^bands, 3e-5 for 20 bands of 4.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from math import exp
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .aligned import Hashes, mixed
 from .common import materialize, only, small_batches, texts, utf8
 
-SHINGLE, BANDS, ROWS, BITS = 4, 20, 4, 512
+SHINGLE, BANDS, ROWS = 4, 20, 4
 K = BANDS * ROWS
+#: Samples and bits of the odd sketches.
+BINS, BITS = 1024, 2048
+SIGMAS = 5
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 2**32, K, np.uint32) | np.uint32(1))
 _B = _RNG.integers(0, 2**32, K, np.uint32)
-_PLACE = np.arange(K, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 FACTS = T.StructType([
     T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("samples", T.IntegerType()),
 ])
 
 
@@ -51,12 +51,32 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return np.min([(x[i:i + 2048, None] * _A + _B).min(axis=0) for i in range(0, len(x), 2048)], axis=0)
 
 
-def odd_sketch(samples: np.ndarray) -> list[int]:
-    """Parity bitmap: each (position, sample) flips one bit."""
-    x = samples.astype(np.uint64) + _PLACE
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    bits = (np.bincount((x >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+def samples_of(found: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of sorted hashes: the smallest of each bin, where the top bits are the bin."""
+    bins = found >> np.uint64(64 - BINS.bit_length() + 1)
+    return found[np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))]
+
+
+def odd_sketch(samples: np.ndarray) -> bytes:
+    """Parity bitmap: each sample flips one bit."""
+    x = (samples ^ (samples >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits((np.bincount((x >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def bit_limits(n1: np.ndarray, n2: np.ndarray, m1: np.ndarray, m2: np.ndarray, least: float) -> np.ndarray:
+    """Most differing bits of sketches of sets with n elements and m samples whose similarity may be ``least``.
+
+    At that similarity the union has (n1 + n2) / (1 + least) elements in u bins, and least * u samples agree, give or take
+    SIGMAS deviations; the others flip bits, some of them twice.
+    """
+    union = (n1 + n2) / (1 + least)
+    filled = BINS * (1 - np.exp(-union / BINS))
+    spread = least * (1 - least) * filled * (1 - filled / np.maximum(union, filled)) + 1  # samples are drawn without replacement
+    agree = least * filled - SIGMAS * np.sqrt(spread)
+    load = np.maximum(m1 + m2 - 2 * np.maximum(agree, 0), 0) / BITS
+    chance = 1 - np.exp(-2 * load)
+    parity = BITS * np.maximum((1 - np.exp(-4 * load)) / 4 - load * np.exp(-4 * load), 0) + 1
+    return BITS / 2 * chance + SIGMAS * np.sqrt(parity)
 
 
 def facts(batch: list[str], hashes: Hashes) -> list[tuple]:
@@ -64,20 +84,14 @@ def facts(batch: list[str], hashes: Hashes) -> list[tuple]:
     for text in batch:
         found = shingles(text, hashes)
         if not len(found):
-            out.append((0, None, None, None))
+            out.append((0, None, None, None, None))
             continue
-        samples = minhashes(found)
-        bands = [xxhash.xxh3_64_intdigest(samples[i * ROWS:(i + 1) * ROWS].tobytes(), i) - 2**63 for i in range(BANDS)]
-        out.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands, odd_sketch(samples)))
+        lowest, samples = minhashes(found), samples_of(found)
+        bands = [xxhash.xxh3_64_intdigest(lowest[i * ROWS:(i + 1) * ROWS].tobytes(), i) - 2**63 for i in range(BANDS)]
+        out.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), bands, odd_sketch(samples), len(samples)))
     return out
 
 
-def sketch_limit(least: float) -> int:
-    """Most differing bits of a pair to verify: those expected at a similarity six standard deviations of the samples below."""
-    low = max(0.0, least - 6 * (least * (1 - least) / K) ** 0.5)
-    return int(BITS / 2 * (1 - exp(-4 * K * (1 - low) / BITS))) + 1
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, for nodes of ``edges`` (a, b). Alternates large and small stars;
     each round is two sums by node and joins whose hot nodes Spark can split."""
@@ -105,15 +119,21 @@ class Verifier:
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs (hub, node) whose sizes and odd sketches allow the similarity."""
-        own = self.classes.select(F.col("set_key").alias("hub"), F.col("n_shingles").alias("n1"), F.col("sketch").alias("s1"))
-        other = self.classes.select(F.col("set_key").alias("node"), F.col("n_shingles").alias("n2"), F.col("sketch").alias("s2"))
-        differ: Column = reduce(lambda x, y: x + y, [F.bit_count(F.col("s1")[i].bitwiseXOR(F.col("s2")[i])) for i in range(BITS // 64)])
-        joined = pairs.join(own, "hub").join(other, "node")
-        return joined.filter((F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * self.least) & (differ <= sketch_limit(self.least / 100))).select("hub", "node")
+        sides = [self.classes.select(F.col("set_key").alias(key), F.col("n_shingles").alias(f"n{i}"), F.col("samples").alias(f"m{i}"), F.col("sketch").alias(f"s{i}"))
+                 for i, key in ((1, "hub"), (2, "node"))]
+        least = self.least
+
+        def close(batches):
+            for batch in batches:
+                n1, n2, m1, m2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n1", "n2", "m1", "m2"))
+                differ = np.bitwise_count(bitmaps(batch.column("s1")) ^ bitmaps(batch.column("s2"))).sum(axis=1, dtype=np.int64)
+                keep = (differ <= bit_limits(n1, n2, m1, m2, least / 100)) & (100 * np.minimum(n1, n2) >= least * np.maximum(n1, n2))
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "node"])
+
+        return pairs.join(sides[0], "hub").join(sides[1], "node").mapInArrow(close, "hub binary, node binary")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose full shingle sets are similar enough, as edges (a, b)."""
-        pairs = materialize(self.plausible(pairs), "pairs")
+        """Those of stored pairs (hub, node) whose full shingle sets are similar enough, as edges (a, b)."""
         nodes = pairs.select(F.col("hub").alias("set_key")).union(pairs.select(F.col("node").alias("set_key"))).distinct()
         wanted = materialize(nodes.join(self.classes.select("set_key", "rep"), "set_key"), "wanted")
         ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
@@ -149,13 +169,13 @@ class Verifier:
         return materialize(both.mapInArrow(similar, "a binary, b binary"), "links")
 
 
-def near_duplicates(docs: DataFrame, least: int = 80, direct: int = 16, levels: int = 3, small_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = 80, block: int = 2048, small_ids: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are split on white space, A-Z in lower case; a document's set holds its distinct 4-word shingles (64-bit hashes).
     Documents are linked where ``100 * intersection >= least * union``; component_id is the smallest doc_id reachable, kept says
-    that it is the own one. ``direct``: components besides the largest that a bucket may hold to compare their members at
-    once; others are cut finer up to ``levels`` bands, then compared at once whatever their size, so nothing is capped.
+    that it is the own one. ``block``: members of a bucket that one task holds at once where a hub leaves the bucket in several
+    components. ``small_ids``: ids that may be broadcast to fetch the texts to confirm; more are joined by shuffling.
 
     NULL or empty text: no shingles, linked with nothing. NULL ids: linked like others, but never name a component; where no id
     is known component_id is NULL and kept true. Rows with equal ids are documents of their own that share the id. Empty
@@ -165,7 +185,7 @@ def near_duplicates(docs: DataFrame, least: int = 80, direct: int = 16, levels:
 
     def describe(batches):
         hashes = Hashes()
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32())
         for batch in batches:
             for part in small_batches(batch, "text"):
                 made = facts(texts(part.column("text")), hashes)
@@ -173,8 +193,8 @@ def near_duplicates(docs: DataFrame, least: int = 80, direct: int = 16, levels:
 
     described = materialize(base.mapInArrow(describe, T.StructType([T.StructField("doc_id", T.LongType()), *FACTS.fields])), "minhash")
     classes = materialize(described.filter("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "classes")
-    labels = linked(base, classes, least, direct, levels, small_ids)
+        F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.any_value("samples").alias("samples")), "classes")
+    labels = linked(base, classes, least, block, small_ids)
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left") \
                    .withColumn("label", F.coalesce("label", "set_key"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -184,45 +204,66 @@ def near_duplicates(docs: DataFrame, least: int = 80, direct: int = 16, levels:
     return some.select("doc_id", "n_shingles", "component_id").unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def linked(docs: DataFrame, classes: DataFrame, least: int, direct: int, levels: int, small_ids: int) -> DataFrame:
-    """(node, label) of all classes that have a link."""
-    verifier = Verifier(docs, classes, least, small_ids)
-    rows = shared_buckets(classes.select(F.explode("bands").alias("key"), F.col("set_key").alias("node")))
-    edges, labels = None, None
-    for level in range(1, levels + 1):
-        ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        tied = rows.join(ends, "key")
-        pairs = tied.filter("node != low").select(F.col("low").alias("hub"), "node") \
-            .union(tied.filter("node != high and node != low").select(F.col("high").alias("hub"), "node")).distinct()
-        new = verifier.confirmed(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
-        known = materialize(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        opened = materialize(shares.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.sum("n").alias("size"))
-                             .filter("rest > 0 and size > 2"), "open")
-        at_once = opened if level == levels else opened.filter(F.col("rest") <= direct)
-        members = known.join(at_once.select("key", "main"), "key")
-        apart = members.filter("label != main").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        crossed = members.join(apart, "key").filter("label != hub_label and (label = main or hub < node)").select("hub", "node").distinct()
-        if not at_once.isEmpty():
-            edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verifier.confirmed(crossed))
-            labels = components(edges)
-        if level == levels:
-            break
-        wide = opened.filter(F.col("rest") > direct).select("key")
-        if wide.isEmpty():
-            break
-        finer = rows.join(wide, "key").join(classes.select(F.col("set_key").alias("node"), "bands"), "node") \
-                    .select("node", "key", F.explode("bands").alias("other")).filter("key != other")
-        rows = shared_buckets(finer.select(F.xxhash64("key", "other").alias("key"), "node").distinct())
-    return labels
+def bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Rows (key, node) of keys with two nodes at least."""
-    rows = materialize(rows, "bands")
-    return materialize(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key"), "buckets")
+def linked(docs: DataFrame, classes: DataFrame, least: int, block: int, small_ids: int) -> DataFrame:
+    """(node, label) of all classes that have a link."""
+    verifier = Verifier(docs, classes, least, small_ids)
+    banded = classes.select(F.explode("bands").alias("key"), F.col("set_key").alias("node"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = materialize(banded.join(sizes, "key"), "buckets")
+    met = rows.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = materialize(rows.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("h")).select("key", F.col("h.node").alias("hub")), "hubs")
+    pairs = rows.join(hubs, "key").filter("node != hub").select("hub", "node").distinct()
+    edges = verifier.confirmed(materialize(verifier.plausible(pairs), "pairs"))
+    labels = components(edges)
+
+    known = rows.filter("size > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = materialize(known, "labelled")
+    shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    opened = shares.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")) \
+                   .filter("size > most").select("key", "main", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    opened = materialize(opened, "open")
+    if opened.isEmpty():
+        return labels
+    facts_of = classes.select(F.col("set_key").alias("node"), "n_shingles", "samples", "sketch")
+    members = known.join(opened, "key").join(facts_of, "node")
+    left = members.filter("label != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    columns = ["key", "block", "node", "label", "n_shingles", "samples", "sketch"]
+
+    def held_against(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary())], ["hub", "node"])
+        others = others.rename_columns(columns)
+        a, b = ([t.column(c).to_numpy() for c in ("n_shingles", "samples")] for t in (some, others))
+        names, maps = ([t.column("label").to_pylist() for t in (some, others)], [bitmaps(t.column("sketch").combine_chunks()) for t in (some, others)])
+        hub, node, mine, theirs = [], [], some.column("node").to_pylist(), others.column("node").to_pylist()
+        other_names = np.array(names[1], object)
+        for i in range(some.num_rows):
+            differ = np.bitwise_count(maps[1] ^ maps[0][i]).sum(axis=1, dtype=np.int64)
+            n1, m1 = a[0][i], a[1][i]
+            keep = (differ <= bit_limits(n1, b[0], m1, b[1], least / 100)) & (100 * np.minimum(n1, b[0]) >= least * np.maximum(n1, b[0]))
+            keep &= other_names != names[0][i]
+            for j in np.flatnonzero(keep).tolist():
+                hub.append(mine[i])
+                node.append(theirs[j])
+        return pa.table([pa.array(hub, pa.binary()), pa.array(node, pa.binary())], ["hub", "node"])
+
+    # what a hub was held against before is known not to be similar
+    right = right.select(columns).toDF(*[f"r_{c}" for c in columns])  # new names: both sides stem from the same table
+    apart = left.select(columns).groupBy("key", "block").cogroup(right.groupBy("r_key", "r_block")).applyInArrow(held_against, "hub binary, node binary")
+    apart = apart.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+    tested = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    apart = materialize(apart.join(tested, ["hub", "node"], "left_anti"), "apart")
+    if apart.isEmpty():
+        return labels
+    more = verifier.confirmed(apart)
+    if more.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
 def one_of_each(docs: DataFrame, least: int = 80) -> DataFrame:

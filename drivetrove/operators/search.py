@@ -94,7 +94,8 @@ def to_items(cat: Catalog, hits: DataFrame) -> DataFrame:
     """Hits ``(id, ...)`` as items with disk name and path; unknown ids disappear."""
     items = cat.entries.select("id", "disk_id", "name", "is_folder", "size_logical", "modified_at", "ext", "path",
                                "gps_place", "light_phase")
-    return with_disk_name(hits.join(items, "id"), cat)
+    # with the disk at hand only its part of the table is read
+    return with_disk_name(hits.join(items, ["disk_id", "id"] if "disk_id" in hits.columns else "id"), cat)
 
 
 def search_items(cat: Catalog, hits: DataFrame) -> DataFrame:
@@ -107,17 +108,21 @@ def search_names(cat: Catalog, query: str, limit: int = NAME_LIMIT, disk_id: int
     # a hit counts only with its disk, so the total agrees with the items
     present = cat.name_postings.join(cat.disks.select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
     ranked = rank_text(present, cat["name_stats"], tx.query_terms(query), disk_id)
-    best = ranked.orderBy("score", "entry_id").limit(limit).select(F.col("entry_id").alias("id"), "score", "total")
+    best = ranked.orderBy("score", "entry_id").limit(limit).select(
+        F.col("entry_id").alias("id"), "disk_id", "score", "total")
     return to_items(cat, best).withColumn("truncated", F.col("total") > limit).orderBy("score", "id")
 
 
-def search_transcripts(cat: Catalog, query: str, limit: int = TRANSCRIPT_LIMIT, lang: str | None = None) -> DataFrame:
-    """Transcripts holding every word, best first, with a marked fragment."""
+def search_transcripts(cat: Catalog, query: str, limit: int = TRANSCRIPT_LIMIT, lang: str | None = None,
+                       within: DataFrame | None = None) -> DataFrame:
+    """Transcripts holding every word, best first, with a marked fragment; ``within(entry_id)`` may restrict them."""
     terms = tx.query_terms(query)
     ranked = rank_text(cat.text_postings, cat["text_stats"], terms)
     if lang is not None:
         spoken = cat.transcripts.filter(F.col("lang") == lang).select("entry_id")
         ranked = ranked.join(spoken, "entry_id", "left_semi")
+    if within is not None:
+        ranked = ranked.join(within, "entry_id", "left_semi")
     best = ranked.orderBy("score", "entry_id").limit(limit)
     if not terms:
         return best.select("entry_id", "score", F.lit(None).cast("string").alias("snippet"))
@@ -158,8 +163,9 @@ def build_predicate(filters: dict) -> Column:
         parts.append(col("is_folder") == F.lit(filters["kind"] == "folder"))
     if filters.get("exts"):
         parts.append(col("ext").isin([e.lower() for e in filters["exts"]]))
-    if filters.get("category"):
-        parts.append(col("ext").isin(words.CATEGORIES[filters["category"]]))
+    category = words.canonical_category(filters.get("category"))
+    if category:
+        parts.append(col("ext").isin(words.CATEGORIES[category]))
     for key, column, lower in (("min_size", "size_logical", True), ("max_size", "size_logical", False),
                                ("modified_after", "modified_at", True), ("modified_before", "modified_at", False)):
         if filters.get(key) is not None:
@@ -183,7 +189,7 @@ def match_attributes(cat: Catalog, filters: dict) -> DataFrame:
     terms = tx.query_terms(words_asked)
     attributes_only = {k: v for k, v in filters.items() if k != "text"}
     if (words_asked and not terms and not has_criteria(attributes_only)) or not (
-            has_criteria(filters) or filters.get("category")):
+            has_criteria(filters) or words.canonical_category(filters.get("category"))):
         rows = rows.filter(F.lit(False))  # nothing asked never means everything
     if filters.get("tags"):
         rows = rows.join(having_all_tags(cat, filters["tags"]), rows["id"] == F.col("entry_id"), "left_semi")
@@ -206,10 +212,17 @@ def search_advanced(cat: Catalog, filters: dict, limit: int = ADVANCED_LIMIT) ->
         "truncated", F.col("total") > limit).orderBy(*ordering)
 
 
-def post_filter(ranked: DataFrame, filters: dict) -> DataFrame:
-    """Attribute filters on already ranked items; folders never pass an extension filter."""
-    kept = ranked.filter(build_predicate(filters))
-    return kept.filter("NOT is_folder") if filters.get("exts") else kept
+def filtered_ids(cat: Catalog, filters: dict) -> DataFrame | None:
+    """Entries ``(entry_id)`` that may be ranked under attribute filters, None when nothing is asked.
+
+    Folders never pass an extension filter.
+    """
+    if not has_criteria(filters) and not words.canonical_category(filters.get("category")):
+        return None
+    kept = cat.entries.filter(build_predicate(filters))
+    kept = kept.filter("NOT is_folder") if filters.get("exts") else kept
+    ids = kept.select(F.col("id").alias("entry_id"))
+    return ids.join(having_all_tags(cat, filters["tags"]), "entry_id", "left_semi") if filters.get("tags") else ids
 
 
 def get_entries(cat: Catalog, ids: list[int]) -> DataFrame:

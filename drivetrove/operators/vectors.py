@@ -15,13 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivetrove.catalog import Catalog
-from drivetrove.operators.search import post_filter, search_advanced, search_transcripts, to_items
+from drivetrove.operators.search import filtered_ids, search_advanced, search_transcripts, to_items
 from drivetrove.operators.stats import DUPLICATE_GROUPS, MIN_DUPLICATE, with_disk_name
 from drivetrove.session import materialize, skew_join
 
 SEMANTIC_LIMIT = 200
 HYBRID_LIMIT = 300
-HYBRID_POOL = 2000
 VISUAL_THRESHOLD = 0.92
 
 #: Rows of one side of a block product.
@@ -54,17 +53,17 @@ def dot(column: Column | str, query: list[float]) -> Column:
     return product(F.col(column) if isinstance(column, str) else column)
 
 
-def vector_dim(vectors: DataFrame) -> int:
-    """Length of the vectors of one model."""
-    return vectors.agg(F.max(F.size("vec"))).first()[0] or 0
-
-
 def semantic_scores(cat: Catalog, model: str, query: list[float], threshold: float = 0.0,
-                    exclude: int | None = None) -> DataFrame:
-    """Best frame of every entry against the query: ``entry_id, score, frame_ts``; ties take the earliest."""
+                    exclude: int | None = None, within: DataFrame | None = None) -> DataFrame:
+    """Best frame of every entry against the query: ``entry_id, score, frame_ts``; ties take the earliest.
+
+    ``within(entry_id)`` restricts the entries before anything is ranked.
+    """
     rows = cat.embeddings.filter((F.col("model") == model) & (F.size("vec") == len(query)))
     if exclude is not None:
         rows = rows.filter(F.col("entry_id") != exclude)
+    if within is not None:
+        rows = rows.join(within, "entry_id", "left_semi")
     scored = rows.select("entry_id", "frame_ts", dot("vec", query).alias("score"))
     best = scored.groupBy("entry_id").agg(F.max(F.struct("score", (-F.col("frame_ts")).alias("ts"))).alias("b"))
     return best.select("entry_id", F.col("b.score").alias("score"), (-F.col("b.ts")).alias("frame_ts")).filter(
@@ -77,24 +76,40 @@ def _top_items(cat: Catalog, scored: DataFrame, limit: int) -> DataFrame:
 
 
 def semantic_search(cat: Catalog, model: str, query: list[float], threshold: float = 0.0,
-                    limit: int = SEMANTIC_LIMIT, exclude: int | None = None) -> DataFrame:
-    return _top_items(cat, semantic_scores(cat, model, query, threshold, exclude), limit)
+                    limit: int = SEMANTIC_LIMIT, exclude: int | None = None,
+                    within: DataFrame | None = None) -> DataFrame:
+    return _top_items(cat, semantic_scores(cat, model, query, threshold, exclude, within), limit)
 
 
 def signatures(cat: Catalog, model: str) -> DataFrame:
     """Unit-length mean vector of every entry; entries whose vectors cancel out are dropped.
 
-    One sum per dimension keeps the work in JVM aggregates with partial sums before the shuffle, so an
-    entry with very many frames is no hot group. Twelve digits are kept: equal frames then give equal
-    signatures whatever the order of summation.
+    The earliest non-empty vector of an entry sets its length, its vectors of another length are left out. Sums are
+    taken per Arrow batch first, so an entry with very many frames meets as a few partial sums. Twelve digits are
+    kept: equal frames then give equal signatures whatever the order of summation.
     """
-    rows = cat.embeddings.filter((F.col("model") == model) & F.col("vec").isNotNull())
-    dim = vector_dim(rows)
-    sums = rows.filter(F.size("vec") == dim).groupBy("entry_id").agg(
-        *[F.sum(F.get("vec", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dim)])
-    vec = F.array(*[F.col(f"s{i}") for i in range(dim)]) if dim else F.array().cast("array<double>")
+    rows = cat.embeddings.filter((F.col("model") == model) & (F.size("vec") > 0)).select(
+        "entry_id", "frame_ts", "vec", F.size("vec").alias("dim"))
+    lengths = rows.groupBy("entry_id").agg(F.min(F.struct("frame_ts", "dim")).alias("f")).select("entry_id", F.col("f.dim").alias("dim"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, entries = b.column("dim").to_numpy(), b.column("entry_id").to_numpy()
+            for dim in np.unique(dims):
+                mine = b.filter(pa.array(dims == dim))
+                own = entries[dims == dim]
+                order = np.argsort(own, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
+                sums = np.add.reduceat(_matrix(mine.column("vec"), int(dim))[order], starts, axis=0)
+                yield pa.record_batch({"entry_id": own[order][starts], "dim": np.full(len(starts), dim, np.int32),
+                                       "part": pa.array(list(sums), pa.list_(pa.float64()))})
+
+    parts = rows.select("entry_id", "vec", "dim").mapInArrow(partial, "entry_id bigint, dim int, part array<double>")
+    sums = parts.join(lengths, ["entry_id", "dim"], "left_semi").groupBy("entry_id").agg(F.collect_list("part").alias("parts"))
+    total = F.reduce(F.slice("parts", 2, F.size("parts")), F.get("parts", F.lit(0)),
+                     lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
     norm = F.sqrt(F.aggregate("sum", F.lit(0.0), lambda acc, x: acc + x * x))
-    return sums.select("entry_id", vec.alias("sum")).withColumn("norm", norm).filter("norm > 0").select(
+    return sums.select("entry_id", total.alias("sum")).withColumn("norm", norm).filter("norm > 0").select(
         "entry_id", F.transform("sum", lambda x: F.round(x / F.col("norm"), 12)).alias("vec"))
 
 
@@ -108,48 +123,43 @@ def similar_to(cat: Catalog, model: str, entry_id: int, threshold: float = 0.0,
     return semantic_search(cat, model, list(rows[0]["vec"]), threshold, limit, exclude=entry_id)
 
 
-def batch_semantic(cat: Catalog, queries: DataFrame, model: str, k: int = 8, batch: int = 4096) -> DataFrame:
-    """Top ``k`` entries of every row of ``queries(query_id, vec)``.
+def batch_semantic(cat: Catalog, queries: DataFrame, model: str, k: int = 8, block: int = BLOCK) -> DataFrame:
+    """Top ``k`` entries of every row of ``queries(query_id, vec)``; a query meets the vectors of its own length.
 
-    Queries go out in bounded slices. Each Arrow batch keeps its own ``k`` best entries per query, which
-    cannot lose a global winner, so the shuffle carries few rows.
+    Both sides are cut into blocks, and each pair of blocks is one task. It keeps its ``k`` best entries per query,
+    which cannot lose a global winner, so the shuffle behind it carries few rows. An entry's vectors share a block.
     """
-    vectors = cat.embeddings.filter(F.col("model") == model)
-    dim = vector_dim(vectors)
-    slices = max(1, math.ceil(queries.count() / batch))
-    ranked = None
-    for part in range(slices):
-        chosen = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part).filter(F.size("vec") == dim)
-        rows = chosen.select("query_id", "vec").collect()  # about `batch` rows
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        matrix = np.array([r["vec"] for r in rows], dtype=np.float64)
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                entries = b.column("entry_id").to_numpy(zero_copy_only=False)
-                products = _matrix(b.column("vec"), dim) @ matrix.T
-                order = np.argsort(entries, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(entries[order]) != 0]) if len(order) else order
-                best = np.maximum.reduceat(products[order], starts, axis=0) if len(order) else products
-                names = entries[order][starts]
-                # ties at the cut go to smaller ids, and names are ascending
-                top = np.argsort(-best, axis=0, kind="stable")[:k]
-                cols = np.broadcast_to(np.arange(len(ids)), top.shape)
-                yield pa.record_batch({
-                    "query_id": ids[cols.ravel()], "entry_id": names[top.ravel()],
-                    "score": best[top.ravel(), cols.ravel()]})
-
-        found = vectors.filter(F.size("vec") == dim).select("entry_id", "vec").mapInArrow(
-            score, "query_id bigint, entry_id bigint, score double")
-        ranked = found if ranked is None else ranked.unionByName(found)
-    if ranked is None:
-        ranked = queries.select("query_id", F.lit(0).cast("bigint").alias("entry_id"),
-                                F.lit(0.0).alias("score")).filter(F.lit(False))
-    best = ranked.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
+    vectors = cat.embeddings.filter((F.col("model") == model) & (F.size("vec") > 0)).select(
+        "entry_id", "vec", F.size("vec").alias("dim"))
+    asked = queries.filter(F.size("vec") > 0).select(
+        "query_id", F.col("vec").cast("array<double>").alias("q_vec"), F.size("vec").alias("q_dim"))
+    counts = vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("v_blocks")).join(
+        asked.groupBy(F.col("q_dim").alias("dim")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("q_blocks")), "dim")
+    counts = materialize(counts, "blocks")  # one row per vector length
+    left = vectors.join(counts, "dim").select(
+        "dim", "entry_id", "vec", F.pmod(F.xxhash64("entry_id"), "v_blocks").cast("int").alias("v_block"),
+        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
+    right = asked.join(counts.withColumnRenamed("dim", "q_dim"), "q_dim").select(
+        "q_dim", "query_id", "q_vec", F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int").alias("r_q_block"),
+        F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)).alias("r_v_block"))
+
+    def best_of(entries: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not entries.num_rows or not wanted.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "entry_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        dim = entries.column("dim")[0].as_py()
+        own, ids = entries.column("entry_id").to_numpy(), wanted.column("query_id").to_numpy()
+        products = _matrix(entries.column("vec").combine_chunks(), dim) @ _matrix(wanted.column("q_vec").combine_chunks(), dim).T
+        order = np.argsort(own, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
+        best, names = np.maximum.reduceat(products[order], starts, axis=0), own[order][starts]
+        top = np.argsort(-best, axis=0, kind="stable")[:k]  # ties at the cut go to smaller ids, and names are ascending
+        cols = np.broadcast_to(np.arange(len(ids)), top.shape)
+        return pa.table({"query_id": ids[cols.ravel()], "entry_id": names[top.ravel()], "score": best[top.ravel(), cols.ravel()]})
+
+    found = left.groupBy("dim", "v_block", "q_block").cogroup(right.groupBy("q_dim", "r_v_block", "r_q_block")).applyInArrow(
+        best_of, "query_id bigint, entry_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_id"))
-    return best.withColumn("rank", place).filter(F.col("rank") <= k)
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 # --- all pairs above a threshold -------------------------------------------------------------------
@@ -163,8 +173,10 @@ def _reach(threshold: float) -> float:
 def _cells(sigs: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     """Give every vector its home cell (nearest pivot) and the cells it may have neighbours in.
 
-    If u lies within the reach r of v, then v is at most 2r farther from u's pivot than from its own, so
-    listing those pivots as ``cells`` loses no pair.
+    A neighbour u of v with home p is at least as near to p as to v's own pivot h, so v is within the reach of the
+    half space on p's side: ``(|v-p|^2 - |v-h|^2) / (2 |p-h|) <= reach``. It also is no farther from p than the reach
+    and the radius of p's cell. Listing the pivots that pass both as ``cells`` loses no pair; :func:`routed_share`
+    tells how much that leaves.
     """
     total = sigs.count()
     pivots = min(MAX_PIVOTS, max(1, total // cell_rows))
@@ -172,17 +184,28 @@ def _cells(sigs: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
         return sigs.withColumn("home", F.lit(0)).withColumn("cells", F.array(F.lit(0)))
     sample = sigs.orderBy(F.xxhash64("entry_id")).limit(pivots).collect()  # at most MAX_PIVOTS vectors
     centres = np.array([r["vec"] for r in sample], dtype=np.float64)
-    slack = 2 * _reach(threshold)
+    reach = _reach(threshold)
+    gaps = np.sqrt(np.maximum(_squares(centres, centres), 1e-18))
     columns = sigs.columns
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            square = _squares(_matrix(b.column("vec"), centres.shape[1]), centres)
+            home = square.argmin(axis=1) if len(square) else np.zeros(0, int)
+            yield pa.record_batch({"home": home.astype(np.int32), "far": np.sqrt(square.min(axis=1, initial=np.inf))})
+
+    radii = sigs.select("vec").mapInArrow(nearest, "home int, far double").groupBy("home").agg(F.max("far").alias("far")).collect()
+    radius = np.full(pivots, -np.inf)  # of cells, at most MAX_PIVOTS
+    for r in radii:
+        radius[r["home"]] = r["far"]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column("vec"), centres.shape[1])
-            square = (m * m).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (m @ centres.T)
-            distance = np.sqrt(np.maximum(square, 0))
-            near = distance.min(axis=1, initial=np.inf)
-            home = distance.argmin(axis=1) if len(m) else np.zeros(0, int)
-            within = distance <= near[:, None] + slack
+            square = _squares(_matrix(b.column("vec"), centres.shape[1]), centres)
+            home = square.argmin(axis=1) if len(square) else np.zeros(0, int)
+            own = square[np.arange(len(home)), home]
+            beyond = (square - own[:, None]) / (2 * gaps[home])
+            within = (beyond <= reach) & (np.sqrt(square) <= radius[None, :] + reach)
             lists = pa.array([np.flatnonzero(row).astype(np.int32) for row in within], pa.list_(pa.int32()))
             yield pa.record_batch([*[b.column(c) for c in columns], pa.array(home.astype(np.int32)), lists],
                                   names=[*columns, "home", "cells"])
@@ -191,6 +214,16 @@ def _cells(sigs: DataFrame, threshold: float, cell_rows: int) -> DataFrame:
     return sigs.mapInArrow(assign, f"{ddl}, home int, cells array<int>")
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def routed_share(sigs: DataFrame, threshold: float, cell_rows: int = BLOCK) -> float:
+    """Part of all cells that a vector is sent to on average: 1.0 means that geometry prunes nothing."""
+    row = _cells(sigs, threshold, cell_rows).agg(F.avg(F.size("cells")).alias("sent"), (F.max("home") + 1).alias("cells")).first()
+    return float(row["sent"] / row["cells"]) if row["cells"] else 0.0
+
+
 def _meet(anchored: DataFrame, routed: DataFrame, sizes: DataFrame, work, schema: str) -> DataFrame:
     """Bring anchored vectors (at home) and routed vectors (in all their cells) together in bounded tasks.
 
@@ -345,24 +378,22 @@ def hybrid_search(cat: Catalog, filters: dict, model: str | None = None, query:
                   limit: int = HYBRID_LIMIT) -> DataFrame:
     """Look for a concept by vector and by words spoken, under attribute filters.
 
-    Without a concept this is the attribute search. Spoken hits have no graded score; they keep their
-    relevance order behind the visual ones.
+    Filters come before the ranking on both sides, so however few entries pass them, the page fills. Without a
+    concept this is the attribute search, text included. Spoken hits have no graded score; they keep their relevance
+    order behind the visual ones.
     """
-    attributes = {k: v for k, v in filters.items() if k != "text"}
     if query is None and not text:
-        return search_advanced(cat, attributes)
+        return search_advanced(cat, filters)
+    attributes = {k: v for k, v in filters.items() if k != "text"}
+    within = filtered_ids(cat, attributes)
     visual = spoken = None
     if query is not None:
-        visual = post_filter(semantic_search(cat, model, query, threshold, HYBRID_POOL), attributes)
+        visual = semantic_search(cat, model, query, threshold, limit, within=within)
     if text:
-        heard = search_transcripts(cat, text, HYBRID_LIMIT, lang).withColumnRenamed("entry_id", "id")
-        spoken = post_filter(to_items(cat, heard.withColumn("score", -F.col("score"))), attributes)
+        heard = search_transcripts(cat, text, limit, lang, within).withColumnRenamed("entry_id", "id")
+        spoken = to_items(cat, heard.withColumn("score", -F.col("score")))
     if visual is None:
         visual = spoken.filter(F.lit(False)).withColumn("frame_ts", F.lit(None).cast("double"))
     if spoken is None:
         spoken = visual.filter(F.lit(False)).withColumn("snippet", F.lit(None).cast("string"))
-    if attributes.get("tags"):
-        from drivetrove.operators.search import having_all_tags
-        tagged = having_all_tags(cat, attributes["tags"]).withColumnRenamed("entry_id", "id")
-        visual, spoken = visual.join(tagged, "id", "left_semi"), spoken.join(tagged, "id", "left_semi")
     return hybrid_merge(visual, spoken, limit)

@@ -499,11 +499,6 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return _scored(search.search_advanced(cat, {"text": "Red w", "exts": ["jpg"], "min_size": 10485760}))
 
 
-@query("search_nothing_asked", f"""SELECT {_ITEM} FROM entries e JOIN disks d ON d.id = e.disk_id WHERE FALSE""")
-def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return _items(search.search_advanced(cat, {"text": "  ", "exts": []}))
-
-
 @query("os_noise", rf"""SELECT page_id, replace({_URL_PATH}, '/es/', '/._es/') AS path FROM pages
     WHERE NOT regexp_matches(replace({_URL_PATH}, '/es/', '/._es/'), '(^|/)[.]_')""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
@@ -963,9 +958,9 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 _HEARD = oracle.bm25(_TEXT_DOCS, [("the", True)])
 _HYBRID = _BEST + _HEARD + """, vis AS (SELECT b.entry_id AS id, b.score, frame_ts, 0 AS origin FROM
-      (SELECT * FROM best WHERE score >= 0.05 ORDER BY score DESC, entry_id LIMIT 2000) b JOIN entries e ON e.id = b.entry_id WHERE {visual}),
+      best b JOIN entries e ON e.id = b.entry_id WHERE score >= 0.05 AND {visual} ORDER BY b.score DESC, b.entry_id LIMIT 300),
     spo AS (SELECT r.entry_id AS id, -r.score AS score, CAST(NULL AS DOUBLE) AS frame_ts, 1 AS origin FROM
-      (SELECT * FROM ranked ORDER BY score, entry_id LIMIT 300) r JOIN entries e ON e.id = r.entry_id WHERE {visual} AND r.entry_id NOT IN (SELECT id FROM vis))
+      (SELECT r.* FROM ranked r JOIN entries e ON e.id = r.entry_id WHERE {visual} ORDER BY r.score, r.entry_id LIMIT 300) r WHERE r.entry_id NOT IN (SELECT id FROM vis))
     SELECT id, round(score, 6) AS score, frame_ts, CAST(origin AS BIGINT) AS origin FROM (SELECT * FROM vis UNION ALL SELECT * FROM spo) u
     ORDER BY origin, u.score DESC, id LIMIT 300"""
 
@@ -985,11 +980,11 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return _hybrid(vectors.hybrid_search(cat, {}, MODEL, _query_vector(cat, sf_dir), "the"))
 
 
-@query("nl_post_filter", _BEST + """SELECT e.id, round(score, 6) AS score FROM (SELECT * FROM best WHERE score >= -1 ORDER BY score DESC, entry_id LIMIT 2000)
-    JOIN entries e ON e.id = entry_id WHERE NOT is_folder AND ext IN ('pdf', 'zip') AND size_logical <= 31457280""")
+@query("nl_post_filter", _BEST + """SELECT e.id, round(score, 6) AS score FROM best JOIN entries e ON e.id = entry_id
+    WHERE score >= -1 AND NOT is_folder AND ext IN ('pdf', 'zip') AND size_logical <= 31457280 ORDER BY best.score DESC, e.id LIMIT 200""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    ranked = vectors.semantic_search(cat, MODEL, _query_vector(cat, sf_dir), -1.0, vectors.HYBRID_POOL)
-    return search.post_filter(ranked, {"exts": ["pdf", "zip"], "max_size": 31457280}).select(
+    within = search.filtered_ids(cat, {"exts": ["pdf", "zip"], "max_size": 31457280})
+    return vectors.semantic_search(cat, MODEL, _query_vector(cat, sf_dir), -1.0, within=within).select(
         "id", F.round("score", 6).alias("score"))
 
 

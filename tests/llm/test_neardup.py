@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from drivetrove.llm.common import table
-from drivetrove.llm.neardup import BITS, K, near_duplicates, odd_sketch, one_of_each, sketch_limit
+from drivetrove.llm.neardup import bit_limits, near_duplicates, odd_sketch, one_of_each, samples_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -65,7 +65,7 @@ def case(seed, copies=60):
 def test_against_brute_force(spark, docs, seed):
     rows = case(seed)
     want = brute(rows)
-    assert got(near_duplicates(docs(rows), direct=16 if seed == 1 else 1, levels=3 if seed == 1 else 2)) == want
+    assert got(near_duplicates(docs(rows), block=2048 if seed == 1 else 7)) == want
 
 
 def test_given_rows(spark):
@@ -84,9 +84,18 @@ def test_edges(spark, docs):
 
 def test_sketch():
     rng = np.random.default_rng(1)
-    for same in (0.8, 0.9, 1.0):
-        for _ in range(200):
-            a = rng.integers(0, 2**32, K, np.uint32)
-            b = np.where(rng.random(K) < same, a, rng.integers(0, 2**32, K, np.uint32)).astype(np.uint32)
-            differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(odd_sketch(a), odd_sketch(b)))
-            assert differ <= sketch_limit(0.8) < BITS / 2
+    for size in (8, 60, 500, 4000):
+        far = 0
+        for share, wanted in ((0.8, True), (0.95, True), (0.55, False)):
+            for _ in range(60):
+                pool = rng.integers(0, 2**64, 2 * size, np.uint64)
+                both = round(share * size * 2 / (1 + share))
+                a, b = np.unique(pool[:size]), np.unique(pool[size - both:2 * size - both])
+                if wanted and 100 * both < 80 * (2 * size - both):
+                    b = a
+                x, y = samples_of(a), samples_of(b)
+                differ = np.bitwise_count(np.frombuffer(odd_sketch(x), np.uint64) ^ np.frombuffer(odd_sketch(y), np.uint64)).sum()
+                close = differ <= bit_limits(*(np.array([v]) for v in (len(a), len(b), len(x), len(y))), 0.8)[0]
+                assert close or not wanted
+                far += not close
+        assert size < 500 or far > 50

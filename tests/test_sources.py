@@ -35,8 +35,9 @@ def test_media_expressions(spark):
         0, 1685577600, 1685622600, None, None]
     assert values(spark, media.hfs_to_unix, [0, 2082844800, 2082844800 + 1685577600], "bigint") == [None, None, 1685577600]
     assert values(spark, lambda c: media.strip_times(c, 3), [4000, 0], "bigint") == [[1.0, 2.0, 3.0], [0.0]]
-    assert values(spark, words.size_bytes, ["1gb", "500mb", "2", "1.5gb", "1,5kb", "big"]) == [2**30, 500 * 2**20, 2, 3 * 2**29, 1536, None]
-    assert values(spark, words.day_unix, ["2023-01-01", "01/01/2023"]) == [1672531200, None]
+    assert values(spark, words.size_bytes, ["1gb", "500mb", "2", "1.5gb", "1,5kb", "big", " 7 MB ", "1.", ".5gb", "1.2.3", "3xb", ""]) == [
+        2**30, 500 * 2**20, 2, 3 * 2**29, 1536, None, 7 * 2**20, None, None, None, None, None]
+    assert values(spark, words.day_unix, ["2023-01-01", "01/01/2023", "2023-02-30", "2023-1-1", "1969-12-31"]) == [1672531200, None, None, None, -86400]
     assert tuple(values(spark, words.year_bounds, [2023], "int")[0]) == (1672531200, 1704067199)
 
 

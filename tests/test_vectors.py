@@ -90,7 +90,7 @@ def test_batch_search_keeps_winners_over_batches(spark):
     m32 = m.astype(np.float32).astype(np.float64)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
     try:
-        got = rows(vectors.batch_semantic(cat, queries, "m", k=4, batch=4), "query_id", "rank", "entry_id")
+        got = rows(vectors.batch_semantic(cat, queries, "m", k=4, block=4), "query_id", "rank", "entry_id")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     expected = []
@@ -110,3 +110,32 @@ def test_visual_duplicates_and_hybrid(spark, cat):
     assert [r["id"] for r in vectors.hybrid_merge(visual, spoken).collect()] == [2, 5, 3]
     only = vectors.hybrid_search(cat, {"exts": ["jpg"], "min_size": 4 * 2**20}, "m", [0.0, 0.0, 1.0], threshold=0.0)
     assert rows(only.select(F.col("id")), "id") == [(5,)]
+
+
+def test_one_odd_vector_drops_no_other(spark, cat):
+    odd = typed(spark, "embeddings", [(1, "m", 9.0, [5.0, 5.0]), (6, "m", None, [3.0, 4.0]), (6, "m", 1.0, [1.0, 0.0, 0.0]), (7, "m", 0.0, [])], ["entry_id", "model", "frame_ts", "vec"])
+    mixed = cat.replacing(embeddings=cat.embeddings.unionByName(odd))
+    got = {r["entry_id"]: [round(x, 6) for x in r["vec"]] for r in vectors.signatures(mixed, "m").collect()}
+    assert got == {1: [1.0, 0.0, 0.0], 2: [0.0, round(0.5**0.5, 6), round(0.5**0.5, 6)], 5: [0.0, 0.6, 0.8], 6: [0.6, 0.8]}
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, vec array<double>")
+    best = vectors.batch_semantic(mixed, asked, "m", k=1).collect()
+    assert sorted((r["query_id"], r["entry_id"], round(r["score"], 6)) for r in best) == [(1, 1, 1.0), (2, 1, 5.0)]
+
+
+def test_filters_come_before_the_cut(spark):
+    n = 700
+    names = [(i, 1, f"{i}.x", False, 1, f"/D/{i}", "pdf" if i > 600 else "jpg") for i in range(1, n + 1)]
+    vecs = [(i, "m", None, [1.0, i / 10_000]) for i in range(1, n + 1)]  # the smaller the id, the nearer
+    cat = Catalog(spark, {
+        "entries": typed(spark, "entries", names, ["id", "disk_id", "name", "is_folder", "size_logical", "path", "ext"]),
+        "embeddings": typed(spark, "embeddings", vecs, ["entry_id", "model", "frame_ts", "vec"]),
+        "entry_tags": typed(spark, "entry_tags", [(i, "red") for i in range(650, n + 1)], ["entry_id", "tag"]),
+        "disks": typed(spark, "disks", [(1, "D")], ["id", "name"])})
+    found = vectors.hybrid_search(cat, {"exts": ["pdf"]}, "m", [1.0, 0.0], limit=50)
+    assert found.count() == 50 and found.filter("id <= 600").isEmpty()
+    assert vectors.hybrid_search(cat, {"exts": ["pdf"], "tags": ["red"]}, "m", [1.0, 0.0]).count() == 51
+
+
+def test_pruning_is_measured(spark, crowd):
+    df, _ = crowd
+    assert 0 < vectors.routed_share(df, 0.99, cell_rows=20) < vectors.routed_share(df, 0.2, cell_rows=20) <= 1
