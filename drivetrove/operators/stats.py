@@ -135,7 +135,7 @@ def _directed(column: Column, desc: bool) -> Column:
     return column.desc() if desc else column.asc()
 
 
-def browse_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFrame:
+def browse_columns(key: str = "name", desc: bool = False) -> list[Column]:
     """Folders first, then by size, modified, type or natural name."""
     nocase = F.collate("name", "UTF8_LCASE")
     columns = {
@@ -144,10 +144,14 @@ def browse_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFr
         "type": [F.collate(F.coalesce("ext", F.lit("")), "UTF8_LCASE"), nocase],
         "name": [natural_key(F.col("name"))],
     }[key]
-    return df.orderBy(F.col("is_folder").desc(), *[_directed(c, desc) for c in columns], "id")
+    return [F.col("is_folder").desc(), *[_directed(c, desc) for c in columns], F.col("id").asc()]
 
 
-def search_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFrame:
+def browse_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFrame:
+    return df.orderBy(*browse_columns(key, desc))
+
+
+def search_columns(key: str = "name", desc: bool = False) -> list[Column]:
     """Search results by disk and name, size, path or natural name."""
     columns = {
         "disk": [F.collate("disk_name", "UTF8_LCASE"), F.collate("name", "UTF8_LCASE")],
@@ -155,7 +159,16 @@ def search_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFr
         "path": [F.collate("path", "UTF8_LCASE")],
         "name": [natural_key(F.col("name"))],
     }[key]
-    return df.orderBy(*[_directed(c, desc) for c in columns], "id")
+    return [*[_directed(c, desc) for c in columns], F.col("id").asc()]
+
+
+def search_order(df: DataFrame, key: str = "name", desc: bool = False) -> DataFrame:
+    return df.orderBy(*search_columns(key, desc))
+
+
+def placed(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``place``, the row's number in the order of its own folder, disk or clip."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
 
 
 def page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
@@ -168,15 +181,23 @@ def page(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
         "truncated", F.col("total") > limit)
 
 
+def listing_columns() -> list[Column]:
+    """Archive members: folders first and then by path without case."""
+    return [F.col("is_dir").desc(), F.collate("path", "UTF8_LCASE"), F.col("path")]
+
+
+def strip_columns() -> list[Column]:
+    return [F.col("pos_ms").asc()]
+
+
 def archive_listing(cat: Catalog, entry_id: int | None = None) -> DataFrame:
-    """Archive members, folders first and then by path without case."""
     rows = cat.archive_entries if entry_id is None else cat.archive_entries.filter(F.col("entry_id") == entry_id)
-    return rows.orderBy("entry_id", F.col("is_dir").desc(), F.collate("path", "UTF8_LCASE"), "path")
+    return rows.orderBy("entry_id", *listing_columns())
 
 
 def frame_strip(cat: Catalog, entry_id: int | None = None) -> DataFrame:
     rows = cat.video_frames if entry_id is None else cat.video_frames.filter(F.col("entry_id") == entry_id)
-    return rows.orderBy("entry_id", "pos_ms")
+    return rows.orderBy("entry_id", *strip_columns())
 
 
 def device_list(cat: Catalog) -> DataFrame:

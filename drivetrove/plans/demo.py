@@ -193,10 +193,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("streams"))).alias("json"))
 
 
-def _first_files(entries_of_lines: DataFrame) -> DataFrame:
-    """The first file of each order."""
-    return entries_of_lines.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n")).select(
-        "l_orderkey", ((F.col("l_orderkey") * 8 + F.col("n")) * 4 + 3).alias("entry_id"))
+def entry_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(l_orderkey, entry_id)``: the first file of each order, its folder where it has no lines."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return orders.join(first, "l_orderkey", "left").select("l_orderkey", F.coalesce(
+        (F.col("l_orderkey") * 8 + F.col("n")) * 4 + 3, F.col("l_orderkey") * 4 + 2).alias("entry_id"))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,14 +206,14 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "embeddings").select(
         F.floor(vec / 4).alias("l_orderkey"), F.lit(MODEL).alias("model"),
         F.when(F.floor(vec / 4) % 5 != 0, (vec % 4).cast("double")).alias("frame_ts"), F.col("embedding").alias("vec"))
-    return conform(raw.join(_first_files(table(spark, sf_dir, "lineitem")), "l_orderkey"), "embeddings")
+    return conform(raw.join(entry_of_order(spark, sf_dir), "l_orderkey"), "embeddings")
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("l_orderkey"), F.lit("whisper").alias("model"), "lang", "text",
         (F.col("doc_id") + 1700000000).alias("created_at"))
-    return conform(raw.join(_first_files(table(spark, sf_dir, "lineitem")), "l_orderkey"), "transcripts")
+    return conform(raw.join(entry_of_order(spark, sf_dir), "l_orderkey"), "transcripts")
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:

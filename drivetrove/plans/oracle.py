@@ -88,7 +88,8 @@ entry_tags AS (
 thumbnails AS (SELECT id AS entry_id FROM files WHERE ext IN ('jpg', 'mp4', 'mov') AND (id // 4) % 3 <> 0),
 clips AS (SELECT * FROM files WHERE ext IN ('mp4', 'mov')),
 video_meta AS (SELECT id AS entry_id, qty * 1000 + 500 AS duration_ms FROM clips WHERE (id // 4) % 4 <> 0),
-first_file AS (SELECT l_orderkey AS k, (l_orderkey * 8 + min(l_linenumber)) * 4 + 3 AS entry_id FROM lineitem GROUP BY 1),
+first_file AS (SELECT o_orderkey AS k, coalesce((o_orderkey * 8 + min(l_linenumber)) * 4 + 3, o_orderkey * 4 + 2) AS entry_id
+               FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 vecs AS (
   SELECT vec_id, entry_id, CASE WHEN (vec_id // 4) % 5 <> 0 THEN CAST(vec_id % 4 AS DOUBLE) END AS frame_ts,
          CAST(embedding AS DOUBLE[]) AS v

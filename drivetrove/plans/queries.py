@@ -12,7 +12,7 @@ from drivetrove.operators import (
     compare, enrich, gather, pending, saved_search, search, stats, status, tags, tree, vectors,
 )
 from drivetrove.plans import oracle
-from drivetrove.plans.demo import BACKUP_DISK, MODEL, demo_catalog, epoch, table
+from drivetrove.plans.demo import BACKUP_DISK, MODEL, demo_catalog, entry_of_order, epoch, table
 from drivetrove.schema import TREE_COLUMNS, conform
 from drivetrove.session import materialize, scratch_path
 from drivetrove.sources import files, ingest, probes, sinks
@@ -262,15 +262,16 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return _posting_report(search.update_postings(cat.name_postings, replaced, conform(fresh, "name_postings")))
 
 
-@query("store_transcript", """, turn0 AS (SELECT entry_id, c.text FROM conversations c JOIN first_file ON k = conv_id WHERE turn = 0),
-    after AS (SELECT entry_id, text FROM transcripts t WHERE NOT EXISTS (SELECT 1 FROM turn0 n WHERE n.entry_id = t.entry_id)
-              UNION ALL SELECT * FROM turn0)""" + _posting_sql("SELECT entry_id, text FROM after"))
+@query("store_transcript", """, spoken AS (SELECT entry_id, string_agg(c.text, ' ' ORDER BY turn) AS text FROM conversations c JOIN first_file ON k = conv_id GROUP BY 1),
+    after AS (SELECT entry_id, text FROM transcripts t WHERE NOT EXISTS (SELECT 1 FROM spoken n WHERE n.entry_id = t.entry_id)
+              UNION ALL SELECT * FROM spoken)""" + _posting_sql("SELECT entry_id, text FROM after"))
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    spoken = table(cat.spark, sf_dir, "conversations").filter("turn = 0")
-    first = table(cat.spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
-    new = spoken.join(first, spoken["conv_id"] == first["l_orderkey"]).select(
-        ((F.col("l_orderkey") * 8 + F.col("n")) * 4 + 3).alias("entry_id"), F.lit("whisper").alias("model"),
-        F.lit(None).cast("string").alias("lang"), "text", F.lit(0).cast("bigint").alias("created_at"))
+    """All turns of a conversation as the new transcript of its entry."""
+    turns = table(cat.spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("l_orderkey")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    new = turns.join(entry_of_order(cat.spark, sf_dir), "l_orderkey").select(
+        "entry_id", F.lit("whisper").alias("model"), F.lit(None).cast("string").alias("lang"),
+        F.array_join(F.transform("turns", lambda t: t["text"]), " ").alias("text"), F.lit(0).cast("bigint").alias("created_at"))
     return _posting_report(ingest.upsert_transcripts(cat, new).text_postings)
 
 
@@ -283,11 +284,9 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 
 def _label_updates(cat: Catalog, sf_dir: str) -> DataFrame:
-    labels = table(cat.spark, sf_dir, "labels")
-    first = table(cat.spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("n"))
-    return labels.join(first, labels["doc_id"] == first["l_orderkey"]).select(
-        ((F.col("l_orderkey") * 8 + F.col("n")) * 4 + 3).alias("entry_id"),
-        F.concat(F.lit("q"), "quality").alias("comment"))
+    labels = table(cat.spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_orderkey")
+    return labels.join(entry_of_order(cat.spark, sf_dir), "l_orderkey").select(
+        "entry_id", F.concat(F.lit("q"), "quality").alias("comment"))
 
 
 @query("export_rows", """SELECT d.name AS disk, path, e.name, CASE WHEN is_folder THEN 'folder' ELSE coalesce(ext, '') END AS type,
@@ -838,14 +837,20 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return stats.biggest_files(cat)
 
 
-@query("browse_order", "SELECT id, name, is_folder, size_logical FROM entries")
+@query("browse_order", """SELECT id, name, is_folder, size_logical,
+    row_number() OVER (PARTITION BY parent_id ORDER BY is_folder DESC, size_logical DESC, id) AS place FROM entries WHERE parent_id IS NOT NULL""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return stats.browse_order(cat.entries, "size", desc=True).select("id", "name", "is_folder", "size_logical")
+    """Place of every entry in the listing of its folder."""
+    inside = cat.entries.filter("parent_id IS NOT NULL")
+    return stats.placed(inside, ["parent_id"], stats.browse_columns("size", desc=True)).select(
+        "id", "name", "is_folder", "size_logical", *_big("place"))
 
 
-@query("search_order", f"SELECT {_ITEM} FROM entries e JOIN disks d ON d.id = e.disk_id")
+@query("search_order", f"""SELECT {_ITEM}, row_number() OVER (PARTITION BY e.disk_id ORDER BY lower(d.name), lower(e.name), e.id) AS place
+    FROM entries e JOIN disks d ON d.id = e.disk_id""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return _items(stats.search_order(stats.with_disk_name(cat.entries, cat), "disk"))
+    found = stats.with_disk_name(cat.entries, cat)
+    return _items(stats.placed(found, ["disk_id"], stats.search_columns("disk")).withColumn("place", F.col("place").cast("bigint")), "place")
 
 
 @query("natural_key", r"""SELECT id, array_to_string(list_transform(regexp_extract_all(lower(strip_accents(name)), '\d+|\D+'), lambda r:
@@ -861,15 +866,16 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return stats.page(folders, [F.col("name"), F.col("id")], 1000)
 
 
-@query("archive_listing", "SELECT entry_id, path, is_dir, size FROM members")
+@query("archive_listing", """SELECT entry_id, path, is_dir, size,
+    row_number() OVER (PARTITION BY entry_id ORDER BY is_dir DESC, lower(path), path) AS place FROM members""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return stats.archive_listing(cat).select("entry_id", "path", "is_dir", "size")
+    return stats.placed(cat.archive_entries, ["entry_id"], stats.listing_columns()).select("entry_id", "path", "is_dir", "size", *_big("place"))
 
 
-@query("frame_strip", """SELECT entry_id, CAST(floor(duration_ms / 1000.0::DOUBLE * i / 6.0::DOUBLE * 1000) AS BIGINT) AS pos_ms
+@query("frame_strip", """SELECT entry_id, CAST(floor(duration_ms / 1000.0::DOUBLE * i / 6.0::DOUBLE * 1000) AS BIGINT) AS pos_ms, CAST(i AS BIGINT) AS place
     FROM video_meta, unnest([1, 2, 3, 4, 5]) AS u(i)""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return stats.frame_strip(cat).select("entry_id", "pos_ms")
+    return stats.placed(cat.video_frames, ["entry_id"], stats.strip_columns()).select("entry_id", "pos_ms", *_big("place"))
 
 
 @query("device_list", "SELECT id, created_at, last_seen, revoked FROM devices")
@@ -908,7 +914,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return _scored(search.search_names(cat, "red w", limit=search.SCOPED_LIMIT, disk_id=3))
 
 
-_TEXT_DOCS = "SELECT entry_id, (SELECT max(disk_id) FROM files f WHERE f.id = entry_id) AS disk_id, text FROM transcripts"
+_TEXT_DOCS = "SELECT entry_id, (SELECT max(disk_id) FROM entries f WHERE f.id = entry_id) AS disk_id, text FROM transcripts"
 _TH = oracle.bm25(_TEXT_DOCS, [("the", False), ("an", True)])
 
 
@@ -1074,3 +1080,21 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     rows = table(cat.spark, sf_dir, "lineitem").select("l_orderkey", line.cast("bigint").alias("line"),
                                                         media.hfs_to_unix(hfs).alias("unix"))
     return rows.groupBy("l_orderkey", "line", "unix").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("path_names", """SELECT page_id, regexp_extract(rtrim(url, '/'), '[^/]*$') AS base_name FROM pages""")
+def _(cat: Catalog, sf_dir: str) -> DataFrame:
+    return table(cat.spark, sf_dir, "pages").select("page_id", tx.base_name(F.col("url")).alias("base_name"))
+
+
+@query("year_bounds", """SELECT CAST(year(o_orderdate) AS BIGINT) AS year, CAST(epoch(CAST(make_date(year(o_orderdate), 1, 1) AS TIMESTAMP)) AS BIGINT) AS first_second,
+    CAST(epoch(CAST(make_date(year(o_orderdate) + 1, 1, 1) AS TIMESTAMP)) AS BIGINT) - 1 AS last_second, count(*) AS orders,
+    CAST(sum(epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))) AS BIGINT) AS days FROM orders GROUP BY 1, 2, 3""")
+def _(cat: Catalog, sf_dir: str) -> DataFrame:
+    """Seconds that bound each year of the orders, and the sum of their civil days in seconds."""
+    at = F.col("o_orderdate")
+    day = media.civil_day(F.year(at), F.month(at), F.day(at)) * 86400
+    years = table(cat.spark, sf_dir, "orders").groupBy(F.year(at).alias("y")).agg(F.count(F.lit(1)).alias("orders"), F.sum(day).alias("days"))
+    bounds = words.year_bounds(F.col("y"))
+    return years.select(F.col("y").cast("bigint").alias("year"), bounds["first"].cast("bigint").alias("first_second"),
+                        bounds["last"].cast("bigint").alias("last_second"), "orders", F.col("days").cast("bigint").alias("days"))
