@@ -202,10 +202,16 @@ def entry_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame vectors; the entries of every seventh order look almost like the order before."""
     vec = F.col("vec_id")
-    raw = table(spark, sf_dir, "embeddings").select(
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    before = own.select((vec + 4).alias("vec_id"), F.col("embedding").alias("other"))
+    tilted = F.concat(F.array((F.get("other", F.lit(0)) + F.lit(0.05).cast("float")).cast("float")), F.slice("other", 2, F.size("other") - 1))
+    copied = (F.floor(vec / 4) % 7 == 1) & F.col("other").isNotNull()
+    raw = own.join(before, "vec_id", "left").select(
         F.floor(vec / 4).alias("l_orderkey"), F.lit(MODEL).alias("model"),
-        F.when(F.floor(vec / 4) % 5 != 0, (vec % 4).cast("double")).alias("frame_ts"), F.col("embedding").alias("vec"))
+        F.when(F.floor(vec / 4) % 5 != 0, (vec % 4).cast("double")).alias("frame_ts"),
+        F.when(copied, tilted).otherwise(F.col("embedding")).alias("vec"))
     return conform(raw.join(entry_of_order(spark, sf_dir), "l_orderkey"), "embeddings")
 
 

@@ -92,8 +92,10 @@ first_file AS (SELECT o_orderkey AS k, coalesce((o_orderkey * 8 + min(l_linenumb
                FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 vecs AS (
   SELECT vec_id, entry_id, CASE WHEN (vec_id // 4) % 5 <> 0 THEN CAST(vec_id % 4 AS DOUBLE) END AS frame_ts,
-         CAST(embedding AS DOUBLE[]) AS v
-  FROM embeddings JOIN first_file ON k = vec_id // 4),
+         CAST(CASE WHEN (vec_id // 4) % 7 = 1 AND other IS NOT NULL
+           THEN list_concat([CAST(other[1] + CAST(0.05 AS FLOAT) AS FLOAT)], other[2:]) ELSE embedding END AS DOUBLE[]) AS v
+  FROM (SELECT e.vec_id, e.embedding, p.embedding AS other FROM embeddings e LEFT JOIN embeddings p ON p.vec_id = e.vec_id - 4)
+  JOIN first_file ON k = vec_id // 4),
 transcripts AS (SELECT entry_id, doc_id, lang, text FROM documents JOIN first_file ON k = doc_id),
 members AS (
   SELECT id AS entry_id, i, CASE i WHEN 0 THEN 'docs' WHEN 1 THEN 'docs/B1.txt' ELSE 'docs/a2.txt' END AS path,

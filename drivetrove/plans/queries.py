@@ -705,7 +705,7 @@ _SIG = """, sums AS (SELECT entry_id, i, sum(v[i]) AS x FROM (SELECT entry_id, v
     reps AS (SELECT min(entry_id) AS entry_id, v FROM sig GROUP BY v),
     near AS (SELECT a.entry_id AS a, b.entry_id AS b, list_dot_product(a.v, b.v) AS score FROM reps a JOIN reps b ON a.entry_id < b.entry_id)
 """
-_VISUAL = 0.2
+_VISUAL = 0.92
 
 
 @query("similarity_pairs", _SIG + f"SELECT a, b, round(score, 6) AS score FROM near WHERE score >= {_VISUAL}")
