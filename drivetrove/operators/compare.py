@@ -115,10 +115,15 @@ def within_prefixes(df: DataFrame, prefixes: list[str] | DataFrame, keys: tuple[
             inside = inside | (rel == prefix) | F.startswith(rel, F.lit(prefix + "/"))
         return df.filter(inside)
     chosen = prefixes.select(*keys, F.col("prefix").alias("_prefix")).distinct()
-    probes = df.select(*keys, "rel_path").withColumn(
-        "_prefix", F.explode(paths.prefixes(rel, include_self=True, include_root=True)))
-    inside = skew_join(probes, chosen, [*keys, "_prefix"], "left_semi", spread=rel).select(*keys, "rel_path").distinct()
-    return df.join(inside, [*keys, "rel_path"], "left_semi")
+    # what lies below a prefix depends on the parent folder only: folders are expanded, not rows
+    rows = df.withColumn("_up", paths.parent(rel))
+    parents = rows.select(*keys, "_up").distinct().withColumn(
+        "_prefix", F.explode(paths.prefixes(F.col("_up"), include_self=True, include_root=True)))
+    covered = skew_join(parents, chosen, [*keys, "_prefix"], "left_semi", spread=F.col("_up")).select(*keys, "_up").distinct()
+    below = skew_join(rows, covered, [*keys, "_up"], "left_semi", spread=rel)
+    exact = skew_join(rows.join(chosen.withColumnRenamed("_prefix", "rel_path"), [*keys, "rel_path"], "left_semi"),
+                      covered, [*keys, "_up"], "left_anti", spread=rel)
+    return below.unionByName(exact).select(*df.columns)
 
 
 def copy_plan(diff: DataFrame, include_mismatch: bool = False, prefixes: list[str] | DataFrame = (),

@@ -71,7 +71,7 @@ def with_place(df: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Add ``gps_place`` for ``gps_lat``/``gps_lon``; out-of-range coordinates stay NULL."""
     known = nearest_place(df.select(F.col("gps_lat").alias("lat"), F.col("gps_lon").alias("lon")), gazetteer).select(
         F.col("lat").alias("gps_lat"), F.col("lon").alias("gps_lon"), F.col("place").alias("gps_place"))
-    return skew_join(df.drop("gps_place"), known, ["gps_lat", "gps_lon"], "left")
+    return skew_join(df.drop("gps_place"), known, ["gps_lat", "gps_lon"], "left", spread=F.xxhash64(*sorted(df.columns)))
 
 
 def with_light(df: DataFrame) -> DataFrame:

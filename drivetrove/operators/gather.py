@@ -31,7 +31,7 @@ def gather_plan(cat: Catalog, ids: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     nested into its group row.
     """
     files = gather_files(cat, ids)
-    _, folders = expand_to_files(cat.entries, ids)
+    folders = cat.entries.filter("is_folder").join(ids.select("id").distinct(), "id", "left_semi")
     expanded = folders.agg(F.count(F.lit(1))).scalar()
     totals = files.agg(
         F.count(F.lit(1)).alias("total_files"),

@@ -11,9 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from drivetrove.functions import paths, words
 from drivetrove.session import materialize, skew_join
 
-#: 2**12 = 4096 levels, the depth at which a chain counts as a cycle.
-MAX_DOUBLINGS = 12
-
 
 def _containers(nodes: DataFrame) -> DataFrame:
     """Every node that may have children: folders, plus the rare non-folder named as a parent."""
@@ -26,13 +23,18 @@ def _containers(nodes: DataFrame) -> DataFrame:
 
 
 def _close_chains(containers: DataFrame) -> DataFrame:
-    """Full ancestor chain of each container: ``id, chain, names`` from the root to the node itself."""
+    """Full ancestor chain of each container: ``id, chain, names`` from the root to the node itself.
+
+    A chain that meets one of its own nodes again is a cycle and stops there, with ``up`` not NULL; any other chain
+    goes on, however deep.
+    """
     done = materialize(
         containers.select(
             "id", F.col("parent_id").alias("up"), F.array("id").alias("chain"), F.array("name").alias("names")
         ), "chains")
-    for _ in range(MAX_DOUBLINGS + 1):
-        moving = done.filter("up IS NOT NULL")
+    open_end = F.col("up").isNotNull() & ~F.array_contains("chain", F.col("up"))
+    while True:
+        moving = done.filter(open_end)
         if moving.isEmpty():
             break
         above = done.select(F.col("id").alias("up"), F.col("up").alias("_up"),
@@ -42,7 +44,7 @@ def _close_chains(containers: DataFrame) -> DataFrame:
             F.concat(F.coalesce("_chain", F.array().cast("array<bigint>")), "chain").alias("chain"),
             F.concat(F.coalesce("_names", F.array().cast("array<string>")), "names").alias("names"),
         )
-        done = materialize(done.filter("up IS NULL").unionByName(moved), "chains")
+        done = materialize(done.filter(~open_end).unionByName(moved), "chains")
     return done
 
 
@@ -113,13 +115,15 @@ def rel_index(entries: DataFrame, disk_id: int | None = None, root_id: int | Non
 
 def subtree(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """Given nodes and all their descendants, each once. ``ids`` has a column ``id``."""
-    wanted = ids.select(F.col("id").alias("_root")).distinct()
-    hits = (
-        entries.select("id", F.explode(F.concat("ancestor_ids", F.array("id"))).alias("_root"))
-        .transform(lambda d: skew_join(d, wanted, "_root", "left_semi", spread=F.col("id")))
-        .select("id").distinct()
-    )
-    return entries.join(hits, "id", "left_semi")
+    wanted = ids.select("id").distinct()
+    # what lies below a chosen node depends on the parent only: parents are expanded, not entries
+    parents = entries.filter("parent_id IS NOT NULL").select("parent_id", "ancestor_ids").distinct().select(
+        "parent_id", F.explode("ancestor_ids").alias("_root"))
+    covered = skew_join(parents, wanted.withColumnRenamed("id", "_root"), "_root", "left_semi", spread=F.col("parent_id")) \
+        .select("parent_id").distinct()
+    below = skew_join(entries, covered, "parent_id", "left_semi", spread=F.col("id"))
+    tops = skew_join(entries.join(wanted, "id", "left_semi"), covered, "parent_id", "left_anti", spread=F.col("id"))
+    return below.unionByName(tops)
 
 
 def expand_to_files(entries: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

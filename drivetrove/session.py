@@ -65,19 +65,24 @@ def is_small(df: DataFrame) -> bool:
     return int(str(estimate)) <= limit
 
 
+#: Buckets of rows with a NULL key, which match nothing and only must not meet in one task.
+UNMATCHED_SALTS = 1024
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: str | list[str],
     how: str = "inner",
-    spread: Column | None = None,
+    *,
+    spread: Column,
     hot_rows: int = 2_000_000,
-    salts: int = 64,
 ) -> DataFrame:
     """Join where ``left`` may hold a huge share of its rows under one key.
 
-    Keys of ``left`` with more than ``hot_rows`` rows are spread over ``salts`` buckets and only the
-    matching rows of ``right`` are repeated; a right side small enough to broadcast skips all that. At most ``rows / hot_rows`` keys can be hot, so the list of
+    Keys of ``left`` with more than ``hot_rows`` rows are spread over one bucket for each ``hot_rows`` of them and
+    only the matching rows of ``right`` are repeated; a right side small enough to broadcast skips all that.
+    ``spread`` is a column that a task run again finds unchanged. At most ``rows / hot_rows`` keys can be hot, so the list of
     hot keys is small by construction. Valid for joins that never pad ``right``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -87,23 +92,20 @@ def skew_join(
         return left.join(right, keys, how)  # a broadcast join has no hot task
     hot = (
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+        .filter(F.col("_n") > hot_rows).select(*keys, F.ceil(F.col("_n") / hot_rows).alias("_salts"))
     )
-    bucket = spread if spread is not None else F.monotonically_increasing_id()
     unmatched = F.lit(False)  # NULL keys never match, so they may go anywhere
     for key in keys:
         unmatched = unmatched | F.col(key).isNull()
     salted = (
         left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | unmatched,
-                                    F.pmod(F.xxhash64(bucket), F.lit(salts)).cast("int"))
-                    .otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), F.when(unmatched, F.lit(UNMATCHED_SALTS)).otherwise(
+            F.coalesce("_salts", F.lit(1)))).cast("int"))
+        .drop("_salts")
     )
     repeated = (
         right.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                       .otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), (F.coalesce("_salts", F.lit(1)) - 1).cast("int"))))
+        .drop("_salts")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from drivetrove.functions import media, paths, text as tx, words
 from drivetrove.operators.tree import tree_from_paths
 
-#: Files up to this size are hashed by the JVM from the binary source, larger ones as a stream.
-WHOLE_FILE = 64 * 1024 * 1024
 CHUNK = 8 * 1024 * 1024
 
 
@@ -88,16 +86,11 @@ def _stream_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                               names=["rel_path", "size", "content_hash"])
 
 
-def content_hash(spark: SparkSession, root: str, whole: int = WHOLE_FILE) -> DataFrame:
-    """SHA-256 of every file. Large files are read in chunks, one row of bytes never holds them."""
-    found = _scan(spark, root)
-    small = found.filter(F.col("length") <= whole).select(
-        _relative(root).alias("rel_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"))
-    # one task per few large files instead of per listing split
-    large = found.filter(F.col("length") > whole).select("path", _relative(root).alias("rel_path"),
-                                                         F.col("length").alias("size")).repartition("path")
-    hashed = large.mapInArrow(_stream_hashes, "rel_path string, size bigint, content_hash string")
-    return small.unionByName(hashed).withColumn("hash_algo", F.when(F.col("content_hash").isNotNull(), "sha256"))
+def content_hash(spark: SparkSession, root: str) -> DataFrame:
+    """SHA-256 of every file, read in chunks so that no row of bytes holds one; NULL where a file cannot be read."""
+    found = _scan(spark, root).select("path", _relative(root).alias("rel_path"), F.col("length").alias("size"))
+    hashed = found.repartition("path").mapInArrow(_stream_hashes, "rel_path string, size bigint, content_hash string")
+    return hashed.withColumn("hash_algo", F.when(F.col("content_hash").isNotNull(), "sha256"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

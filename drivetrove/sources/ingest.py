@@ -149,7 +149,7 @@ def preserve_enrichment(fresh: DataFrame, old: DataFrame, keys: tuple[str, ...]
     # several old nodes on one path: the newest one counts
     kept = old.filter((~F.col("is_folder")) & any_known & F.col("rel_path").isNotNull()).groupBy(*on).agg(
         F.max(F.struct("id", "size_logical", "modified_at", *ENRICHMENT)).alias("_o"))
-    joined = skew_join(fresh, kept, on, "left")
+    joined = skew_join(fresh, kept, on, "left", spread=F.col("id"))
     unchanged = ((~F.col("is_folder")) & F.col("modified_at").isNotNull()
                  & (F.col("_o.modified_at") == F.col("modified_at"))
                  & (F.col("_o.size_logical") == F.col("size_logical")))

@@ -93,7 +93,7 @@ def test_inventory_hashes_and_archives(spark, tmp_path):
     assert rows(tree, "rel_path", "is_folder", "ext") == [
         ("A", True, None), ("A/a.txt", False, "txt"), ("bad.zip", False, "zip"), ("z.zip", False, "zip")]
     assert tree.filter("rel_path = 'A/a.txt'").first()["modified_at"] == int(os.path.getmtime(root / "A" / "a.txt"))
-    hashed = dict(rows(files.content_hash(spark, str(root), whole=8), "rel_path", "content_hash"))
+    hashed = dict(rows(files.content_hash(spark, str(root)), "rel_path", "content_hash"))
     assert hashed == {str(f.relative_to(root)): hashlib.sha256(f.read_bytes()).hexdigest() for f in root.rglob("*") if f.is_file() and not f.name.startswith(".")}
     members = files.archive_index(spark, str(root))
     assert rows(members, "path", "name", "is_dir", "size", "modified") == [

@@ -100,7 +100,7 @@ def test_skew_join_equals_plain_join(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
     try:
         for how in ("inner", "left", "left_semi", "left_anti"):
-            got = skew_join(left, right, "k", how, spread=F.col("v"), hot_rows=100, salts=8)
+            got = skew_join(left, right, "k", how, spread=F.col("v"), hot_rows=100)
             plain = left.join(right, "k", how)
             assert rows(got, *sorted(got.columns)) == rows(plain, *sorted(plain.columns))
     finally:
