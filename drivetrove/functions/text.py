@@ -77,8 +77,12 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, encode), "")
 
 
+#: A word as the index sees it: letters and digits, with the marks that folding takes off them.
+_WORD = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f])*")
+
+
 def _cut(text: str, terms: list[tuple[str, bool]], size: int, left: str, right: str, gap: str) -> str:
-    found = list(re.finditer(r"[^\W_]+", text))
+    found = list(_WORD.finditer(text))
     folded = [fold_py(m.group()) for m in found]
     term_of = [next((i for i, (t, prefix) in enumerate(terms) if (w.startswith(t) if prefix else w == t)), -1)
                for w in folded]
