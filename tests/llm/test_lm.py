@@ -19,7 +19,7 @@ def held(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
 
 
-def brute(rows, order, strength=100.0):
+def brute(rows, order, strength=300.0):
     c = Counter()
     for i, t in rows:
         if not held(i):
