@@ -21,7 +21,7 @@ from .common import materialize, only, small_batches, texts, utf8
 SHINGLE, BANDS, ROWS = 4, 20, 4
 K = BANDS * ROWS
 #: Samples and bits of the odd sketches.
-BINS, BITS = 1024, 2048
+BINS, BITS = 2048, 4096
 SIGMAS = 5
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 2**32, K, np.uint32) | np.uint32(1))
@@ -71,7 +71,7 @@ def bit_limits(n1: np.ndarray, n2: np.ndarray, m1: np.ndarray, m2: np.ndarray, l
     """
     union = (n1 + n2) / (1 + least)
     filled = BINS * (1 - np.exp(-union / BINS))
-    spread = least * (1 - least) * filled * (1 - filled / np.maximum(union, filled)) + 1  # samples are drawn without replacement
+    spread = least * (1 - least) * filled * np.maximum(1 - filled / np.maximum(union, filled), 0.25) + 1  # drawn without replacement, but some hide others
     agree = least * filled - SIGMAS * np.sqrt(spread)
     load = np.maximum(m1 + m2 - 2 * np.maximum(agree, 0), 0) / BITS
     chance = 1 - np.exp(-2 * load)
@@ -228,11 +228,11 @@ def linked(docs: DataFrame, classes: DataFrame, least: int, block: int, small_id
     opened = materialize(opened, "open")
     if opened.isEmpty():
         return labels
-    facts_of = classes.select(F.col("set_key").alias("node"), "n_shingles", "samples", "sketch")
+    facts_of = classes.select(F.col("set_key").alias("node"), "n_shingles", "samples", "sketch", "bands")
     members = known.join(opened, "key").join(facts_of, "node")
     left = members.filter("label != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    columns = ["key", "block", "node", "label", "n_shingles", "samples", "sketch"]
+    columns = ["key", "block", "node", "label", "n_shingles", "samples", "sketch", "bands"]
 
     def held_against(some: pa.Table, others: pa.Table) -> pa.Table:
         if not some.num_rows or not others.num_rows:
@@ -242,12 +242,16 @@ def linked(docs: DataFrame, classes: DataFrame, least: int, block: int, small_id
         names, maps = ([t.column("label").to_pylist() for t in (some, others)], [bitmaps(t.column("sketch").combine_chunks()) for t in (some, others)])
         hub, node, mine, theirs = [], [], some.column("node").to_pylist(), others.column("node").to_pylist()
         other_names = np.array(names[1], object)
+        bands = [t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) for t in (some, others)]
+        here = int(np.flatnonzero(bands[0][0] == some.column("key")[0].as_py())[0])
         for i in range(some.num_rows):
             differ = np.bitwise_count(maps[1] ^ maps[0][i]).sum(axis=1, dtype=np.int64)
             n1, m1 = a[0][i], a[1][i]
             keep = (differ <= bit_limits(n1, b[0], m1, b[1], least / 100)) & (100 * np.minimum(n1, b[0]) >= least * np.maximum(n1, b[0]))
             keep &= other_names != names[0][i]
-            for j in np.flatnonzero(keep).tolist():
+            some_js = np.flatnonzero(keep)
+            # a pair is told once, in the first band that it shares
+            for j in some_js[(bands[1][some_js] == bands[0][i]).argmax(axis=1) == here].tolist():
                 hub.append(mine[i])
                 node.append(theirs[j])
         return pa.table([pa.array(hub, pa.binary()), pa.array(node, pa.binary())], ["hub", "node"])
