@@ -79,4 +79,27 @@ hi AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS name
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hw.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(hi.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(hi.names, '')) AS items_sha256, coalesce(hw.n_hit, 0) > 0 AND 20 * coalesce(hw.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op5_minhash_dedup": rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(id, m) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT id AS doc_id, min(m) AS component_id FROM r GROUP BY id)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n USING (doc_id)""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, p * 400 AS a, substr(h, 800 * p + 1, 998) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 800 + 1)) AS p FROM d)),
+w AS (SELECT doc_id, a + j AS i, md5(substr(h, 2 * j + 1, 200)) AS k FROM (SELECT doc_id, a, h, unnest(range(0, least(greatest(len(h) // 2 - 99, 0), 400))) AS j FROM c)),
+f AS (SELECT k, min({'d': doc_id, 'i': i}) AS f FROM w GROUP BY k),
+l AS (SELECT w.doc_id, w.i FROM w JOIN f USING (k) WHERE w.doc_id <> f.f.d OR w.i <> f.f.i),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > before + 100 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY 1, 2),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+x AS (SELECT q.doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept
+      FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN x.doc_id IS NULL THEN h ELSE x.kept || substr(h, 2 * x.last + 1) END)) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id""",
 }
