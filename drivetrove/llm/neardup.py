@@ -2,14 +2,14 @@
 
 Equal sets collapse into one class before anything else. Inside a band bucket members are compared with one hub, the member
 that meets most others over all its buckets, never all with all. Only where that leaves a bucket in several components, the
-members outside the largest one are held against the others, block by block and by sketches alone. Odd sketches drop pairs
-that are below the threshold beyond sampling error; the rest is confirmed on the sets themselves, so no link is wrong.
+members outside the largest one are held against the others, in pairs of bounded blocks; a block tells one link between a
+member and each other component at most, as more would join nothing. Odd sketches drop pairs that are below the threshold
+beyond sampling error; the rest is confirmed on the sets themselves, so no link is wrong.
 Missed links: two sets at the threshold share no band with probability (1 - 0.8^rows)^bands, 3e-5 for 20 bands of 4.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -111,6 +111,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def similar_sets(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= least * (len(x) + len(y) - shared)
+
+
 class Verifier:
     """Keeps what is needed to confirm pairs of classes: their sketches, sizes and one document each."""
 
@@ -132,9 +137,8 @@ class Verifier:
 
         return pairs.join(sides[0], "hub").join(sides[1], "node").mapInArrow(close, "hub binary, node binary")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of stored pairs (hub, node) whose full shingle sets are similar enough, as edges (a, b)."""
-        nodes = pairs.select(F.col("hub").alias("set_key")).union(pairs.select(F.col("node").alias("set_key"))).distinct()
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """Full shingle sets (set_key, members) of classes, from the text of one document each."""
         wanted = materialize(nodes.join(self.classes.select("set_key", "rep"), "set_key"), "wanted")
         ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
         if wanted.count() <= self.small_ids:
@@ -150,7 +154,11 @@ class Verifier:
                                                       pa.array([x.tobytes() for x in found], pa.binary())], ["set_key", "members"])
 
         sets = chosen.mapInArrow(to_sets, "set_key binary, members binary").join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
-        sets = materialize(sets, "sets")
+        return materialize(sets, "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Those of stored pairs (hub, node) whose full shingle sets are similar enough, as edges (a, b)."""
+        sets = self.sets_of(pairs.select(F.col("hub").alias("set_key")).union(pairs.select(F.col("node").alias("set_key"))).distinct())
         both = pairs.join(sets.select(F.col("set_key").alias("node"), F.col("members").alias("y")), "node") \
                     .join(sets.select(F.col("set_key").alias("hub"), F.col("members").alias("x")), "hub")
         least = self.least
@@ -158,11 +166,8 @@ class Verifier:
         def similar(batches):
             for batch in batches:
                 for part in small_batches(batch, "y"):
-                    keep = []
-                    for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist()):
-                        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        keep.append(100 * shared >= least * (len(x) + len(y) - shared))
+                    keep = [similar_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least)
+                            for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
                     part = part.filter(pa.array(keep, pa.bool_()))
                     yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("node")], ["a", "b"])
 
@@ -224,52 +229,58 @@ def linked(docs: DataFrame, classes: DataFrame, least: int, block: int, small_id
     known = materialize(known, "labelled")
     shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     opened = shares.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")) \
-                   .filter("size > most").select("key", "main", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    opened = materialize(opened, "open")
-    if opened.isEmpty():
+                   .filter("size > most").select("key", "main")
+    # open buckets with the same largest component are looked at together, each member once
+    met = materialize(known.join(opened, "key").select("main", "node", "label").distinct(), "open")
+    if met.isEmpty():
         return labels
+    sizes = met.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m_blocks"),
+                                    F.ceil(F.count_if(F.col("label") != F.col("main")) / block).cast("int").alias("s_blocks"))
     facts_of = classes.select(F.col("set_key").alias("node"), "n_shingles", "samples", "sketch", "bands")
-    members = known.join(opened, "key").join(facts_of, "node")
-    left = members.filter("label != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    columns = ["key", "block", "node", "label", "n_shingles", "samples", "sketch", "bands"]
+    sets = verifier.sets_of(met.select(F.col("node").alias("set_key")).distinct()).withColumnRenamed("set_key", "node")
+    members = met.join(sizes, "main").join(facts_of, "node").join(sets, "node")
+    columns = ["main", "s_block", "m_block", "node", "label", "n_shingles", "samples", "sketch", "bands", "members"]
+    place = F.xxhash64("node")
+    left = members.filter("label != main").withColumns({
+        "s_block": F.pmod(place, "s_blocks").cast("int"), "m_block": F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))}).select(columns)
+    right = members.withColumns({
+        "m_block": F.pmod(place, "m_blocks").cast("int"), "s_block": F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1))}).select(columns)
+    right = right.toDF(*[f"r_{c}" for c in columns])  # new names: both sides stem from the same table
 
     def held_against(some: pa.Table, others: pa.Table) -> pa.Table:
-        if not some.num_rows or not others.num_rows:
-            return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary())], ["hub", "node"])
-        others = others.rename_columns(columns)
-        a, b = ([t.column(c).to_numpy() for c in ("n_shingles", "samples")] for t in (some, others))
-        names, maps = ([t.column("label").to_pylist() for t in (some, others)], [bitmaps(t.column("sketch").combine_chunks()) for t in (some, others)])
-        hub, node, mine, theirs = [], [], some.column("node").to_pylist(), others.column("node").to_pylist()
-        other_names = np.array(names[1], object)
-        bands = [t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) for t in (some, others)]
-        here = int(np.flatnonzero(bands[0][0] == some.column("key")[0].as_py())[0])
-        for i in range(some.num_rows):
-            differ = np.bitwise_count(maps[1] ^ maps[0][i]).sum(axis=1, dtype=np.int64)
-            n1, m1 = a[0][i], a[1][i]
-            keep = (differ <= bit_limits(n1, b[0], m1, b[1], least / 100)) & (100 * np.minimum(n1, b[0]) >= least * np.maximum(n1, b[0]))
-            keep &= other_names != names[0][i]
-            some_js = np.flatnonzero(keep)
-            # a pair is told once, in the first band that it shares
-            for j in some_js[(bands[1][some_js] == bands[0][i]).argmax(axis=1) == here].tolist():
-                hub.append(mine[i])
-                node.append(theirs[j])
-        return pa.table([pa.array(hub, pa.binary()), pa.array(node, pa.binary())], ["hub", "node"])
-
-    # what a hub was held against before is known not to be similar
-    right = right.select(columns).toDF(*[f"r_{c}" for c in columns])  # new names: both sides stem from the same table
-    apart = left.select(columns).groupBy("key", "block").cogroup(right.groupBy("r_key", "r_block")).applyInArrow(held_against, "hub binary, node binary")
-    apart = apart.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
-    tested = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-    apart = materialize(apart.join(tested, ["hub", "node"], "left_anti"), "apart")
-    if apart.isEmpty():
-        return labels
-    more = verifier.confirmed(apart)
+        """One link between each member outside the largest component and each other component that it meets, if there is any."""
+        a, b = [], []
+        if some.num_rows and others.num_rows:
+            x, y = Side(some), Side(others.rename_columns(columns))
+            for i in range(some.num_rows):
+                near = (y.bands == x.bands[i]).any(axis=1) & (y.label != x.label[i])
+                near &= np.bitwise_count(y.maps ^ x.maps[i]).sum(axis=1, dtype=np.int64) <= bit_limits(x.n[i], y.n, x.m[i], y.m, least / 100)
+                linked_to = set()
+                for j in np.flatnonzero(near).tolist():
+                    if y.label[j] not in linked_to and similar_sets(x.sets[i], y.sets[j], least):
+                        linked_to.add(y.label[j])
+                        a.append(x.node[i])
+                        b.append(y.node[j])
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    more = left.groupBy("main", "s_block", "m_block").cogroup(right.groupBy("r_main", "r_s_block", "r_m_block")).applyInArrow(held_against, "a binary, b binary")
+    more = materialize(more, "links")
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
 
+class Side:
+    """Columns of one side of a block, as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.label = rows.column("node").to_pylist(), np.array(rows.column("label").to_pylist(), object)
+        self.n, self.m = rows.column("n_shingles").to_numpy(), rows.column("samples").to_numpy()
+        self.maps = bitmaps(rows.column("sketch").combine_chunks())
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+
+
 def one_of_each(docs: DataFrame, least: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near-duplicates does, with all their columns. A row that
     stands there more than once, alike in all columns, stays once. Rows without id can't be told apart by it, so they stay
