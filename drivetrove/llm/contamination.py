@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -79,18 +80,19 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[list[int]]:
     return [[int(before[places[a][0]]), int(before[places[b - 1][1]])] for a, b in ranges]
 
 
-def blocks_of(benchmark: DataFrame, limit: int) -> list[list[tuple[str | None, str | None]]]:
-    """The test items in blocks of at most ``limit`` bytes of text (one item at least), streamed through the driver."""
-    out: list[list[tuple[str | None, str | None]]] = [[]]
+def blocks_of(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The test items in blocks of at most ``limit`` bytes of text (one item at least), streamed through the driver; at least
+    one block, which may be empty."""
+    block: list[tuple[str | None, str | None]] = []
     held = 0
     for row in only(benchmark, item_id="string", text="string").toLocalIterator():
         size = len(utf8(row["text"]))
-        if out[-1] and held + size > limit:
-            out.append([])
-            held = 0
-        out[-1].append((row["item_id"], row["text"]))
+        if block and held + size > limit:
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], row["text"]))
         held += size
-    return out
+    yield block
 
 
 def digest(items: list[str]) -> str:
