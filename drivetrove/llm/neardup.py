@@ -281,16 +281,18 @@ class Side:
         self.sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
 
 
-def one_of_each(docs: DataFrame, least: int = 80) -> DataFrame:
+def one_of_each(docs: DataFrame, least: int = 80, small_ids: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near-duplicates does, with all their columns. A row that
     stands there more than once, alike in all columns, stays once. Rows without id can't be told apart by it, so they stay
     together if one of them does."""
-    judged = materialize(near_duplicates(docs, least), "judged")
+    judged = materialize(near_duplicates(docs, least, small_ids=small_ids), "judged")
     known = judged.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     key = names[[c.lower() for c in docs.columns].index("doc_id")]
     plain = docs.toDF(*names)
     single, several = known.filter("n = 1").select(F.col("doc_id").alias(key)), known.filter("n > 1").select(F.col("doc_id").alias(key))
+    if judged.filter("kept").count() <= small_ids:  # beyond that both sides are shuffled
+        single = F.broadcast(single)
     kept = plain.join(single, key, "left_semi")
     if not several.isEmpty():
         kept = kept.unionByName(plain.join(several, key, "left_semi").dropDuplicates())
