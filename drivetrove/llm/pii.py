@@ -33,6 +33,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SECRET = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=[\"'])[0-9a-f]{24,}(?=[\"'])")
+# Runs that are candidates whole, whatever their token count: letters and digits, parts of addresses, numbers, quoted ones, words.
+_RUNS = tuple(re.compile(x) for x in (r"[^\W_]+", r"[\w.%+@-]+", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", r"\+[0-9][ ().0-9-]+[0-9]", r"(?<=\")[^\s\"]+(?=\")|(?<=')[^\s']+(?=')", r"\S+"))
 _ASKS = re.compile(r"(?:token|secret|passw(?:or)?d|api.?key|key|auth)\W*$", re.I)
 
 
@@ -80,6 +82,11 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def seeds(text: str) -> list[Span]:
+    """Secrets that are known by their form."""
+    return [("secret", *m.span()) for m in _SECRET.finditer(text)]
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
     """Runs of words with a digit or an @ on one line: where entities can be."""
     if not _TRIGGER.search(text):
@@ -107,8 +114,11 @@ FEATURES = (
 )
 
 
-@lru_cache(maxsize=50_000)
 def own_features(x: str) -> tuple[int, ...]:
+    return _short_features(x) if len(x) <= 160 else _features(x)
+
+
+def _features(x: str) -> tuple[int, ...]:
     d = only_digits(x)
     out = [0, 1 if len(d) < 8 else 2 if len(d) < 16 else 3 if len(d) < 20 else 4]
     at = x.count("@")
@@ -149,20 +159,36 @@ def own_features(x: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+_short_features = lru_cache(maxsize=50_000)(_features)
+
+
 def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[int, ...]]]]:
-    """Tokens of a region and the candidate segments over them: (first, end token, features)."""
+    """Tokens of a region and the candidate segments over them: (first, end token, features). Candidates are all short runs of
+    tokens, and the runs of ``_RUNS`` at any length."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     out = []
     asked = bool(_ASKS.search(text[max(0, start - 24):start].rstrip(" \"'=:"))) if start else False
+    first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: j for j, (_, b) in enumerate(tokens, 1)}
+    long: dict[int, set[int]] = {}
+    for run in _RUNS:
+        for m in run.finditer(text, start, end):
+            a, b = m.span()
+            while a < b and not (text[a].isalnum() or text[a] in "+(_%"):
+                a += 1
+            while a < b and not text[b - 1].isalnum():
+                b -= 1
+            if a < b and a in first and b in last and (last[b] - first[a] > MOST_TOKENS or b - a > 160):
+                long.setdefault(first[a], set()).add(last[b])
     for i, (a, _) in enumerate(tokens):
         c = text[a]
         if not (c.isalnum() or c in "+(_%"):
             continue
         left = text[a - 1] if a else " "
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
+        near = min(len(tokens), i + MOST_TOKENS)
+        while tokens[near - 1][1] - a > 160 and near > i:
+            near -= 1
+        for j in [*range(i + 1, near + 1), *sorted(long.get(i, ()))]:
             b = tokens[j - 1][1]
-            if b - a > 160:
-                break
             if not text[b - 1].isalnum():
                 continue
             x = text[a:b]
@@ -233,7 +259,7 @@ def fit(examples: list[tuple[str, int, int]], rounds: int = 8, rate: float = 0.3
     ready = []
     for text, start, end in examples:
         tokens, found = segments(text, start, end)
-        gold = {(a, b): KINDS.index(k) for k, a, b in [*base_spans(text), *(("secret", *m.span()) for m in _SECRET.finditer(text))] if start <= a and b <= end}
+        gold = {(a, b): KINDS.index(k) for k, a, b in [*base_spans(text), *seeds(text)] if start <= a and b <= end}
         truth = [(k, gold[tokens[i][0], tokens[j - 1][1]]) for k, (i, j, _) in enumerate(found) if (tokens[i][0], tokens[j - 1][1]) in gold]
         if len(truth) == len(gold) and found:
             x = np.zeros((len(found), len(FEATURES)))
@@ -338,7 +364,8 @@ def without_personal_data(docs: DataFrame, sample: int = 1500) -> DataFrame:
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = [n.lower() for n in batch.schema.names]
         at, old = names.index("text"), batch.column("text").to_pylist()
-        new = [t if t is None or not (found := sum(all_spans(t, weights), [])) else redacted(t, found) for t in old]
+        found = [all_spans(t or "", weights) + (seeds(t or ""),) for t in old]  # a secret goes whole even where a pattern found a part of it
+        new = [t if t is None or not any(f) else redacted(t, sum(f, [])) for t, f in zip(old, found)]
         columns = list(batch.columns)
         columns[at] = pa.array(new, batch.schema.field(at).type)
         if "n_chars" in names and pa.types.is_integer(batch.schema.field(c := names.index("n_chars")).type):

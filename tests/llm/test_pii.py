@@ -96,3 +96,33 @@ def test_edges(spark, docs):
 
 def test_redaction():
     assert pii.redacted("mail a@b.co or 1.2.3.4!", [("email", 5, 11), ("ip", 15, 22)]) == "mail [EMAIL] or [IP]!"
+
+
+def test_secrets_whole(spark):
+    df = table(spark, "/root/testdata/sf0.1", "documents").filter("text rlike '[\"\\'][0-9a-f]{24,}[\"\\']|AKIA[0-9A-Z]{16}'")
+    weights, n = pii.train(table(spark, "/root/testdata/sf0.1", "documents")), 0
+    for r in df.collect():
+        want = set(pii.seeds(r["text"]))
+        assert want <= set(pii.decode(r["text"], weights))
+        assert want <= set(pii.all_spans(r["text"], weights)[1])
+        n += sum(b - a == 40 for _, a, b in want)
+    assert n > 100
+    rng = random.Random(7)
+    for size in (32, 40, 64, 400):
+        for form in ('a token = "{}" b', "a password: '{}'"):
+            secret = "".join(rng.choices("0123456789abcdef", k=size))
+            text = form.format(secret)
+            assert ("secret", text.index(secret), text.index(secret) + size) in pii.decode(text, weights), text
+
+
+def test_secrets_train():
+    text = 'token = "1a2b3c4d5e6f7a8b9c0d1e2f3a4b5c6d7e8f9a0b"'
+    tokens, found = pii.segments(text, 8, len(text))
+    assert any((tokens[i][0], tokens[j - 1][1]) == (9, 49) for i, j, _ in found)
+    assert pii.fit([(text, 8, len(text))]).any()  # zeros before: the example was thrown out
+
+
+def test_secret_around_a_card(spark, docs):
+    secret = "a4111111111111111b" + "c0" * 11
+    got = pii.without_personal_data(docs([(1, f'token = "{secret}" end')])).first()["text"]
+    assert got == 'token = "[SECRET]" end'
