@@ -293,7 +293,7 @@ def fit(examples: list[tuple[str, int, int]], rounds: int = 8, rate: float = 0.3
 
 
 def train(docs: DataFrame, sample: int = 1500, seed: int = 3) -> np.ndarray:
-    """Fits on the ``sample`` regions of the corpus that come first in a seeded order; each is sent with up to 40 characters
+    """Fits on the ``sample`` distinct regions of the corpus that come first in a seeded order; each is sent with up to 40 characters
     around it and regions of over 400 characters aren't examples."""
 
     def run(batches):
@@ -303,7 +303,7 @@ def train(docs: DataFrame, sample: int = 1500, seed: int = 3) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))], ["x", "a", "b"])
 
     found = only(docs, text="string").filter(F.col("text").rlike("[0-9@]")).mapInArrow(run, "x string, a int, b int")
-    rows = found.orderBy(F.xxhash64(F.lit(seed), "x", "a"), "x", "a").limit(sample).collect()
+    rows = found.distinct().orderBy(F.xxhash64(F.lit(seed), "x", "a"), "x", "a").limit(sample).collect()
     return fit([(r["x"], r["a"], r["b"]) for r in rows])
 
 

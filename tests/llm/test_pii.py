@@ -126,3 +126,10 @@ def test_secret_around_a_card(spark, docs):
     secret = "a4111111111111111b" + "c0" * 11
     got = pii.without_personal_data(docs([(1, f'token = "{secret}" end')])).first()["text"]
     assert got == 'token = "[SECRET]" end'
+
+
+def test_sample_is_of_distinct_regions(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda examples: seen.extend(examples))
+    pii.train(docs([(k, f"mail user{k % 12}@host.org now") for k in range(240)]), sample=10)
+    assert len(seen) == len(set(seen)) == 10
