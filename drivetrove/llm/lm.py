@@ -1,11 +1,11 @@
-"""Language-model scoring with a weighted backoff automaton of smoothed n-grams.
+"""Language-model scoring with interpolated n-grams.
 
-A history of words with counts is a state. An n-gram seen after it is an arc with its smoothed probability; any other word
-takes the failure arc, whose weight is the mass left for unseen words, to the state without the oldest word. The state of a
-text moves left to right, one word at a time, and the arc weights add up.
+Every n-gram length is one pass over arrays of all tokens of a block: where the words before a token have counts, its
+probability mixes their counts with the probability by the shorter history. No automaton with states, arcs and failure links is
+built; one with these weights would score alike.
 
-The automaton of the whole corpus is never gathered: a block of documents gets the counts of just those n-grams that it
-holds, and builds its part of the automaton from them, which weighs its texts exactly as the whole would.
+The counts of the whole corpus are never gathered: a block of documents gets the counts of just those n-grams that it
+holds.
 """
 
 from __future__ import annotations
