@@ -17,6 +17,7 @@ from .pii import personal_data
 from .quality import quality
 from .repeats import without_repeats
 from .toxicity import toxicity
+from .warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,11 +62,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_pii, op4_html_extraction, op5_minhash_dedup, op6_suffix_dedup, op7_toxicity, op8_licences, op9_lm_scoring, op10_mixing)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality, op2_decontamination, op3_pii, op4_html_extraction, op5_minhash_dedup, op6_suffix_dedup, op7_toxicity, op8_licences, op9_lm_scoring, op10_mixing, op11_warc)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BASE32 = "translate(" + " || ".join(
+    f"substr('0123456789ABCDEFGHIJKLMNOPQRSTUV', 1 + CAST(('0x' || substr(h, {5 * k + 1}, 5))::BIGINT >> {shift} & 31 AS INT), 1)" for k in range(8) for shift in (15, 10, 5, 0)
+) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
 ORACLES: dict[str, str] = {
     "op8_licences": duckdb_sql(),
+    "op11_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT *, sha1(html) AS h FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d""",
     "op2_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

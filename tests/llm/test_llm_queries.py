@@ -6,7 +6,8 @@ import pytest
 from drivetrove.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "conversations")
+ROWS = {"op4_html_extraction": 50, "op11_warc": 50}
 
 
 def canonical(value):
@@ -18,7 +19,7 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted(tuple(canonical(r[c]) for c in columns) for r in df.collect())
-    assert len(got) == (50 if name.startswith("op4") else 200)
+    assert len(got) == ROWS.get(name, 200)
     if name in ORACLES:
         db = duckdb.connect()
         for t in TABLES:
