@@ -33,7 +33,7 @@ def base32(hexed: Column) -> Column:
 
 def record_id(*parts: Column) -> Column:
     """A urn:uuid that the parts decide; NULL parts are told from empty ones."""
-    x = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]))
+    x = F.md5(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(x, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
@@ -44,36 +44,32 @@ def one_line(text: Column) -> Column:
     return text
 
 
-def records_of(pages: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The records to write, without payloads, and one payload for each content (``same``)."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    base = only(pages, page_id="long", url="string", html="string")
-    hashed = base.select("page_id", "url", F.sha2(payload, 256).alias("same"), base32(F.sha1(payload.cast("binary"))).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    facts = hashed.groupBy("page_id", "url", "same", "digest", "size").agg(F.count(F.lit(1)).alias("copies"))
-    tops = facts.groupBy("same").agg(F.max(F.struct("page_id", "url")).alias("top"))
-    single = facts.join(tops, "same").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    is_top = F.struct("page_id", "url").eqNullSafe(F.col("top")) & (F.col("copy") == 1)
-    records = single.select(
-        "page_id", "url", "same", "digest", "size", (is_top | (F.col("size") < least)).alias("whole"),
-        record_id(F.col("page_id"), F.col("url"), F.col("same"), F.col("copy")).alias("id"),
-        record_id(F.col("top.page_id"), F.col("top.url"), F.col("same"), F.lit(1)).alias("first_id"))
-    bodies = base.select(F.sha2(payload, 256).alias("same"), payload.alias("payload")).dropDuplicates(["same"])
-    return records, bodies
-
-
 def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes one WARC/1.1 record for each row of ``pages`` (page_id, url, html) below ``path``, a new folder.
 
     Of the rows with equal html of ``least`` bytes or more, that with the largest page_id (then url) is a response, the others are
-    revisits without payload that refer to it; shorter ones are all responses. Only one payload of each content is moved.
+    revisits without payload that refer to it; shorter ones are all responses. Payloads that occur once are written where they are
+    read, as long as the table of the others is small enough to send to all tasks; of each of the others only one copy is moved.
     Payloads are the html in UTF-8 below an HTTP head. NULL html is empty, a NULL url or page_id leaves its header out, rows that
-    are wholly alike are a response and revisits of it. ``date`` is the date of all records, so that reruns write the same.
-    An empty table writes no record. One archive comes from each task.
+    are wholly alike are a response and revisits of it (below ``least`` bytes, responses with the same record id). ``date`` is the
+    date of all records, so that reruns write the same. An empty table writes no record. One archive comes from each task.
     """
-    records, bodies = records_of(pages, least)
-    whole = records.filter("whole").join(bodies, "same").withColumn("refers_to", F.lit(None).cast("string"))
-    again = records.filter("not whole").withColumn("payload", F.lit("")).withColumn("refers_to", F.col("first_id"))
-    rows = whole.unionByName(again)
+    base = only(pages, page_id="long", url="string", html="string").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    base = base.withColumns({"same": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload").cast("long")})
+    shared = base.filter(F.col("size") >= least).groupBy("same").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("page_id", "url")).alias("top"))
+    shared = materialize(shared.filter("rows > 1").drop("rows"), "warc-shared")  # its size is known then, and decides how it is joined
+    digest = base32(F.sha1(F.col("payload").cast("binary")))
+    facts = ("page_id", "url", "same", "size", "digest")
+    single = base.join(shared, "same", "left_anti").withColumn("digest", digest).select(*facts, "payload", F.lit(1).alias("copy"), F.lit(None).cast("string").alias("refers_to"))
+    copies = base.join(shared, "same").withColumn("digest", digest).groupBy(*facts, "top").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    is_top = F.struct("page_id", "url").eqNullSafe(F.col("top")) & (F.col("copy") == 1)
+    bodies = base.join(shared, "same", "left_semi").select("same", "payload").dropDuplicates(["same"])
+    first = copies.filter(is_top).join(bodies, "same").withColumn("refers_to", F.lit(None).cast("string"))
+    again = copies.filter(~is_top).withColumn("payload", F.lit("")).withColumn("refers_to", record_id(F.col("top.page_id"), F.col("top.url"), F.col("same"), F.lit(1)))
+    rows = single
+    for part in (first, again):
+        rows = rows.unionByName(part.select(*facts, "payload", F.col("copy").cast("int").alias("copy"), "refers_to"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(GAP))
     revisit = F.col("refers_to").isNotNull()
 
@@ -81,8 +77,8 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01
         return F.concat(F.lit(f"{name}: "), value.cast("string"))
 
     head = F.concat_ws(
-        CRLF, F.lit("WARC/1.1"), field("WARC-Type", F.when(revisit, "revisit").otherwise("response")), field("WARC-Record-ID", F.col("id")), field("WARC-Date", F.lit(date)),
-        field("WARC-Target-URI", one_line(F.col("url"))), field("Page-ID", F.col("page_id")), field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        CRLF, F.lit("WARC/1.1"), field("WARC-Type", F.when(revisit, "revisit").otherwise("response")), field("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"), F.col("same"), F.col("copy"))),
+        field("WARC-Date", F.lit(date)), field("WARC-Target-URI", one_line(F.col("url"))), field("Page-ID", F.col("page_id")), field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         field("WARC-Refers-To", F.col("refers_to")), F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")), F.lit("Content-Type: application/http; msgtype=response"),
         field("Content-Length", F.octet_length(http) + F.octet_length("payload")))
     rows.select(F.concat(head, F.lit(GAP), http, "payload").alias("value")).write.option("lineSep", GAP).option("compression", "none").text(path)
@@ -115,28 +111,31 @@ def pieces(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
     return lines.mapInArrow(run, schema)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def header_of(value: Column) -> tuple[Column, Column]:
+    """Header of a piece, without the bytes that the cut took, and the length of the block after it; both NULL where none is."""
+    whole = F.concat(value, F.lit("\n"))  # the cut after a header may have taken its last byte
+    header = F.when(F.instr(whole, GAP) > 0, F.substring_index(whole, GAP, 1))
+    digits = F.regexp_extract(header, r"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|\z)", 1)
+    return header, F.when(header.rlike(r"\A(?:WARC/1\.)?[01]\r\n"), digits).try_cast("long")
+
+
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """All pieces with their offset in the file (``start``); those that read as a record header have ``head`` (its bytes), ``length``
-    (of the block that follows) and ``next`` (where the next record must start)."""
-    value = F.concat("value", F.lit("\n"))  # the cut after a header may have taken its last byte
-    header = F.when(F.instr(value, GAP) > 0, F.substring_index(value, GAP, 1))
-    is_head = header.rlike(r"\A(?:WARC/1\.)?[01]\r\n")
-    length = F.when(is_head, F.regexp_extract(header, r"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*(?:\r\n|\z)", 1))
-    found = materialize(pieces(spark, path, F.octet_length(header).cast("long").alias("header"), length.try_cast("long").alias("length"),
-                               F.col("_metadata.file_size").alias("size")), "warc-pieces")
+    (of the block that follows) and ``next`` (where the next record must start). Also the offset (``base``) of each byte range."""
+    header, length = header_of(F.col("value"))
+    found = materialize(pieces(spark, path, F.octet_length(header).cast("long").alias("header"), length.alias("length"), F.col("_metadata.file_size").alias("size")), "warc-pieces")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("n") + len(BREAK)).alias("bytes"), F.max("size").alias("size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    bases = materialize(blocks.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "warc-ranges")
     odd = bases.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("size").alias("size")) \
         .filter(~(F.col("bytes") - F.col("size")).isin(0, len(BREAK)) & ~F.col("file").rlike(r"\.(?:gz|bz2|zst|lz4|snappy|deflate)$"))
     if broken := odd.first():
         raise ValueError(f"pieces of {broken['file']} add up to {broken['bytes']} bytes, its size is {broken['size']}")
     place = F.col("base") + F.col("at")
     magic = F.when(place == 0, 0).otherwise(len(BREAK) - 1)  # the cut takes these bytes of a header; nothing stands before a file's first
-    end = F.col("start") + F.col("head") + F.col("length") + len(GAP)
-    return found.join(bases.select("file", "block", "base"), ["file", "block"]) \
-        .select("file", "block", "at", "n", "size", (place - magic).alias("start"), F.when(F.col("length").isNotNull(), F.col("header") + len(GAP) + magic).alias("head"), "length") \
-        .withColumn("next", end)
+    found = found.join(bases.select("file", "block", "base"), ["file", "block"]) \
+        .select("file", "block", "at", "size", (place - magic).alias("start"), F.when(F.col("length").isNotNull(), F.col("header") + len(GAP) + magic).alias("head"), "length")
+    return found.withColumn("next", F.col("start") + F.col("head") + F.col("length") + len(GAP)), bases.select("file", "block", "base")
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -160,6 +159,22 @@ def reachable(found: DataFrame) -> DataFrame:
     return runs.join(met, ["file", "run"]).filter("start >= entered").select("file", "block", "at", "start", "head", "length", "next", "size")
 
 
+def odd_pieces(found: DataFrame, real: DataFrame) -> DataFrame:
+    """The pieces that are no complete record by themselves, with the record they belong to (``owner``), if any, and for its first piece
+    head, length and whether the record is ``complete``."""
+    nexts = real.select("file", F.col("start").alias("next"), F.lit(True).alias("followed"))
+    known = real.select("file", "start", "head", "length", "next", "size").join(nexts, ["file", "next"], "left") \
+        .select("file", "start", F.col("start").alias("own"), "head", "length", (F.coalesce("followed", F.lit(False)) | (F.col("next") == F.col("size"))).alias("complete"))
+    known = materialize(found.select("file", "block", "at", "start").join(known, ["file", "start"], "left"), "warc-known")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = known.groupBy("file", "block").agg(F.max("own").alias("own")).select("file", "block", F.last("own", ignorenulls=True).over(before).alias("carried"))
+    order = Window.partitionBy("file", "block").orderBy("start")
+    owned = known.withColumn("owner", F.last("own", ignorenulls=True).over(order)).join(carried, ["file", "block"]).withColumn("owner", F.coalesce("owner", "carried"))
+    parts = owned.filter("own is null and owner is not null").select("file", "owner").distinct().withColumn("parted", F.lit(True))
+    owned = owned.join(parts, ["file", "owner"], "left").filter("own is null or parted or not complete")
+    return materialize(owned.select("file", "block", "at", "owner", "head", "length", "complete"), "warc-odd")
+
+
 RECORD_FIELDS = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "date": "WARC-Date", "target_uri": "WARC-Target-URI", "page_id": "Page-ID",
                  "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "content_type": "Content-Type"}
 
@@ -173,35 +188,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     before that has ``complete`` false unless it ends the file, and a block cut off is returned as far as it goes. A file that
     doesn't begin with a record has none, and an empty folder gives no rows.
     """
-    found = candidates(spark, path)
-    real = reachable(found)
-    known = found.select("file", "block", "at", "start", "n").join(real.select("file", "start", F.col("start").alias("own"), "head", "length", "next", "size"), ["file", "start"], "left")
-    order = Window.partitionBy("file", "block").orderBy("start")
-    last = known.groupBy("file", "block").agg(F.max("own").alias("own"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("file", "block", F.last("own", ignorenulls=True).over(before).alias("carried"))
-    owned = known.withColumn("owner", F.last("own", ignorenulls=True).over(order)).join(carried, ["file", "block"]) \
-        .withColumn("owner", F.coalesce("owner", "carried")).filter("owner is not null")
-    owned = owned.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("file", "owner")))  # pieces of one record
-    owned = materialize(owned.select("file", "block", "at", "start", "own", "head", "length", "next", "size", "owner", "parts"), "warc-owners")
-
-    def with_bytes(rows: DataFrame) -> DataFrame:
-        text = pieces(spark, path, F.col("value").cast("binary").alias("value")).drop("n")
-        here = text.join(rows, ["file", "block", "at"])
-        cut = F.lit(BREAK[1:]).cast("binary")
-        return here.withColumn("value", F.when(F.col("start") == 0, F.col("value")).otherwise(F.concat(cut, F.col("value"))))
-
-    fields = ["file", "start", "head", "length", "next", "size", "value"]
-    whole = with_bytes(owned.filter("parts = 1")).select(*fields)
-    if owned.filter("parts > 1").limit(1).count():
-        split = with_bytes(owned.filter("parts > 1")).groupBy("file", F.col("owner").alias("start")).agg(
-            *[F.max(c).alias(c) for c in ("head", "length", "next", "size")],
-            F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), F.col("value").alias("v")))).alias("parts"))  # one record
-        joined = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.element_at("parts", 1)["v"],
-                             lambda all_, p: F.concat(all_, F.lit(b"\n"), p["v"]))
-        whole = whole.unionByName(split.withColumn("value", joined).select(*fields))
-    nexts = real.select("file", F.col("start").alias("next"), F.lit(True).alias("followed"))
-    rows = whole.join(nexts, ["file", "next"], "left").withColumns({
+    found, bases = candidates(spark, path)
+    odd = odd_pieces(found, reachable(found))  # mostly few, as payloads seldom hold a record's first bytes: then no text is moved
+    first = (F.col("block") == 0) & (F.col("at") == 0)
+    text = pieces(spark, path, F.col("value").cast("binary").alias("value")).withColumn("start", F.col("at") - F.when(first, 0).otherwise(len(BREAK) - 1)) \
+        .withColumn("value", F.when(first, F.col("value")).otherwise(F.concat(F.lit(BREAK[1:].encode()), F.col("value"))))
+    text = text.join(bases, ["file", "block"]).withColumn("start", F.col("start") + F.col("base"))
+    header, length = header_of(F.col("value").cast("string"))
+    plain = text.join(odd, ["file", "block", "at"], "left_anti").select("file", "start", (F.octet_length(header) + len(GAP)).cast("long").alias("head"), length.alias("length"), F.lit(True).alias("complete"), "value")
+    split = text.join(odd.filter("owner is not null"), ["file", "block", "at"]).groupBy("file", F.col("owner").alias("start")).agg(
+        F.max("head").alias("head"), F.max("length").alias("length"), F.max("complete").alias("complete"),
+        F.sort_array(F.collect_list(F.struct(F.col("start").alias("s"), F.col("value").alias("v")))).alias("parts"))  # the pieces of one record
+    joined = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.element_at("parts", 1)["v"], lambda all_, p: F.concat(all_, F.lit(b"\n"), p["v"]))
+    rows = plain.unionByName(split.withColumn("value", joined).drop("parts")).withColumns({
         "header": F.substring(F.col("value"), F.lit(1), F.col("head").cast("int")).cast("string"),
         "content": F.substring(F.col("value"), (F.col("head") + 1).cast("int"), F.col("length").cast("int"))})
 
@@ -213,7 +212,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     is_http = F.coalesce(F.col("content_type").rlike("(?i)^application/http"), F.lit(False)) & (F.instr(F.col("content").cast("string"), GAP) > 0)
     return rows.withColumns({name: field(f) for name, f in RECORD_FIELDS.items()}) \
         .withColumn("payload", F.when(is_http, F.substring(F.col("content"), http_head + len(GAP) + 1, F.lit(2**31 - 1))).otherwise(F.col("content"))) \
-        .select("file", "start", *RECORD_FIELDS, "header", "content", "payload", (F.coalesce("followed", F.lit(False)) | (F.col("next") == F.col("size"))).alias("complete"))
+        .select("file", "start", *RECORD_FIELDS, "header", "content", "payload", "complete")
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
