@@ -47,9 +47,9 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of the key space begins in the sorted keys, and the end."""
-    starts = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+def bucket_bounds(keys: np.ndarray, buckets: int, shift: int = 0) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges of the key space, of ``shift`` bits fewer than 64, begins in the sorted keys, and the end."""
+    starts = np.array([(b << (64 - shift)) // buckets for b in range(buckets)], np.uint64)
     return np.append(np.searchsorted(keys, starts), len(keys))
 
 
