@@ -141,7 +141,7 @@ def mix(
     ``docs`` needs doc_id, text and source. Returns one row per row of ``docs``: doc_id, source, size (words), source_size,
     target (of its source), taken (words, repeats counted), block_words. ``weights`` repeat over the sources in code point
     order, NULL last. Words of a source are laid out in shards of about ``shard_words``, in an order fixed by ``seed``, and
-    cut into blocks of ``block``; a shard with quota q of m blocks takes each q div m times and q mod m of them once more,
+    cut into blocks of ``block``, or fewer words for all where that is over 1/16 of the smallest target, down to one; a shard with quota q of m blocks takes each q div m times and q mod m of them once more,
     so no document exceeds ceil(most) times its size and a source misses its target by less than a block per shard.
 
     NULL or empty text: size 0, taken 0. NULL source: a source of its own. NULL id: placed by its text. Repeated rows are
@@ -155,6 +155,8 @@ def mix(
     sized = materialize(sized, "sizes")
     sources = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = materialize(targets(sources, list(weights), budget, most), "targets")
+    smallest = sources.filter("target > 0").agg(F.min("target")).first()[0]
+    block = max(1, min(block, int((smallest or 0) // 16)))  # a block must not be more than a small source gets
     known = sources.select(F.col("source").alias("s"), "source_size", "rank", "target",
                            F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("shards"))
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s") \

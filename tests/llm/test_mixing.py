@@ -65,3 +65,20 @@ def test_mix(spark, docs):
 def test_mix_empty(spark, docs):
     assert mix(docs([(1, "a", "s")]).limit(0)).count() == 0
     assert [r["taken"] for r in mix(docs([(1, None, None)])).collect()] == [0]
+
+
+def test_tiny_sources(spark, docs):
+    rows = [(i, "w " * 1000, "big") for i in range(40)] + [(100 + i, "w " * 10, f"s{i:02}") for i in range(50)] + [(900, "one", "t")]
+    made = mix(docs(rows)).collect()
+    got = {}
+    for r in made:
+        got.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert len(got) == 52 and all(abs(t - n) <= max(1, 0.06 * t) for t, n in got.values()), got
+
+
+def test_long_text(spark, docs):
+    rows = [(1, "w " * 300_000, "a"), (2, "w " * 5, "a"), (3, "w " * 300, "b")]
+    made = {r["doc_id"]: r for r in mix(docs(rows), shard_words=1000).collect()}
+    check(list(made.values()), 64)
+    assert made[1]["size"] == 300_000
