@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for length and commas to their ancestors, less with each level and discounted by link density; the
-best container is kept together with siblings that score well or read like prose. What is boilerplate by its element, role or
-name is taken out before and never counts.
+best container is kept together with siblings that score well or read like prose. What is boilerplate by its element or role is
+taken out before and never counts, and what is by its name, unless it holds the article or much of the page.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 
 from .common import only, small_batches, texts
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|[\s/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A quote opens a value only right after "="; one that never closes is a plain character, so that the tag ends at the next ">".
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTES = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
 # Element names of the HTML standard by role.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -33,26 +34,42 @@ WALLS = {"td", "th", "table", "ul", "ol", "dl", "body", "html", "article", "sect
 WEIGHT = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 2.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "table": -1.0,
           "h1": -5.0, "h2": -5.0, "h3": -5.0, "h4": -5.0, "h5": -5.0, "h6": -5.0}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
-#: Words of class and id names, as whole parts between separators, that mark boilerplate.
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer\w*|header|masthead|comments?|disqus|replies|respond|"
-                  r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|widgets?|"
-                  r"search|form|alert|disclaimer|copyright|skip|hidden|legal)(?:$|[\s_-]|\d)", re.I)
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main|page|post\w*|story\w*|text)(?:$|[\s_-]|\d)", re.I)
+#: Words of class and id names, as whole parts between separators, that mark boilerplate; those of the first kind at any size.
+_NEVER = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|breadcrumbs?|comments?|disqus|replies|respond|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|"
+                    r"login|pagination|pager|related|recommend\w*)(?:$|[_-]|\d)", re.I)
+_BAD = re.compile(r"(?:^|[_-])(?:banner|nav\w*|menu\w*|sidebar\w*|footer\w*|header|masthead|notices?|overlay|share|sharing|social|toolbar|widgets?|search|form|alert|disclaimer|copyright|skip|"
+                  r"hidden|legal)(?:$|[_-]|\d)", re.I)
+#: Names that speak of something else: what a layout has or lacks, categories, utility classes.
+_ABOUT = re.compile(r"^(?:has|have|with|without|no|not|layout|category|cat|tag|overflow|visually|is|js|theme)[_-]", re.I)
+_GOOD = re.compile(r"(?:^|[_-])(?:article\w*|body|content\w*|entry\w*|main|page|post\w*|story\w*|text)(?:$|[_-]|\d)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "score", "names", "size", "linked", "commas", "order")
+    __slots__ = ("tag", "up", "kids", "score", "names", "size", "linked", "commas", "bad", "holds")
 
     def __init__(self, tag: str, up: Node | None, names: str = ""):
         self.tag, self.up, self.kids, self.names = tag, up, [], names
+        self.bad, self.holds = badness(names) if names else 0, False  # how surely it is boilerplate by name; whether an article is in it
         self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
 
 
+def badness(names: str) -> int:
+    """2 for names that mark boilerplate of any size, 1 for those that may be part of an article's, else 0."""
+    told = [n for n in names.split() if not _ABOUT.match(n)]
+    if any(_NEVER.search(n) for n in told):
+        return 2
+    return int(any(_BAD.search(n) for n in told) and not any(_GOOD.search(n) and not _BAD.search(n) for n in told))
+
+
 def attributes(text: str) -> tuple[str, bool]:
     """Class and id names, and whether the element is out by its attributes."""
-    names, out = [], False
-    for m in _NAMES.finditer(text):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+    names, out, seen = [], False, set()
+    for m in _ATTRIBUTES.finditer(text):
+        name, value = m[1].lower(), (m[2] or "").strip()
+        value = value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value
+        if name in seen:
+            continue  # the first of equal attributes counts
+        seen.add(name)
         if name in ("class", "id"):
             names.append(value)
         elif name == "role":
@@ -61,7 +78,7 @@ def attributes(text: str) -> tuple[str, bool]:
             out = True
         elif name == "aria-hidden":
             out |= value.lower() == "true"
-        else:
+        elif name == "style":
             out |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
     return " ".join(names), out
 
@@ -104,7 +121,7 @@ def parsed(html: str) -> Node:
             continue
         names, out = attributes(m[3]) if m[3] and not m[3].isspace() else ("", False)
         here = opened(here, tag)
-        if tag in DROPPED or out or (names and tag not in ("article", "main") and _BAD.search(names)):
+        if tag in DROPPED or out:
             here.kids.append(" ")
             if tag not in VOID and not m[3].endswith("/"):
                 here = Node(tag, here)  # hangs below no one's children, so nothing in it counts
@@ -143,8 +160,10 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def scored(nodes: list[Node]) -> None:
-    for node in reversed(nodes):  # children before parents
+def measured(nodes: list[Node]) -> None:
+    """Text, linked text and commas below each node; children come before parents in reverse order."""
+    for node in reversed(nodes):
+        node.size = node.linked = node.commas = 0
         for kid in node.kids:
             if isinstance(kid, str):
                 size = len(_SPACE.sub(" ", kid).strip())
@@ -155,11 +174,31 @@ def scored(nodes: list[Node]) -> None:
                 node.size += kid.size
                 node.linked += kid.size if node.tag == "a" else kid.linked
                 node.commas += kid.commas
+                node.holds |= kid.holds or (kid.tag in ("article", "main") and not kid.bad)
+
+
+def pruned(root: Node) -> list[Node]:
+    """The nodes without what is boilerplate by its name. That never takes an element around an article, and by the weaker names none
+    with more than a third of the page's text, unless most of it is links; such a name just lowers the score."""
+    nodes = in_order(root)
+    measured(nodes)
+    cut = {id(n) for n in nodes if n.bad and not n.holds and n is not root and (n.tag not in ("article", "main") or n.bad == 2)
+           and (n.bad == 2 or 3 * n.size <= root.size or 2 * n.linked > n.size)}
+    if not cut:
+        return nodes
+    for node in nodes:
+        node.kids = [" " if not isinstance(k, str) and id(k) in cut else k for k in node.kids]
+    nodes = in_order(root)
+    measured(nodes)
+    return nodes
+
+
+def scored(nodes: list[Node]) -> None:
     for node in nodes:
         if node.tag in WEIGHT:
             node.score += WEIGHT[node.tag]
         if node.names:
-            node.score += 15.0 if _GOOD.search(node.names) else 0.0
+            node.score += -25.0 if node.bad else 15.0 if any(_GOOD.search(n) for n in node.names.split()) else 0.0
     for node in nodes:
         own = node.tag in PARAGRAPHS or (node.tag in BLOCK and any(isinstance(k, str) and k.strip() for k in node.kids))
         if not own or node.size < 25:
@@ -209,7 +248,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 def main_text(html: str) -> str:
     """The article of a page: blocks joined by empty lines; empty where there is none."""
     root = parsed(html)
-    nodes = in_order(root)
+    nodes = pruned(root)
     scored(nodes)
     areas = [n for n in nodes if n.tag in BLOCK or n is root]
     best = max(areas, key=lambda n: n.score * (1 - density(n)), default=root)

@@ -20,6 +20,15 @@ PROSE = "Long enough, this sentence has commas, clauses, and words that say some
     (f"<article><p hidden>no<p>{PROSE}</article>", PROSE),
     (f"<ul><li><a href=1>one, two, three, four</a></li><li><a href=2>five, six, seven, eight</a></li></ul><div><p>{PROSE}</p></div>", PROSE),
     (f"<div><p>{PROSE}</p></div><p", PROSE),
+    (f'<body><div class="has-sidebar"><article><p>{PROSE}</p></article><div class=sidebar>{PROSE}</div></div>', PROSE),
+    (f'<div class="overflow-hidden sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+    (f'<div class="post category-legal"><p>{PROSE}</p><p>{PROSE}</p></div>', f"{PROSE}\n\n{PROSE}"),
+    (f'<div class="entry-content share"><p>{PROSE}</p></div><div class=share><a href=x>Share</a></div>', PROSE),
+    (f'<div class="legal"><p>{PROSE}</p><p>{PROSE}</p></div><div id=footer-legal>small print</div>', f"{PROSE}\n\n{PROSE}"),
+    (f"<article><p>{PROSE}</p></article><div id=comments><article class=comment><p>{PROSE}</p><p>{PROSE}</p></article></div>", PROSE),
+    (f"<div><p>{PROSE} <a title=don't href=x>one</a></p><p>{PROSE} it's</p></div>", f"{PROSE} one\n\n{PROSE} it's"),
+    (f"<div><p title=\"open>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE}\n\n{PROSE}"),
+    (f"<div><p title=\"a class=sidebar > b\">{PROSE}</p><p data-x='>' class = \"lead\" class=ad>{PROSE}</p></div>", f"{PROSE}\n\n{PROSE}"),
 ])
 def test_pages(html, want):
     assert main_text(html) == want
@@ -35,6 +44,7 @@ def test_given_pages(spark):
         got = made[row["page_id"]]
         assert got["text"] == "\n\n".join(x for x in parts if x)
         assert got["n_chars"] == len(got["text"]) and got["url"] == row["url"]
+        assert main_text(re.sub(r"<(/?)article\b", r"<\1div", row["html"])) == got["text"]  # by its score alone
 
 
 def test_edges(spark):
