@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -99,39 +99,44 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def scans(docs: DataFrame, benchmark: DataFrame, text: str, window: int, block_bytes: int) -> DataFrame:
-    """Adds ``_ranges`` (word ranges hit) and ``_items``; one pass over the texts for each block of items."""
-    spark = docs.sparkSession
-    for block in blocks_of(benchmark, block_bytes):
-        docs = _scan(docs, spark.sparkContext.broadcast(block), text, window)
-    return docs
+Found = tuple[int, list[tuple[int, int]], list[str]]
 
 
-def _scan(docs: DataFrame, block, text: str, window: int) -> DataFrame:
-    again = "_ranges" in docs.columns
+def scanned(docs: DataFrame, benchmark: DataFrame, text: str, window: int, block_bytes: int, finish: Callable[[pa.RecordBatch, list[Found]], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``finish`` of each batch of ``docs`` and, for each text, its number of words, the word ranges hit and the items. Texts go to Python
+    once and are split once; only a benchmark of several blocks takes a pass more for each block but the last."""
+    spark, blocks = docs.sparkSession, blocks_of(benchmark, block_bytes)
+    last = next(blocks)
     added = [T.StructField("_ranges", RANGES), T.StructField("_items", T.ArrayType(T.StringType()))]
-    schema = docs.schema if again else T.StructType([*docs.schema.fields, *added])
-    built: list[Automaton] = []
-
-    def run(batches):
-        if not built:
-            built.append(Automaton(block.value, window))
-        for batch in batches:
-            for part in small_batches(batch, text):
-                hits, items = [], []
-                for i, t in enumerate(part.column(text).to_pylist()):
-                    ranges, owners = built[0].scan(words(t))
-                    if again:
-                        ranges = merged(ranges + [tuple(r) for r in part.column("_ranges")[i].as_py()])
-                        owners |= set(part.column("_items")[i].as_py())
-                    hits.append(ranges)
-                    items.append(sorted(owners))
-                kept = part.columns[:-2] if again else part.columns
-                names = part.schema.names[:-2] if again else part.schema.names
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
-                                                 [*names, "_ranges", "_items"])
-
-    return docs.mapInArrow(run, schema)
+    kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
+
+    def scan(block, last_one: bool):
+        built: list[Automaton] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not built:
+                built.append(Automaton(block.value, window))
+            for batch in batches:
+                for part in small_batches(batch, text):
+                    before = zip(part.column("_ranges").to_pylist(), part.column("_items").to_pylist()) if "_ranges" in part.schema.names else repeat(([], []))
+                    found: list[Found] = []
+                    for t, (ranges, owners) in zip(part.column(text).to_pylist(), before):
+                        split = words(t)
+                        hit, items = built[0].scan(split)
+                        found.append((len(split), merged(hit + [tuple(r) for r in ranges]) if ranges else hit, sorted(items.union(owners))))
+                    part = part.select([n for n in part.schema.names if n not in ("_ranges", "_items")])
+                    if last_one:
+                        yield finish(part, found)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([f[k] for f in found], kind) for k, kind in zip((1, 2), kinds)]], [*part.schema.names, "_ranges", "_items"])
+
+        return run
+
+    whole = T.StructType([*docs.schema.fields, *added])
+    for block in blocks:
+        docs = docs.mapInArrow(scan(spark.sparkContext.broadcast(last), False), whole)
+        last = block
+    return docs.mapInArrow(scan(spark.sparkContext.broadcast(last), True), schema)
 
 
 def contaminated(n_words: int, n_hit: int, share: int = 20) -> bool:
@@ -151,20 +156,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     documents are judged alike. Empty benchmark: nothing is hit.
     """
 
-    def judge(batches):
-        for batch in batches:
-            for part in small_batches(batch, "text"):
-                batch_texts, hits, names = texts(part.column("text")), part.column("_ranges").to_pylist(), part.column("_items").to_pylist()
-                n_words = [len(words(t)) for t in batch_texts]
-                n_hit = [sum(b - a for a, b in r) for r in hits]
-                made = [n_words, n_hit, [len(x) for x in names], names, [digest(x) for x in names],
-                        [offsets(t, r) if r else [] for t, r in zip(batch_texts, hits)],
-                        [contaminated(n, h, share) for n, h in zip(n_words, n_hit)]]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.list_(pa.int32())), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, made, kinds)], ["doc_id", *SCHEMA.names])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.list_(pa.int32())), pa.bool_()]
 
-    base = scans(only(docs, doc_id="long", text="string"), benchmark, "text", window, block_bytes)
-    return base.mapInArrow(judge, T.StructType([T.StructField("doc_id", T.LongType()), *SCHEMA.fields]))
+    def judge(part: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        hits = [sum(b - a for a, b in ranges) for _, ranges, _ in found]
+        made = [[n for n, _, _ in found], hits, [len(items) for *_, items in found], [items for *_, items in found], [digest(items) for *_, items in found],
+                [offsets(t, ranges) if ranges else [] for t, (_, ranges, _) in zip(texts(part.column("text")), found)], [contaminated(f[0], h, share) for f, h in zip(found, hits)]]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, made, kinds)], ["doc_id", *SCHEMA.names])
+
+    return scanned(only(docs, doc_id="long", text="string"), benchmark, "text", window, block_bytes, judge, T.StructType([T.StructField("doc_id", T.LongType()), *SCHEMA.fields]))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,13 +181,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     """``docs`` without its contaminated rows; all columns stay as they are, whatever their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = [c.lower() for c in docs.columns].index("text")
-    judged = scans(docs.toDF(*names), benchmark, names[at], window, block_bytes)
+    renamed = docs.toDF(*names)
 
-    def keep(batches):
-        for batch in batches:
-            for part in small_batches(batch, names[at]):
-                n_hit = [sum(b - a for a, b in r) for r in part.column("_ranges").to_pylist()]
-                kept = [not (h and contaminated(len(words(t)), h, share)) for h, t in zip(n_hit, part.column(names[at]).to_pylist())]
-                yield part.filter(pa.array(kept, pa.bool_())).select(names)
+    def keep(part: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        return part.filter(pa.array([not contaminated(n, sum(b - a for a, b in ranges), share) for n, ranges, _ in found], pa.bool_()))
 
-    return judged.mapInArrow(keep, T.StructType(judged.schema.fields[:-2])).toDF(*docs.columns)
+    return scanned(renamed, benchmark, names[at], window, block_bytes, keep, renamed.schema).toDF(*docs.columns)
