@@ -39,8 +39,8 @@ def rows_of(spark, rows, **options):
     return sorted(map(tuple, divergence(df, **options).collect()))
 
 
-@pytest.mark.parametrize("most_terms", [1_000_000, 64])
-def test_divergence(spark, most_terms):
+@pytest.mark.parametrize("options", [{}, {"most_terms": 64, "source_block": 2}])
+def test_divergence(spark, options):
     rng = random.Random(2)
     words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(60)] + ["É", "é", "\u00df", "X-y", "𝒳"]
     rows = []
@@ -49,7 +49,7 @@ def test_divergence(spark, most_terms):
         rows.append((" ".join(rng.choices(words[: 20 + 5 * (ord(source[0]) % 9 if source else 3)], k=rng.randint(0, 12))), lang, source))
     rows += [(None, "en", "none"), ("1 2 3", "de", "digits"), ("rare words only", "fr", "x"), ("", "fr", "y"), ("lone", "it", "z"), ("waz " * 30000 + "wak", "en", "b"), rows[0], rows[0]]
     for min_df in (5, 1):
-        assert rows_of(spark, rows, min_df=min_df, top=7, most_terms=most_terms) == brute(rows, min_df, 7)
+        assert rows_of(spark, rows, min_df=min_df, top=7, **options) == brute(rows, min_df, 7)
 
 
 def test_nothing_kept(spark):
