@@ -29,6 +29,8 @@ BLOCKS = "block long, n_tokens long, doc_ids array<bigint>, held array<boolean>,
 SENT = "bucket int, block long, length int, keys binary, counts binary"
 BACK = "block long, bucket int, length int, counts binary, found long, total long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Text of one block; keys are exchanged in buckets of twice that, so that a task that builds an automaton stays small.
+LM_BLOCK_BYTES = BLOCK_BYTES // 2
 #: Tokens that one lane of the traversal takes; a longer text is several lanes.
 LANE = 512
 #: Bits of a key of several words beyond those that number the tokens.
@@ -193,7 +195,7 @@ class Automaton:
         return np.bincount(text, sums, len(grams.sizes))
 
 
-def lm_scores(docs: DataFrame, order: int = 3, add: float = 0.1, strength: float = 300.0, folds: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 3, add: float = 0.1, strength: float = 300.0, folds: int = 10, block_bytes: int = LM_BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows that aren't held out (``crc32(doc_id as text) % folds != 0``), scored on all. Tokens are the words of
@@ -208,7 +210,7 @@ def lm_scores(docs: DataFrame, order: int = 3, add: float = 0.1, strength: float
     base = only(docs, doc_id="long", text="string").withColumn("held_out", held_out("doc_id", folds))
     blocks = stored_blocks(base, block_bytes)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    n = max(1, ceil(tokens * 6 / block_bytes))
+    n = max(1, ceil(tokens * 3 / block_bytes))
     shift = max(0, 64 - SPARE_BITS - ceil(log2(tokens + 1)))
 
     def shifts(length: int) -> int:
