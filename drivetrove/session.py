@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``; a part of the warehouse where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="drivetrove-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps").rstrip("/")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+_marked: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/drivetrove-{app}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's step folder, which goes when the application ends."""
+    own = f"{shared_dir(spark)}/drivetrove-{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        files, path = _hadoop_path(spark, own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def release(*steps: DataFrame) -> None:
+    """Remove stored steps that no frame in use reads any more, as a loop does with the round before."""
+    for step in steps:
+        if path := getattr(step, "step_path", None):
+            files, where = _hadoop_path(step.sparkSession, path)
+            files.delete(where, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -34,7 +49,9 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.step_path = path
+    return stored
 
 
 def number_rows(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
@@ -44,12 +61,13 @@ def number_rows(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     sorts everything.
     """
     parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
-    before, at = F.lit(0).cast("bigint"), 0
-    for part in sorted(sizes):
-        before, at = F.when(F.col("_part") == part, F.lit(at).cast("bigint")).otherwise(before), at + sizes[part]
+    before, at = [], 0
+    for row in parts.groupBy("_part").count().orderBy("_part").collect():  # one row per range
+        before.append((row["_part"], at))
+        at += row["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_part int, _before bigint")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn(name, before + inside).drop("_part")
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before")
 
 
 def _size_setting(spark: SparkSession, key: str) -> int:
