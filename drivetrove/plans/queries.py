@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drivetrove.catalog import Catalog, load_catalog, write_table
+from drivetrove.catalog import Catalog, disk_counts, load_catalog, write_table
 from drivetrove.functions import media, paths, text as tx, words
 from drivetrove.operators import (
     compare, enrich, gather, pending, saved_search, search, stats, status, tags, tree, vectors,
@@ -209,8 +209,9 @@ def _diff(cat: Catalog, mode: str) -> DataFrame:
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     plan = compare.copy_plan(_diff(cat, "fast"), keys=("pair",))
     copied = plan.select((F.col("pair") + BACKUP_DISK).alias("disk_id"), "rel_path", "size", "is_folder")
-    disks = cat.disks.withColumn("id", F.col("id") + BACKUP_DISK)
-    target = Catalog(cat.spark, {"entries": cat.backup, "disks": disks})
+    counts = disk_counts(cat.backup).withColumnRenamed("disk_id", "id")
+    disks = cat.disks.withColumn("id", F.col("id") + BACKUP_DISK).drop("file_count", "folder_count", "total_size").join(counts, "id", "left")
+    target = Catalog(cat.spark, {"entries": cat.backup, "disks": conform(disks, "disks")})
     after, inserted = ingest.register_copied(target, copied)
     added = inserted.groupBy("disk_id").agg(F.count(F.lit(1)).alias("inserted"))
     return after.disks.withColumnRenamed("id", "disk_id").join(added, "disk_id", "left").select(

@@ -99,29 +99,54 @@ def delete_disk(cat: Catalog, disk_id: int) -> Catalog:
 
 
 def delete_subtrees(cat: Catalog, ids: DataFrame) -> Catalog:
-    """Remove entries ``ids(id)`` with everything below them and all derived rows."""
-    leaving = materialize(tree.subtree(cat.entries, ids).select("id", "disk_id", "name", "is_folder", "size_logical"),
-                          "leaving")
-    left = cat.entries.join(leaving.select("id"), "id", "left_anti")
-    changed = {"entries": tree.folder_rollup(left)}
+    """Remove entries ``ids(id)`` with everything below them and all derived rows.
+
+    Folders above lose what leaves, as do the counts of disks and the facts of both indexes; nothing else is worked out anew.
+    """
+    leaving = materialize(tree.subtree(cat.entries, ids).select(
+        "id", "disk_id", "parent_id", "name", "is_folder", "size_logical", "size_physical", "ancestor_ids"), "leaving")
+    lost = leaving.select("id", "parent_id", "is_folder", "ancestor_ids", (-F.coalesce("size_logical", F.lit(0))).alias("l"), (-F.coalesce("size_physical", F.lit(0))).alias("p"))
+    left = _grown(cat.entries.join(leaving.select("id"), "id", "left_anti"), _above(lost))
+    changed = {"entries": left}
     by_entry = leaving.select(F.col("id").alias("entry_id"))
     for table in DERIVED:
         if table in cat:
             changed[table] = cat[table].join(by_entry, "entry_id", "left_anti")
-    if "name_stats" in cat:
-        docs = search.index_stats(search.name_documents(leaving)).select(
-            "disk_id", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_words")).alias("n_words"))
-        changed["name_stats"] = cat["name_stats"].unionByName(docs).groupBy("disk_id").agg(
-            F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
-    counts = disk_counts(left).withColumnRenamed("disk_id", "id")
-    changed["disks"] = _recounted(cat.disks, counts)
+    gone = {"name_stats": search.name_documents(leaving)}
+    if "transcripts" in cat:
+        gone["text_stats"] = cat.transcripts.join(leaving.select(F.col("id").alias("entry_id"), "disk_id"), "entry_id")
+    for stats, docs in gone.items():
+        if stats in cat:
+            fewer = search.index_stats(docs).select("disk_id", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_words")).alias("n_words"))
+            changed[stats] = cat[stats].unionByName(fewer).groupBy("disk_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
+    fewer = disk_counts(leaving).select(F.col("disk_id").alias("id"), *[(-F.col(c)).alias(c) for c in COUNTS])
+    changed["disks"] = _counted(cat.disks, fewer)
     return cat.replacing(**changed)
 
 
-def _recounted(disks: DataFrame, counts: DataFrame) -> DataFrame:
-    fresh = counts.select("id", *[F.col(c).alias(f"_{c}") for c in ("file_count", "folder_count", "total_size")])
-    return conform(disks.drop("file_count", "folder_count", "total_size").join(fresh, "id", "left").select(
-        "*", *[F.coalesce(f"_{c}", F.lit(0)).alias(c) for c in ("file_count", "folder_count", "total_size")]), "disks")
+COUNTS = ("file_count", "folder_count", "total_size")
+
+
+def _above(files: DataFrame) -> DataFrame:
+    """What changed sizes (``parent_id, is_folder, ancestor_ids, l, p``) add to the folders above the files: ``id, l, p``. Files of one
+    folder are summed before its ancestors are listed."""
+    direct = files.filter("NOT is_folder AND parent_id IS NOT NULL").groupBy("parent_id").agg(
+        F.sum("l").alias("l"), F.sum("p").alias("p"), F.any_value("ancestor_ids").alias("ancestor_ids"))
+    return direct.select(F.explode("ancestor_ids").alias("id"), "l", "p").groupBy("id").agg(F.sum("l").alias("l"), F.sum("p").alias("p"))
+
+
+def _grown(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """``entries`` with the changes ``(id, l, p)`` added to their sizes."""
+    joined = entries.join(changes.select("id", F.col("l").alias("_l"), F.col("p").alias("_p")), "id", "left")
+    added = {"size_logical": "_l", "size_physical": "_p"}
+    return joined.select(*[F.when(F.col(added[c]).isNull(), F.col(c)).otherwise(F.coalesce(c, F.lit(0)) + F.col(added[c])).alias(c) if c in added else F.col(c) for c in entries.columns])
+
+
+def _counted(disks: DataFrame, changes: DataFrame) -> DataFrame:
+    """``disks`` with changes ``(id, file_count, folder_count, total_size)`` added."""
+    summed = changes.groupBy("id").agg(*[F.sum(c).alias(f"_{c}") for c in COUNTS])
+    joined = disks.join(summed, "id", "left")
+    return joined.select(*[(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) if c in COUNTS else F.col(c) for c in disks.columns])
 
 
 def same_disk(disks: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -244,7 +269,8 @@ def register_copied(cat: Catalog, copied: DataFrame) -> tuple[Catalog, DataFrame
     """Enter copied items ``(disk_id, rel_path, size, is_folder)`` into the destination catalogues.
 
     Missing ancestor folders are created, existing files get the new size, new files are added and
-    indexed. Sizes above them and disk counts follow. Idempotent; also returns the inserted files.
+    indexed. Idempotent; also returns the inserted files. Only new nodes get chains, from the nearest folder that exists; folders
+    above take the changes of size that reach them through stored ancestors, and disks those of their counts.
     """
     folders = copied.select("disk_id", F.explode(paths.prefixes(F.col("rel_path"))).alias("rel_path")).unionByName(
         copied.filter("is_folder").select("disk_id", "rel_path")).filter("rel_path <> ''").distinct()
@@ -269,21 +295,36 @@ def register_copied(cat: Catalog, copied: DataFrame) -> tuple[Catalog, DataFrame
         .unionByName(fresh.filter("is_folder").select("disk_id", F.col("rel_path").alias("_up"), F.col("id").alias("_pid"))) \
         .groupBy("disk_id", "_up").agg(F.max("_pid").alias("_pid"))
     linked = skew_join(fresh.withColumn("_up", up), parents, ["disk_id", "_up"], "left", spread=F.col("id"))
+    # the folders on the way to a new node: those that exist end in one whose ancestors are stored, the others are new
+    way = fresh.select("id", "disk_id", F.explode(paths.prefixes(F.col("rel_path"))).alias("_up")).filter("_up <> ''")
+    stored = known.filter("is_folder").groupBy("disk_id", F.col("rel_path").alias("_up")).agg(F.max(F.struct("id", "ancestor_ids")).alias("_at"))
+    made = fresh.filter("is_folder").select("disk_id", F.col("rel_path").alias("_up"), F.col("id").alias("_made"))
+    deep = F.size(F.split("_up", "/"))
+    met = way.join(stored, ["disk_id", "_up"], "left").join(made, ["disk_id", "_up"], "left")
+    chains = met.groupBy("id").agg(
+        F.max_by(F.concat("_at.ancestor_ids", F.array("_at.id")), F.when(F.col("_at").isNotNull(), deep)).alias("_known"),
+        F.sort_array(F.collect_list(F.when(F.col("_made").isNotNull(), F.struct(deep.alias("d"), "_made")))).alias("_new"))  # a path's folders
     name = F.element_at(F.split("rel_path", "/"), -1)
-    added = conform(linked.select(
+    ancestors = F.concat(F.coalesce("_known", F.array("_root")), F.coalesce(F.transform("_new", lambda x: x["_made"]), F.array().cast("array<bigint>")))
+    added = materialize(conform(linked.join(chains, "id", "left").select(
         "id", "disk_id", F.coalesce("_pid", "_root").alias("parent_id"), name.alias("name"), "is_folder",
-        F.col("size").alias("size_logical"), F.col("size").alias("size_physical"),
-        F.when(~F.col("is_folder"), tx.extension(name)).alias("ext")), "entries")
-    sizes = wanted.filter("NOT is_folder").select(*on, F.col("size").alias("_size"))
-    updated = cat.entries.join(sizes, on, "left").select(*[
-        F.coalesce("_size", c).alias(c) if c in ("size_logical", "size_physical") else F.col(c)
-        for c in cat.entries.columns])
-    closed = materialize(tree.with_paths(updated.unionByName(added)), "paths")
-    after = materialize(conform(tree.folder_rollup(closed), "entries"), "entries")
-    inserted = after.join(added.filter("NOT is_folder").select("id"), "id", "left_semi")
-    indexed = _with_index(cat, after.join(added.select("id"), "id", "left_semi"))
-    disks = _recounted(cat.disks, disk_counts(after).withColumnRenamed("disk_id", "id"))
-    return indexed.replacing(entries=after, disks=disks), inserted
+        F.when(F.col("is_folder"), F.lit(0)).otherwise(F.col("size")).cast("bigint").alias("size_logical"),
+        F.when(F.col("is_folder"), F.lit(0)).otherwise(F.col("size")).cast("bigint").alias("size_physical"),
+        F.when(~F.col("is_folder"), tx.extension(name)).alias("ext"), F.concat("_base", F.lit("/"), "rel_path").alias("path"), "rel_path",
+        F.size(ancestors).alias("depth"), ancestors.alias("ancestor_ids")), "entries"), "added")
+    sizes = wanted.filter("NOT is_folder").select(*on, "size")
+    resized = materialize(known.filter("NOT is_folder").join(sizes, on).select(
+        "id", "disk_id", "parent_id", "is_folder", "ancestor_ids", (F.col("size") - F.coalesce("size_logical", F.lit(0))).alias("l"),
+        (F.col("size") - F.coalesce("size_physical", F.lit(0))).alias("p")), "resized")
+    moved = resized.drop("id").unionByName(added.select("disk_id", "parent_id", "is_folder", "ancestor_ids", F.col("size_logical").alias("l"), F.col("size_physical").alias("p")))
+    changes = materialize(_above(moved).unionByName(resized.select("id", "l", "p")), "changes")
+    after = _grown(cat.entries.unionByName(added), changes)
+    new_rows = _grown(added, changes)
+    inserted = new_rows.filter("NOT is_folder")
+    indexed = _with_index(cat, new_rows)
+    grown = resized.groupBy(F.col("disk_id").alias("id")).agg(F.sum("l").alias("total_size")).select("id", F.lit(0).alias("file_count"), F.lit(0).alias("folder_count"), "total_size")
+    more = disk_counts(added).withColumnRenamed("disk_id", "id").select("id", *COUNTS).unionByName(grown.select("id", *COUNTS))
+    return indexed.replacing(entries=conform(after, "entries"), disks=conform(_counted(cat.disks, more), "disks")), inserted
 
 
 def apply_annotations(df: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,10 +1,13 @@
+import os
+
 import pytest
 from conftest import BACKUP, SF28, entry_id, rows, typed
 from pyspark.sql import functions as F
 
 from drivetrove import Catalog
-from drivetrove.catalog import load_catalog
+from drivetrove.catalog import CommitConflict, commits, load_catalog, vacuum
 from drivetrove.operators import search, tags
+from drivetrove.session import number_rows
 from drivetrove.sources import ingest
 
 
@@ -144,3 +147,52 @@ def test_edits_survive_in_place(spark, load, nodes, tmp_path):
 def test_unknown_table(spark):
     with pytest.raises(KeyError, match="no table 'nothing'"):
         Catalog(spark, {})["nothing"]
+
+
+def test_two_writers(spark, load, tmp_path):
+    root = str(tmp_path / "shared")
+    load({"SF28": SF28, "BACKUP": BACKUP}).save(root)
+    tag = typed(spark, "entry_tags", [(1, "a")], ["entry_id", "tag"])
+    note = typed(spark, "transcripts", [(1, "m", "es", "hola")], ["entry_id", "model", "lang", "text"])
+    first, second, third = (load_catalog(spark, root) for _ in range(3))
+    first.replacing(entry_tags=tag).save(root)
+    second.replacing(transcripts=note).save(root)  # other tables: both changes stay
+    now = load_catalog(spark, root)
+    assert now.entry_tags.count() == 1 and now.transcripts.count() == 1 and now.entries.count() == 7
+    with pytest.raises(CommitConflict):
+        third.replacing(entry_tags=tag.limit(0)).save(root)
+    with pytest.raises(CommitConflict):
+        ingest.delete_disk(third, third.disks.first()["id"]).save(root)
+    assert load_catalog(spark, root).entry_tags.count() == 1
+    dead = tmp_path / "shared" / "commits" / f"{4:020d}.json"  # a writer that died
+    dead.write_text("")
+    os.utime(dead, (1, 1))
+    assert load_catalog(spark, root).transcripts.count() == 1
+    ingest.delete_disk(now, now.disks.first()["id"]).save(root)
+    before = {c.version for c in commits(spark, root)}
+    assert not vacuum(spark, root)  # all young
+    assert vacuum(spark, root, older_than_seconds=-1)
+    assert len(commits(spark, root)) == 1 < len(before)
+    assert load_catalog(spark, root).entries.count() < 7 and not vacuum(spark, root, older_than_seconds=-1)
+
+
+def test_facts_of_transcripts_follow_deletes(spark, load):
+    cat = load({"SF28": SF28})
+    clip = entry_id(cat, "/SF28/CLIP/C0001.MP4")
+    other = entry_id(cat, "/SF28/CLIP/B-ROLL.MOV")
+    both = typed(spark, "transcripts", [(clip, "m", "es", "hola que tal"), (other, "m", "es", "adios")], ["entry_id", "model", "lang", "text"])
+    cat = ingest.upsert_transcripts(cat, both)
+    left = ingest.delete_subtrees(cat, spark.createDataFrame([(clip,)], "id bigint"))
+    assert rows(left["text_stats"], "n_docs", "n_words") == [(1, 1)]
+    assert rows(left["name_stats"], "n_docs") == [(3,)]
+
+
+def test_numbers_over_many_ranges(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r["n"] for r in number_rows(spark.range(3000).select((-F.col("id")).alias("x")), "x").orderBy("x").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == list(range(1, 3001))
