@@ -22,6 +22,7 @@ LAYOUT = {
     "entries": ("disk_id", "path"),
     "name_postings": ("disk_id", "token", "entry_id"),
     "text_postings": ("disk_id", "token", "entry_id"),
+    "name_terms": ("token", "disk_id"),
 }
 
 

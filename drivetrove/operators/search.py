@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from drivetrove.catalog import Catalog
@@ -14,6 +16,9 @@ SCOPED_LIMIT = 500
 TRANSCRIPT_LIMIT = 200
 SNIPPET_WORDS = 12
 
+#: Prefixes of so many letters have their entries counted in the dictionary.
+PREFIX = 3
+
 # BM25 parameters of the usual full-text default ranking.
 K1 = 1.2
 B = 0.75
@@ -44,6 +49,32 @@ def index_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.coalesce(F.sum(F.size(tx.tokens(F.col(text_col)))), F.lit(0)).alias("n_words"))
 
 
+def build_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Dictionary of ``docs(disk_id, text)``: how many of a disk's entries hold a word with each frequency and length (its impact
+    classes), and, under the prefix and ``*``, how many hold a word that begins with its first letters."""
+    split = docs.select("disk_id", tx.tokens(F.col(text_col)).alias("w"))
+    count = F.count(F.lit(1)).alias("n")
+    spread = split.select("disk_id", F.size("w").alias("doc_len"), "w", F.explode(F.array_distinct("w")).alias("token"))
+    classes = spread.withColumn("tf", F.size(F.filter("w", lambda x: x == F.col("token")))).groupBy("token", "disk_id", "tf", "doc_len").agg(count)
+    starts = F.array_distinct(F.concat(*map(_starts, range(1, PREFIX + 1))))
+    begun = split.select("disk_id", F.explode(starts).alias("token")).groupBy("token", "disk_id").agg(count)
+    return classes.select("token", "disk_id", "tf", "doc_len", "n").unionByName(
+        begun.select("token", "disk_id", F.lit(0).alias("tf"), F.lit(0).alias("doc_len"), "n"))
+
+
+def _starts(size: int) -> Column:
+    """The first ``size`` letters of the words that have as many, marked."""
+    return F.transform(F.filter("w", lambda x: F.length(x) >= size), lambda x: F.concat(F.substring(x, 1, size), F.lit("*")))
+
+
+def merge_terms(*parts: DataFrame) -> DataFrame:
+    """Dictionaries added up; a part may take away with negative counts."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("token", "disk_id", "tf", "doc_len").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def update_postings(index: DataFrame, replaced: DataFrame, fresh: DataFrame) -> DataFrame:
     """Drop the postings of ``replaced(disk_id)`` and add those of ``fresh`` documents."""
     return index.join(replaced.select("disk_id").distinct(), "disk_id", "left_anti").unionByName(fresh)
@@ -103,11 +134,90 @@ def search_items(cat: Catalog, hits: DataFrame) -> DataFrame:
     return to_items(cat, hits.select("id", "rank")).orderBy("rank", "id")
 
 
+def _score(tf: Column, doc_len: Column, n: float, words: float, seen: float) -> Column:
+    """BM25 part of one term (higher is better) by known corpus facts."""
+    idf = max(math.log((n - seen + 0.5) / (seen + 0.5)), MIN_IDF)
+    length = F.lit(1 - B) + F.lit(B) * doc_len * n / F.lit(words)
+    return F.lit(idf) * tf * (K1 + 1) / (tf + F.lit(K1) * length)
+
+
+def rank_names(cat: Catalog, terms: list[tuple[str, bool]], limit: int, disk_id: int | None = None) -> DataFrame:
+    """What ``rank_text`` gives for names, the best ``limit`` of it at least, by way of the dictionary.
+
+    The dictionary tells how many entries hold each term before any posting is read. A single word stops early: only postings
+    of the impact classes that reach the page are read. Several terms start from the rarest word, and the others' postings
+    count only where it occurs. Postings of other disks than ``disk_id`` are not read.
+    """
+    disks = cat.disks.select(F.col("id").alias("disk_id"))
+    postings = cat.name_postings if disk_id is None else cat.name_postings.filter(F.col("disk_id") == disk_id)
+    postings = postings.join(disks, "disk_id", "left_semi")  # a hit counts only with its disk, so the total agrees with the items
+    known = cat["name_terms"].join(disks, "disk_id", "left_semi")
+    starts = [F.lit(f"{word}*") for word, prefix in terms if prefix and len(word) <= PREFIX]
+    wanted = F.col("token").isin(*starts) if starts else F.lit(False)
+    for term in terms:
+        wanted = wanted | (_matches(F.col("token"), term) & (F.col("tf") > 0))
+    corpus = cat["name_stats"].agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).first()
+    facts = known.filter(wanted)
+    per_term = [x for i, (word, prefix) in enumerate(terms) for x in (
+        F.sum(F.when(_matches(F.col("token"), (word, prefix)) & (F.col("tf") > 0), F.col("n"))).alias(f"sum{i}"), F.max(F.when(_matches(F.col("token"), (word, prefix)) & (F.col("tf") > 0), F.col("token"))).alias(f"max{i}"),
+        F.min(F.when(_matches(F.col("token"), (word, prefix)) & (F.col("tf") > 0), F.col("token"))).alias(f"min{i}"), F.sum(F.when(F.col("token") == F.lit(f"{word}*"), F.col("n"))).alias(f"begun{i}"))]
+    told = facts.agg(*per_term).first()
+    if any(told[f"sum{i}"] is None for i in range(len(terms))) or not corpus["docs"]:
+        return rank_text(postings.filter(F.lit(False)), cat["name_stats"], terms)  # some term is nowhere
+    single = [told[f"min{i}"] == told[f"max{i}"] for i in range(len(terms))]  # the term is one word
+    n, words_ = float(corpus["docs"]), float(corpus["words"])
+    if len(terms) == 1 and single[0]:
+        seen = float(told["sum0"])
+        here = facts.filter("tf > 0") if disk_id is None else facts.filter("tf > 0").filter(F.col("disk_id") == disk_id)
+        score = -_score(F.col("tf"), F.col("doc_len"), n, words_, seen)
+        classes = here.groupBy("tf", "doc_len").agg(F.sum("n").alias("n")).withColumn("score", score).orderBy("score").collect()  # as many as names have shapes
+        total, reached, cut = sum(r["n"] for r in classes), 0, 0.0
+        for r in classes:
+            reached, cut = reached + r["n"], r["score"]
+            if reached >= limit:
+                break
+        page = postings.filter(F.col("token") == F.lit(told["min0"])).withColumn("score", score).filter(F.col("score") <= cut + 1e-9)
+        return page.select("entry_id", "disk_id", "score", F.lit(total).cast("bigint").alias("total"))
+    exact = [i for i in range(len(terms)) if single[i]]
+    rarest = min(exact, key=lambda i: told[f"sum{i}"]) if exact else None
+    seen = []
+    for i, (word, prefix) in enumerate(terms):
+        if single[i]:
+            seen.append(F.lit(float(told[f"sum{i}"])))
+        elif told[f"begun{i}"] is not None:
+            seen.append(F.lit(float(told[f"begun{i}"])))
+        else:  # a long prefix of several words: its entries are counted
+            every = cat.name_postings.join(disks, "disk_id", "left_semi").filter(_matches(F.col("token"), (word, prefix)))
+            seen.append(every.agg(F.count_distinct("entry_id").cast("double")).scalar())
+    any_term = F.lit(False)
+    for term in terms:
+        any_term = any_term | _matches(F.col("token"), term)
+    hits = postings.filter(any_term)
+    if rarest is not None:
+        first = postings.filter(F.col("token") == F.lit(told[f"min{rarest}"])).select("entry_id")
+        hits = hits.join(first, "entry_id", "left_semi")
+    hits = hits.groupBy("entry_id").agg(F.max("disk_id").alias("disk_id"), F.max("doc_len").alias("doc_len"), *[
+        F.coalesce(F.sum(F.when(_matches(F.col("token"), t), F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    for i in range(len(terms)):
+        hits = hits.filter(F.col(f"tf{i}") > 0)
+    length = F.lit(1 - B) + F.lit(B) * F.col("doc_len") * F.lit(n) / F.lit(words_)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = F.greatest(F.log((F.lit(n) - seen[i] + 0.5) / (seen[i] + 0.5)), F.lit(MIN_IDF))
+        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + F.lit(K1) * length)
+    total = hits.agg(F.count(F.lit(1))).scalar()
+    return hits.select("entry_id", "disk_id", (-score).alias("score"), total.alias("total"))
+
+
 def search_names(cat: Catalog, query: str, limit: int = NAME_LIMIT, disk_id: int | None = None) -> DataFrame:
     """Best names first; every row carries the exact total and whether the page was cut."""
-    # a hit counts only with its disk, so the total agrees with the items
-    present = cat.name_postings.join(cat.disks.select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
-    ranked = rank_text(present, cat["name_stats"], tx.query_terms(query), disk_id)
+    terms = tx.query_terms(query)
+    if "name_terms" in cat and terms:
+        ranked = rank_names(cat, terms, limit, disk_id)
+    else:
+        # a hit counts only with its disk, so the total agrees with the items
+        present = cat.name_postings.join(cat.disks.select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
+        ranked = rank_text(present, cat["name_stats"], terms, disk_id)
     best = ranked.orderBy("score", "entry_id").limit(limit).select(
         F.col("entry_id").alias("id"), "disk_id", "score", "total")
     return to_items(cat, best).withColumn("truncated", F.col("total") > limit).orderBy("score", "id")

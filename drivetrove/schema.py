@@ -35,6 +35,7 @@ _DDL = {
         available_space bigint, kind string, is_removable boolean""",
     "name_postings": "token string, entry_id bigint, disk_id bigint, tf int, doc_len int",
     "text_postings": "token string, entry_id bigint, disk_id bigint, tf int, doc_len int",
+    "name_terms": "token string, disk_id bigint, tf int, doc_len int, n bigint",
     "name_stats": "disk_id bigint, n_docs bigint, n_words bigint",
     "text_stats": "disk_id bigint, n_docs bigint, n_words bigint",
 }

@@ -56,11 +56,13 @@ def _top_ids(cat: Catalog) -> tuple[int, int]:
 def _with_index(cat: Catalog, entries: DataFrame) -> Catalog:
     """Add new entries together with their name postings and index facts."""
     docs = search.name_documents(entries)
-    stats = search.index_stats(docs)
+    stats, terms = search.index_stats(docs), {}
+    if "name_terms" in cat or "name_postings" not in cat:  # an index without a dictionary goes on without one
+        terms["name_terms"] = conform(search.merge_terms(cat["name_terms"], search.build_terms(docs)), "name_terms")
     return cat.replacing(
         entries=cat.entries.unionByName(entries),
         name_postings=cat.name_postings.unionByName(conform(search.build_postings(docs), "name_postings")),
-        name_stats=cat["name_stats"].unionByName(stats) if "name_stats" in cat else stats)
+        name_stats=cat["name_stats"].unionByName(stats) if "name_stats" in cat else stats, **terms)
 
 
 def _add_disks(cat: Catalog, numbered: DataFrame, entries: DataFrame) -> Catalog:
@@ -88,9 +90,9 @@ def drop_disks(cat: Catalog, ids: DataFrame) -> Catalog:
             by_disk = "disk_id" in TABLES[table].names
             changed[table] = cat[table].join(gone if by_disk else leaving, "disk_id" if by_disk else "entry_id",
                                              "left_anti")
-    for stats in ("name_stats", "text_stats"):
-        if stats in cat:
-            changed[stats] = cat[stats].join(gone, "disk_id", "left_anti")
+    for facts in ("name_stats", "text_stats", "name_terms"):
+        if facts in cat:
+            changed[facts] = cat[facts].join(gone, "disk_id", "left_anti")
     return cat.replacing(**changed)
 
 
@@ -119,6 +121,8 @@ def delete_subtrees(cat: Catalog, ids: DataFrame) -> Catalog:
         if stats in cat:
             fewer = search.index_stats(docs).select("disk_id", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_words")).alias("n_words"))
             changed[stats] = cat[stats].unionByName(fewer).groupBy("disk_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
+    if "name_terms" in cat:
+        changed["name_terms"] = search.merge_terms(cat["name_terms"], search.build_terms(gone["name_stats"]).withColumn("n", -F.col("n")))
     fewer = disk_counts(leaving).select(F.col("disk_id").alias("id"), *[(-F.col(c)).alias(c) for c in COUNTS])
     changed["disks"] = _counted(cat.disks, fewer)
     return cat.replacing(**changed)

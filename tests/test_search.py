@@ -2,12 +2,13 @@ import random
 import sqlite3
 
 import pytest
-from conftest import SF28, entry_id, rows, typed
+from conftest import NODES, SF28, entry_id, rows, typed
 from pyspark.sql import functions as F
 
 from drivetrove import Catalog
 from drivetrove.functions import text as tx
 from drivetrove.operators import pending, saved_search, search, stats, tags
+from drivetrove.session import materialize
 from drivetrove.sources import ingest
 
 
@@ -171,3 +172,24 @@ def test_natural_order_and_pages(spark):
     assert [r["name"] for r in stats.browse_order(cat).collect()] == ["álbum", "clip 1", "Clip2", "clip002b", "clip10"]
     page = stats.page(cat, [F.col("id")], 2).collect()
     assert [(r["id"], r["total"], r["truncated"]) for r in page] == [(0, 5, True), (1, 5, True)]
+
+
+def test_dictionary_changes_no_answer(spark, load):
+    rng = random.Random(8)
+    words = ["red", "rose", "rosé", "mov", "movie", "moving", "a", "ab", "abc", "w", "wood", "x1"]
+
+    def tree(n):
+        return [("D", -1, True, 0), *[(" ".join(rng.choices(words, k=rng.randint(1, 6))) + rng.choice([".mov", ".jpg", ""]), 0, False, 1) for _ in range(n)]]
+
+    cat = load({"D1": tree(60), "D2": tree(30)})
+    cat = Catalog(spark, {t: materialize(cat[t]) for t in cat})
+    cat = ingest.delete_subtrees(cat, cat.entries.filter("id % 7 = 3 and not is_folder").select("id"))
+    cat = ingest.bulk_ingest(cat, spark.createDataFrame([("D3", i, p, n, f, s, s, 0, 0) for i, (n, p, f, s) in enumerate(tree(25))], NODES))
+    cat = Catalog(spark, {t: materialize(cat[t]) for t in cat})
+    bare = Catalog(spark, {t: cat[t] for t in cat if t != "name_terms"})
+    fresh = search.build_terms(search.name_documents(cat.entries))
+    assert rows(cat["name_terms"], "token", "disk_id", "tf", "doc_len", "n") == rows(fresh, "token", "disk_id", "tf", "doc_len", "n")
+    disk = cat.disks.filter("name = 'D2'").first()["id"]
+    for query, limit, only in ((".mov", 5, None), ("x1", 4, disk), ("red w", 1000, None), ("rose movi", 6, disk), ("red nowhere", 5, None)):
+        answers = [[(r["id"], round(r["score"], 9), r["total"], r["truncated"]) for r in search.search_names(c, query, limit, only).collect()] for c in (cat, bare)]
+        assert answers[0] == answers[1], (query, limit, only)
