@@ -1065,9 +1065,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     GROUP BY search_id""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     specs = saved_search.structure_search_log(_search_log(cat, sf_dir), "box")
-    pairs = saved_search.match_saved_searches(cat, specs)
-    return pairs.groupBy("search_id").agg(F.count(F.lit(1)).alias("hits"),
-                                          F.sum(F.col("entry_id") % 1000003).alias("check_sum"))
+    return saved_search.summarize_saved_searches(cat, specs, F.count(F.lit(1)).alias("hits"), F.sum(F.col("id") % 1000003).alias("check_sum"))
 
 
 @query("import_dates", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_linenumber = 1 THEN NULL

@@ -193,3 +193,14 @@ def test_dictionary_changes_no_answer(spark, load):
     for query, limit, only in ((".mov", 5, None), ("x1", 4, disk), ("red w", 1000, None), ("rose movi", 6, disk), ("red nowhere", 5, None)):
         answers = [[(r["id"], round(r["score"], 9), r["total"], r["truncated"]) for r in search.search_names(c, query, limit, only).collect()] for c in (cat, bare)]
         assert answers[0] == answers[1], (query, limit, only)
+
+
+def test_saved_searches_pairs_and_sums(spark, cat):
+    asked = spark.createDataFrame([(1, "ext:mov size>1gb"), (2, "ext:mov size>1gb"), (3, "type:folder"), (4, "final v"), (5, "canción ext:jpg"), (6, ""), (7, "size<1kb type:file")], "search_id long, box string")
+    specs = saved_search.structure_search_log(asked, "box")
+    names = {r["id"]: r["name"] for r in cat.entries.collect()}
+    pairs = sorted((r["search_id"], names[r["entry_id"]]) for r in saved_search.match_saved_searches(cat, specs).collect())
+    folders = sorted(r["name"] for r in cat.entries.filter("is_folder").collect())
+    assert pairs == [(1, "Canción_final v2.MOV"), (2, "Canción_final v2.MOV"), *[(3, f) for f in folders], (4, "Canción_final v2.MOV")]
+    summed = saved_search.summarize_saved_searches(cat, specs, F.count("*").alias("n"))
+    assert rows(summed, "search_id", "n") == [(1, 1), (2, 1), (3, len(folders)), (4, 1)]
