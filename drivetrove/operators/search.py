@@ -148,15 +148,15 @@ def rank_names(cat: Catalog, terms: list[tuple[str, bool]], limit: int, disk_id:
     of the impact classes that reach the page are read. Several terms start from the rarest word, and the others' postings
     count only where it occurs. Postings of other disks than ``disk_id`` are not read.
     """
-    disks = cat.disks.select(F.col("id").alias("disk_id"))
-    postings = cat.name_postings if disk_id is None else cat.name_postings.filter(F.col("disk_id") == disk_id)
-    postings = postings.join(disks, "disk_id", "left_semi")  # a hit counts only with its disk, so the total agrees with the items
-    known = cat["name_terms"].join(disks, "disk_id", "left_semi")
+    ids = cat.disks.agg(F.collect_set("id")).scalar()  # disks are few
+    corpus = cat["name_stats"].agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).withColumn("disks", ids).first()
+    present = F.col("disk_id").isin(corpus["disks"])  # a hit counts only with its disk, so the total agrees with the items
+    postings = cat.name_postings.filter(present if disk_id is None else present & (F.col("disk_id") == disk_id))
+    known = cat["name_terms"].filter(present)
     starts = [F.lit(f"{word}*") for word, prefix in terms if prefix and len(word) <= PREFIX]
     wanted = F.col("token").isin(*starts) if starts else F.lit(False)
     for term in terms:
         wanted = wanted | (_matches(F.col("token"), term) & (F.col("tf") > 0))
-    corpus = cat["name_stats"].agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).first()
     facts = known.filter(wanted)
     per_term = [x for i, (word, prefix) in enumerate(terms) for x in (
         F.sum(F.when(_matches(F.col("token"), (word, prefix)) & (F.col("tf") > 0), F.col("n"))).alias(f"sum{i}"), F.max(F.when(_matches(F.col("token"), (word, prefix)) & (F.col("tf") > 0), F.col("token"))).alias(f"max{i}"),
@@ -187,7 +187,7 @@ def rank_names(cat: Catalog, terms: list[tuple[str, bool]], limit: int, disk_id:
         elif told[f"begun{i}"] is not None:
             seen.append(F.lit(float(told[f"begun{i}"])))
         else:  # a long prefix of several words: its entries are counted
-            every = cat.name_postings.join(disks, "disk_id", "left_semi").filter(_matches(F.col("token"), (word, prefix)))
+            every = cat.name_postings.filter(present & _matches(F.col("token"), (word, prefix)))
             seen.append(every.agg(F.count_distinct("entry_id").cast("double")).scalar())
     any_term = F.lit(False)
     for term in terms:
