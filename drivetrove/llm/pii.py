@@ -49,7 +49,7 @@ _GIVEN = re.compile(rf"""(?i:{_KEYWORDS})["']?[ \t]*(?::=|=>|[=:])[ \t]*(?:"([^"
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _DATE = re.compile(r"(?:[0-9]{4}[-. ]?[0-9]{1,2}[-. ]?[0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ][0-9]{4})(?:[-. ]+[0-9]{1,6})*")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 # Runs that are candidates whole, whatever their token count: letters and digits, parts of addresses, numbers, quoted ones, words.
 _RUNS = tuple(re.compile(x) for x in (r"[^\W_]+", r"[\w.%+@-]+", r"(?<![0-9])[0-9](?:[ -]?[0-9])++", r"\+[0-9][ ().0-9-]+[0-9]", r"(?<=\")[^\s\"]+(?=\")|(?<=')[^\s']+(?=')", r"\S+"))
 _ASKS = re.compile(rf"(?:{_KEYWORDS}|key|auth|bearer|basic)\W{{0,6}}$", re.I)
