@@ -1065,7 +1065,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     GROUP BY search_id""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     specs = saved_search.structure_search_log(_search_log(cat, sf_dir), "box")
-    return saved_search.summarize_saved_searches(cat, specs, F.count(F.lit(1)).alias("hits"), F.sum(F.col("id") % 1000003).alias("check_sum"))
+    return saved_search.total_saved_searches(cat, specs, hits=F.lit(1), check_sum=F.col("id") % 1000003)
 
 
 @query("import_dates", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN l_linenumber = 1 THEN NULL

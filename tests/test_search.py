@@ -204,3 +204,27 @@ def test_saved_searches_pairs_and_sums(spark, cat):
     assert pairs == [(1, "Canción_final v2.MOV"), (2, "Canción_final v2.MOV"), *[(3, f) for f in folders], (4, "Canción_final v2.MOV")]
     summed = saved_search.summarize_saved_searches(cat, specs, F.count("*").alias("n"))
     assert rows(summed, "search_id", "n") == [(1, 1), (2, 1), (3, len(folders)), (4, 1)]
+
+
+def test_saved_search_totals_by_size_bounds(spark, load):
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 7, 8, 9, 1000, 1024, 10**6, 10**6 + 1, 2**33]) for _ in range(120)]
+    items = [("D", -1, True, 0), *[(f"{rng.choice(['red', 'green'])} {i % 9}.{rng.choice(['mov', 'jpg'])}", 0, False, s) for i, s in enumerate(sizes)]]
+    cat = load({"D": items})
+    unknown = cat.entries.filter(F.col("name").startswith("red 3")).select("id").limit(2)
+    entries = cat.entries.join(unknown.withColumn("_gone", F.lit(True)), "id", "left")
+    cat = cat.replacing(entries=materialize(entries.withColumn("size_logical", F.when(F.col("_gone").isNull(), F.col("size_logical"))).drop("_gone")))
+    texts, edges = ["red", "green 1", "ext:mov", "gr ext:jpg", "type:file", ""], [0, 1, 7, 8, 9, 999, 1000, 1024, 10**6, 2**33, 2**34]
+    asked = []
+    for text in texts:
+        for low, high in [(None, None), *[(rng.choice([None, *edges]), rng.choice([None, *edges])) for _ in range(14)]]:
+            asked.append((len(asked), " ".join([text, *([f"size>{low}b"] if low is not None else []), *([f"size<{high}b"] if high is not None else [])])))
+    asked += [(len(asked), asked[1][1]), (len(asked), "nowhere size>1kb")]
+    specs = materialize(saved_search.structure_search_log(spark.createDataFrame(asked, "search_id long, box string"), "box"))
+    assert specs.filter("min_size > max_size").count() > 0 and specs.filter("min_size IS NULL AND max_size IS NULL").count() > 4
+    pairs = saved_search.match_saved_searches(cat, specs).join(cat.entries.select(F.col("id").alias("entry_id"), "size_logical"), "entry_id")
+    expected = pairs.groupBy("search_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("size_logical"), F.lit(0)).alias("bytes"), F.sum("entry_id").alias("ids"))
+    found = saved_search.total_saved_searches(cat, specs, n=F.lit(1), bytes=F.col("size_logical"), ids=F.col("id"))
+    assert rows(found, "search_id", "n", "bytes", "ids") == rows(expected, "search_id", "n", "bytes", "ids") != []
+    assert found.columns == ["search_id", "n", "bytes", "ids"]
+    assert saved_search.total_saved_searches(cat, specs.limit(0), n=F.lit(1)).isEmpty()
