@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from drivetrove.catalog import Catalog
 from drivetrove.operators.search import filtered_ids, search_advanced, search_transcripts, to_items
 from drivetrove.operators.stats import DUPLICATE_GROUPS, MIN_DUPLICATE, with_disk_name
-from drivetrove.session import materialize, skew_join
+from drivetrove.session import materialize, number_rows, release, skew_join
 
 SEMANTIC_LIMIT = 200
 HYBRID_LIMIT = 300
@@ -29,6 +29,10 @@ BLOCK = 4096
 MAX_PIVOTS = 4096
 #: Candidates that each cell puts forward per election round.
 BALLOT = 512
+#: Similar pairs a vector beyond which a task writes none and crowds are thinned first.
+DEGREE = 32
+#: Nodes of consecutive ids that one task walks in order.
+SETTLED = 4096
 
 
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -313,34 +317,113 @@ def similarity_pairs(sigs: DataFrame, threshold: float, cell_rows: int = BLOCK,
     return _meet(cells, cells, sizes, work, "a bigint, b bigint, score double")
 
 
+def _edges(undecided: DataFrame, threshold: float, rows: int, degree: int) -> DataFrame | None:
+    """Similar pairs ``low < high`` of the undecided, or None where somewhere more than ``degree`` a vector would come."""
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        a_ids, a, r_ids, r = _sides(left, right)
+        high, low = np.zeros(0, int), np.zeros(0, int)
+        if len(a_ids) and len(r_ids):
+            close = ((a @ r.T) >= threshold) & (r_ids[None, :] < a_ids[:, None])
+            if np.count_nonzero(close) > degree * (len(a_ids) + len(r_ids)):
+                return pa.table({"low": pa.array([None], pa.int64()), "high": pa.array([None], pa.int64())})  # a crowd: no pairs of it are written
+            high, low = np.nonzero(close)
+        return pa.table({"low": pa.array(r_ids[low], pa.int64()), "high": pa.array(a_ids[high], pa.int64())})
+
+    found = materialize(_meet(undecided, undecided, _block_counts(undecided, undecided, rows), work, "low bigint, high bigint"), "edges")
+    if found.filter("low IS NULL").isEmpty():
+        return found
+    release(found)
+    return None
+
+
+def settle(ids: DataFrame, edges: DataFrame, block: int = SETTLED) -> tuple[DataFrame, int]:
+    """Greedy choice by ascending id on a graph: ``entry_id, neighbour``, and the rounds it took.
+
+    A node is chosen (its own ``neighbour``) iff no smaller neighbour is; else ``neighbour`` is a chosen one. Nodes stand in blocks of
+    consecutive ids. A round walks every block in order as far as nodes outside it are not needed, then passes on what was decided. So a
+    run of nodes that wait for each other takes a round for each block it enters, not for each node. A task holds the nodes of one block and
+    the edges inside; edges between blocks only say who waits.
+    """
+    placed = number_rows(ids.select("entry_id"), "entry_id", name="_n")
+    nodes = materialize(placed.select("entry_id", F.floor((F.col("_n") - 1) / block).cast("bigint").alias("block")), "nodes")
+
+    def at(end: str) -> DataFrame:
+        return nodes.select(F.col("entry_id").alias(end), F.col("block").alias(f"{end}_block"))
+
+    ends = skew_join(edges.select("low", "high"), at("low"), "low", spread=F.col("high"))
+    links = materialize(skew_join(ends, at("high"), "high", spread=F.col("low")), "links")
+    answers, rounds = None, 0
+
+    def walk(own: pa.Table, inside: pa.Table) -> pa.Table:
+        own = own.sort_by("entry_id")
+        names, waits = own.column("entry_id").to_numpy(), own.column("waits").to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(names, inside.column(c).to_numpy()) for c in ("low", "high"))
+        low = low[np.argsort(high, kind="stable")]
+        ends = np.cumsum(np.bincount(high, minlength=len(names)))
+        chosen = np.full(len(names), -1)  # the smallest chosen neighbour, itself, or -1: open
+        for i, (start, end) in enumerate(zip(np.r_[0, ends], ends)):
+            below = low[start:end]
+            taken = below[chosen[below] == below]
+            if len(taken):
+                chosen[i] = taken.min()
+            elif not waits[i] and (chosen[below] >= 0).all():
+                chosen[i] = i
+        known = chosen >= 0
+        return pa.table({"entry_id": pa.array(names[known], pa.int64()), "neighbour": pa.array(names[chosen[known]], pa.int64())})
+
+    while not nodes.isEmpty():
+        rounds += 1
+        between = links.filter("low_block <> high_block")
+        waiting = between.select(F.col("high").alias("entry_id"), F.lit(True).alias("waits")).distinct()
+        own = nodes.join(waiting, "entry_id", "left").fillna(False, ["waits"])
+        inside = links.filter("low_block = high_block").select(F.col("high_block").alias("_block"), "low", "high")
+        walked = materialize(own.groupBy("block").cogroup(inside.groupBy("_block")).applyInArrow(walk, "entry_id bigint, neighbour bigint"), "walked")
+        chosen = walked.filter("entry_id = neighbour").select(F.col("entry_id").alias("low"))
+        reached = skew_join(between, chosen, "low", "left_semi", spread=F.col("high")).select(F.col("high").alias("entry_id"), F.col("low").alias("neighbour"))
+        decided = materialize(walked.unionByName(reached).groupBy("entry_id").agg(F.min("neighbour").alias("neighbour")), "decided")
+        answers = decided if answers is None else answers.unionByName(decided)
+        left = materialize(nodes.join(decided, "entry_id", "left_anti"), "nodes")
+        rest = skew_join(links, decided.select(F.col("entry_id").alias("low")), "low", "left_anti", spread=F.col("high"))
+        rest = materialize(skew_join(rest, decided.select(F.col("entry_id").alias("high")), "high", "left_anti", spread=F.col("low")), "links")
+        release(nodes, links, walked)
+        nodes, links = left, rest
+    return (ids.select("entry_id", F.col("entry_id").alias("neighbour")) if answers is None else answers), rounds
+
+
 def leader_clusters(sigs: DataFrame, threshold: float = VISUAL_THRESHOLD, cell_rows: int = BLOCK,
-                    block: int = BLOCK, ballot: int = BALLOT) -> DataFrame:
+                    block: int = BLOCK, ballot: int = BALLOT, degree: int = DEGREE) -> DataFrame:
     """Greedy leader clustering by ascending id: ``entry_id, leader``.
 
-    A vector leads iff no leader with a smaller id is similar to it. Each round every cell puts forward
-    its smallest undecided ids; those without a smaller undecided neighbour become leaders and whatever
-    is similar to a leader is out. Only nearest facts travel, never all pairs. At the end each member
-    joins its smallest similar leader, which is what the sequential loop does.
+    A vector leads iff no leader with a smaller id is similar to it. Similar pairs are found once and the leaders then chosen on the
+    pairs alone (:func:`settle`). Where crowds of look-alikes would give more than ``degree`` pairs a vector, they are thinned first: every
+    cell puts forward its ``ballot`` smallest undecided ids, those without a smaller undecided neighbour lead, and whatever is similar to a
+    leader is out. At the end each member joins its smallest similar leader, which is what the sequential loop does.
     """
     reps, copies = collapse_copies(materialize(sigs, "signatures"))
     cells = materialize(_cells(reps, threshold, cell_rows), "cells")
-    open_ids, leaders = cells, None
-    while not open_ids.isEmpty():
+    open_ids, decided = cells, []
+    while (edges := _edges(open_ids, threshold, block, degree)) is None:
         turn = F.row_number().over(Window.partitionBy("home").orderBy("entry_id"))
         standing = open_ids.withColumn("_turn", turn).filter(F.col("_turn") <= ballot).drop("_turn")
         blocked = _smallest_neighbour(open_ids, standing, threshold, block, "routed")
         elected = materialize(standing.join(blocked, "entry_id", "left_anti"), "leaders")
-        out = _smallest_neighbour(open_ids, elected, threshold, block, "anchored").select("entry_id")
-        open_ids = materialize(
-            open_ids.join(elected, "entry_id", "left_anti").join(out, "entry_id", "left_anti"), "undecided")
-        leaders = elected if leaders is None else leaders.unionByName(elected)
-    if leaders is None:
-        return copies.select("entry_id", F.col("representative").alias("leader"))
-    joined = _smallest_neighbour(cells, leaders, threshold, block, "anchored")
-    own = leaders.select("entry_id", F.col("entry_id").alias("leader"))
-    members = joined.join(own, "entry_id", "left_anti").select("entry_id", F.col("neighbour").alias("leader"))
+        out = materialize(_smallest_neighbour(open_ids, elected, threshold, block, "anchored"), "members")
+        left = materialize(open_ids.join(elected, "entry_id", "left_anti").join(out, "entry_id", "left_anti"), "undecided")
+        if open_ids is not cells:
+            release(open_ids)
+        open_ids = left
+        decided += [elected.select("entry_id", F.col("entry_id").alias("neighbour")), out]
+    answers, _ = settle(open_ids, edges)
+    for part in decided:
+        answers = answers.unionByName(part)
+    answers = materialize(answers, "answers")
+    own = answers.filter("entry_id = neighbour").select("entry_id", F.col("entry_id").alias("leader"))
+    leaders = cells.join(own.select("entry_id"), "entry_id", "left_semi")
+    # a leader chosen late may be smaller than the one that took a member out
+    joined = _smallest_neighbour(cells, leaders, threshold, block, "anchored").join(own, "entry_id", "left_anti")
+    members = joined.unionByName(answers.filter("entry_id <> neighbour")).groupBy("entry_id").agg(F.min("neighbour").alias("leader"))
     leader_of = own.unionByName(members).withColumnRenamed("entry_id", "representative")
-    return copies.join(leader_of, "representative").select("entry_id", "leader")
+    return skew_join(copies, leader_of, "representative", spread=F.col("entry_id")).select("entry_id", "leader")
 
 
 def visual_duplicates(cat: Catalog, model: str, threshold: float = VISUAL_THRESHOLD,

@@ -139,3 +139,73 @@ def test_filters_come_before_the_cut(spark):
 def test_pruning_is_measured(spark, crowd):
     df, _ = crowd
     assert 0 < vectors.routed_share(df, 0.99, cell_rows=20) < vectors.routed_share(df, 0.2, cell_rows=20) <= 1
+
+
+def _greedy(ids, edges):
+    """Smallest chosen neighbour of every node, itself where it is chosen."""
+    below = {}
+    for low, high in edges:
+        below.setdefault(high, []).append(low)
+    best = {}
+    for i in sorted(ids):
+        chosen = [x for x in below.get(i, []) if best[x] == x]
+        best[i] = min(chosen) if chosen else i
+    return best
+
+
+def _settled(spark, ids, edges, block):
+    found, rounds = vectors.settle(spark.createDataFrame([(i,) for i in ids], "entry_id bigint"), spark.createDataFrame(edges, "low bigint, high bigint"), block)
+    return {r["entry_id"]: r["neighbour"] for r in found.collect()}, rounds
+
+
+def test_settling_equals_the_sequential_choice(spark):
+    rng = np.random.default_rng(3)
+    ids = [int(x) for x in rng.permutation(900)[:400] * 7]
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.choice(ids, (1500, 2)).tolist() if a != b}
+    pairs |= {(min(ids), x) for x in ids[:150] if x != min(ids)}  # a node that many hang on
+    expected = _greedy(ids, pairs)
+    for block in (16, 4096):
+        got, rounds = _settled(spark, ids, sorted(pairs), block)
+        assert got.keys() == expected.keys() and rounds <= 12
+        chosen = {i for i, n in expected.items() if i == n}
+        assert {i for i, n in got.items() if i == n} == chosen
+        assert all(n in chosen and (i == n or (n, i) in pairs) for i, n in got.items())
+    assert got == expected  # in one block the smallest is known at once
+    assert _settled(spark, [], [], 8) == ({}, 0)
+
+
+def test_rounds_follow_blocks_not_nodes(spark):
+    """Each node of a run waits for the one before; as many blocks take as many rounds, however long they are."""
+    taken = []
+    for n, block in ((200, 50), (2000, 500)):
+        edges = [(i, j) for i in range(n) for j in (i + 1, i + 2) if j < n]
+        got, rounds = _settled(spark, range(n), edges, block)
+        assert {i for i, b in got.items() if i == b} == set(range(0, n, 3))
+        taken.append(rounds)
+    assert taken[0] == taken[1] <= 5
+
+
+def test_clusters_of_crowds_are_thinned_first(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = unit(rng.normal(size=(6, 6)))
+    m = unit(centres[rng.integers(0, 6, 500)] + rng.normal(scale=0.05, size=(500, 6)))
+    turn = np.linspace(0, 3, 200)  # a slow pan: every picture is like the next
+    pan = np.zeros((200, 6))
+    pan[:, 0], pan[:, 1] = np.cos(turn), np.sin(turn)
+    m = np.concatenate([m, pan])
+    ids = rng.permutation(len(m)) * 3
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "entry_id bigint, vec array<double>")
+    order = np.argsort(ids)
+    leaders, expected = [], {}
+    for k in order:
+        near = [j for j in leaders if m[j] @ m[k] >= 0.95]
+        expected[int(ids[k])] = int(min(ids[j] for j in near)) if near else int(ids[k])
+        leaders += [] if near else [k]
+    thinned = []
+    real = vectors._smallest_neighbour
+    monkeypatch.setattr(vectors, "_smallest_neighbour", lambda *a: thinned.append(1) or real(*a))
+    for degree, passes in ((1000, 1), (2, 3)):
+        thinned.clear()
+        got = {r["entry_id"]: r["leader"] for r in vectors.leader_clusters(df, 0.95, cell_rows=100, block=64, ballot=20, degree=degree).collect()}
+        assert got == expected
+        assert len(thinned) >= passes and (passes > 1 or len(thinned) == 1)
