@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -77,44 +76,44 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, encode), "")
 
 
-#: A word as the index sees it: letters and digits, with the marks that folding takes off them.
-_WORD = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f])*")
-
-
-def _cut(text: str, terms: list[tuple[str, bool]], size: int, left: str, right: str, gap: str) -> str:
-    found = list(_WORD.finditer(text))
-    folded = [fold_py(m.group()) for m in found]
-    term_of = [next((i for i, (t, prefix) in enumerate(terms) if (w.startswith(t) if prefix else w == t)), -1)
-               for w in folded]
-    hits = [i for i, t in enumerate(term_of) if t >= 0]
-    best, start = -1, 0
-    for n, i in enumerate(hits):
-        inside = [j for j in hits[n:n + size] if j < i + size]
-        different = len({term_of[j] for j in inside})
-        score = different * 1000 + len(inside) - different
-        if score > best:
-            slack = (size - (inside[-1] + 1 - i)) // 2
-            best, start = score, max(0, min(i - slack, len(found) - size))
-    shown = range(start, min(start + size, len(found)))
-    out, at = [], found[start].start() if start else 0
-    for i in shown:
-        word = found[i].group()
-        out += [text[at:found[i].start()], left + word + right if term_of[i] >= 0 else word]
-        at = found[i].end()
-    ends = start + size >= len(found)
-    return (gap if start else "") + "".join(out) + (text[at:] if ends else gap)
-
-
-def snippet(text: Column, terms: list[tuple[str, bool]], size: int = 12,
-            left: str = "«", right: str = "»", gap: str = "…") -> Column:
-    """Fragment of ``size`` words around the densest match, hits marked and cut ends shown by ``gap``.
-
-    A window starting at a hit scores 1000 for every different term it contains and 1 for each further
-    hit; the best one is then centred on its hits. Meant for the rows of one result page.
-    """
-    @F.arrow_udf("string")
-    def fragment(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _cut(t, terms, size, left, right, gap) for t in texts.to_pylist()],
-                        pa.string())
+#: A word as the index sees it, letters and digits with the marks that folding takes off them, and what follows it.
+_WORD_AND_GAP = "([\\p{L}\\p{N}][\\p{L}\\p{N}\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]*)([^\\p{L}\\p{N}]*)"
+
+
+def _term_of(word: Column, terms: list[tuple[str, bool]]) -> Column:
+    """Number of the first term that a word meets, or -1."""
+    folded, found = fold(word), F.lit(-1)
+    for i, (term, prefix) in reversed(list(enumerate(terms))):
+        found = F.when(F.startswith(folded, F.lit(term)) if prefix else folded == term, i).otherwise(found)
+    return found
 
-    return fragment(text)
+
+def snippets(texts: DataFrame, key: str, text: str, terms: list[tuple[str, bool]], size: int = 12,
+             left: str = "«", right: str = "»", gap: str = "…") -> DataFrame:
+    """``key, snippet``: of every text the fragment of ``size`` words around the densest match, hits marked, cut ends shown by ``gap``.
+
+    A window of words starting at a hit scores 1000 for every different term in it and 1 for each further hit; the first best one is then
+    centred on its hits. A text without a hit shows its beginning, one without words itself, NULL is NULL. ``key`` tells the rows apart.
+    Only hits are windowed, so whole tables of long texts may be cut.
+    """
+    cut = texts.select(
+        key, F.regexp_extract(text, r"\A[^\p{L}\p{N}]*", 0).alias("_lead"),
+        *[F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(i)).alias(name) for i, name in ((1, "_words"), (2, "_gaps"))]) \
+        .withColumn("_terms", F.transform("_words", lambda w: _term_of(w, terms)))
+    hits = cut.select(key, F.posexplode("_terms").alias("_at", "_term")).filter("_term >= 0")
+    ahead = Window.partitionBy(key).orderBy("_at").rangeBetween(0, size - 1)
+    different = sum((F.max((F.col("_term") == i).cast("int")).over(ahead) for i in range(len(terms))), F.lit(0))
+    scored = hits.select(key, "_at", F.max("_at").over(ahead).alias("_last"), different.alias("_different"), F.count(F.lit(1)).over(ahead).alias("_inside"))
+    best = scored.groupBy(key).agg(F.max_by(F.struct("_at", "_last"), F.struct(F.col("_different") * 999 + F.col("_inside"), -F.col("_at"))).alias("_best"))
+
+    slack = F.floor((size - (F.col("_best._last") + 1 - F.col("_best._at"))) / 2)
+    centred = F.greatest(F.lit(0), F.least(F.col("_best._at") - slack, F.size("_words") - size)).cast("int")
+    start = F.when(F.col("_best").isNull(), 0).otherwise(centred)
+    ends = F.col("_start") + size >= F.size("_words")
+    shown = [F.slice(c, F.col("_start") + 1, F.lit(size)) for c in ("_words", "_gaps", "_terms")]
+    marked = F.zip_with(shown[0], shown[2], lambda w, t: F.when(t >= 0, F.concat(F.lit(left), w, F.lit(right))).otherwise(w))
+    between = F.zip_with(shown[1], F.sequence(F.lit(1), F.size(shown[1])), lambda g, i: F.when(ends | (i < size), g).otherwise(F.lit(gap)))
+    body = F.array_join(F.zip_with(marked, between, lambda w, g: F.concat(w, g)), "")
+    opening = F.when(F.col("_start") > 0, F.lit(gap)).otherwise(F.col("_lead"))
+    fragment = F.when(F.size("_words") > 0, F.concat(opening, body)).otherwise(F.col("_lead"))
+    return cut.join(best, key, "left").withColumn("_start", start).select(key, fragment.alias("snippet"))

@@ -238,7 +238,7 @@ def search_transcripts(cat: Catalog, query: str, limit: int = TRANSCRIPT_LIMIT,
         return best.select("entry_id", "score", F.lit(None).cast("string").alias("snippet"))
     # fragments are cut only for the rows on the page
     texts = cat.transcripts.select("entry_id", "text").join(best, "entry_id", "left_semi")
-    cut = texts.select("entry_id", tx.snippet(F.col("text"), terms, SNIPPET_WORDS).alias("snippet"))
+    cut = tx.snippets(texts, "entry_id", "text", terms, SNIPPET_WORDS)
     return best.select("entry_id", "score").join(cut, "entry_id").orderBy("score", "entry_id")
 
 

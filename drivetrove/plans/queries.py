@@ -932,11 +932,34 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return hits.select("entry_id", F.round("score", 6).alias("score"))
 
 
-@query("snippet")
+def _snippet_sql(texts: str, terms: list[tuple[str, bool]], size: int = 12) -> str:
+    """Marked fragments of ``texts(entry_id, text)``."""
+    meets = [f"starts_with(f, '{t}')" if prefix else f"f = '{t}'" for t, prefix in terms]
+    return rf""", cw AS (SELECT entry_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+([^\p{{L}}\p{{N}}]*)', 1) AS g,
+      regexp_extract(text, '^[^\p{{L}}\p{{N}}]*') AS lead FROM ({texts})),
+    wat AS (SELECT entry_id, i, w[i] AS word, g[i] AS gap, len(w) AS n, lead, strip_accents(lower(w[i])) AS f FROM cw, unnest(range(1, len(w) + 1)) AS u(i)),
+    met AS (SELECT *, CASE {' '.join(f"WHEN {m} THEN {k}" for k, m in enumerate(meets))} END AS term FROM wat),
+    reach AS (SELECT a.entry_id, a.i, any_value(a.n) AS n, count(DISTINCT b.term) AS d, count(*) AS c, max(b.i) AS z
+      FROM met a JOIN met b ON a.entry_id = b.entry_id AND b.i BETWEEN a.i AND a.i + {size - 1} WHERE a.term IS NOT NULL AND b.term IS NOT NULL GROUP BY 1, 2),
+    top AS (SELECT * FROM reach QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY d * 1000 + c - d DESC, i) = 1),
+    opens AS (SELECT c.entry_id, greatest(1, least(coalesce(i - ({size} - (z + 1 - i)) // 2, 1), len(w) - {size - 1})) AS s FROM cw c LEFT JOIN top USING (entry_id)),
+    pieces AS (SELECT m.entry_id, string_agg(CASE WHEN term IS NULL THEN word ELSE '«' || word || '»' END || CASE WHEN i = s + {size - 1} AND i < n THEN '…' ELSE gap END, '' ORDER BY i) AS body
+      FROM met m JOIN opens o ON o.entry_id = m.entry_id AND i BETWEEN s AND s + {size - 1} GROUP BY 1)
+    SELECT entry_id, CASE WHEN s > 1 THEN '…' ELSE lead END || coalesce(body, '') AS snippet FROM cw JOIN opens USING (entry_id) LEFT JOIN pieces USING (entry_id)"""
+
+
+@query("snippet", oracle.bm25(_TEXT_DOCS, [("eaux", True)]).rstrip() + ", page AS (SELECT entry_id FROM ranked ORDER BY ranked.score, entry_id LIMIT 200)"
+       + _snippet_sql("SELECT entry_id, text FROM transcripts WHERE entry_id IN (SELECT entry_id FROM page)", [("eaux", True)]))
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return search.search_transcripts(cat, "eaux").select("entry_id", "snippet")
 
 
+@query("transcript_snippets", _snippet_sql("SELECT entry_id, text FROM transcripts", [("the", False), ("an", True)]))
+def _(cat: Catalog, sf_dir: str) -> DataFrame:
+    """The best fragment of every transcript."""
+    return tx.snippets(cat.transcripts, "entry_id", "text", tx.query_terms("the an"))
+
+
 @query("semantic_search", _BEST + f"""SELECT {_ITEM}, round(score, 6) AS score, frame_ts FROM best JOIN entries e ON e.id = entry_id
     JOIN disks d ON d.id = e.disk_id WHERE score >= 0 ORDER BY best.score DESC, e.id LIMIT 200""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:

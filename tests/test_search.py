@@ -1,4 +1,5 @@
 import random
+import re
 import sqlite3
 
 import pytest
@@ -96,7 +97,38 @@ def test_ranking_equals_full_text_engine(spoken, query, match):
     assert {r["entry_id"]: round(r["score"], 9) for r in ranked} == {k: round(v, 9) for k, v in expected.items()}
 
 
-def test_snippets(spoken):
+
+
+#: A word as the index sees it: letters and digits, with the marks that folding takes off them.
+_WORD = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f])*")
+
+
+def cut_by_hand(text, terms, size=12, left="«", right="»", gap="…"):
+    """The fragment by a plain walk over all words."""
+    found = list(_WORD.finditer(text))
+    folded = [tx.fold_py(m.group()) for m in found]
+    term_of = [next((i for i, (t, prefix) in enumerate(terms) if (w.startswith(t) if prefix else w == t)), -1)
+               for w in folded]
+    hits = [i for i, t in enumerate(term_of) if t >= 0]
+    best, start = -1, 0
+    for n, i in enumerate(hits):
+        inside = [j for j in hits[n:n + size] if j < i + size]
+        different = len({term_of[j] for j in inside})
+        score = different * 1000 + len(inside) - different
+        if score > best:
+            slack = (size - (inside[-1] + 1 - i)) // 2
+            best, start = score, max(0, min(i - slack, len(found) - size))
+    shown = range(start, min(start + size, len(found)))
+    out, at = [], found[start].start() if start else 0
+    for i in shown:
+        word = found[i].group()
+        out += [text[at:found[i].start()], left + word + right if term_of[i] >= 0 else word]
+        at = found[i].end()
+    ends = start + size >= len(found)
+    return (gap if start else "") + "".join(out) + (text[at:] if ends else gap)
+
+
+def test_snippets(spark, spoken):
     cat, texts = spoken
     got = {r["entry_id"]: r["snippet"] for r in search.search_transcripts(cat, "perr").collect()}
     expected = dict(fts(texts).execute("SELECT rowid, snippet(t, 0, '«', '»', '…', 12) FROM t WHERE t MATCH '\"perr\"*'").fetchall())
@@ -104,8 +136,18 @@ def test_snippets(spoken):
     short = [i for i, _, _, x in texts if len(x.split()) <= 12 and i in got]
     assert short and all(got[i] == expected[i] for i in short)
     assert all("«perro" in s for s in got.values())
-    assert tx._cut("a b c d e f hit g h i", [("hit", True)], 3, "[", "]", "~") == "~f [hit] g~"
-    assert tx._cut("Hit, a b c!", [("hit", True)], 3, "[", "]", "~") == "[Hit], a b~"
+    assert got == {i: cut_by_hand(x, [("perr", True)]) for i, _, _, x in texts if i in got}
+
+    def cut(data, terms, size):
+        df = spark.createDataFrame(list(enumerate(data)), "id long, x string")
+        return [r["snippet"] for r in tx.snippets(df, "id", "x", terms, size, "[", "]", "~").orderBy("id").collect()]
+
+    assert cut(["a b c d e f hit g h i", "Hit, a b c!"], [("hit", True)], 3) == ["~f [hit] g~", "[Hit], a b~"]
+    rng = random.Random(4)
+    odd = [None, "", " ,.- ", "(no)", "caf\u0065\u0301 hit_hit", "x\n\nhit\ty\n"]
+    data = odd + ["".join(rng.choice(["hit", "Hítx", "an", "ant", "b", "ç"]) + rng.choice([" ", ", ", "\n", "_", " - "]) for _ in range(rng.choice([1, 5, 40, 3000]))) for _ in range(60)]
+    for terms, size in (([("hit", True)], 3), ([("an", False), ("hit", True)], 4), ([("hit", False), ("hit", True)], 12), ([("nowhere", True)], 5)):
+        assert cut(data, terms, size) == [None if x is None else cut_by_hand(x, terms, size, "[", "]", "~") for x in data]
     assert search.search_transcripts(cat, "perr", lang="es").count() == sum(1 for i in got if i % 2)
 
 
