@@ -100,7 +100,7 @@ class Catalog:
             number = int(taken[0][:-5]) if taken else 0
             if number > (last.version if last else 0) and _record(self.spark, root, taken[0]):
                 continue  # someone was faster
-            if _commit(self.spark, Commit(root, number + 1, places)):
+            if commit_if_free(self.spark, Commit(root, number + 1, places)):
                 return
 
 
@@ -120,7 +120,7 @@ def _files(spark: SparkSession, path: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _commit(spark: SparkSession, commit: Commit) -> bool:
+def commit_if_free(spark: SparkSession, commit: Commit) -> bool:
     """Write the record if its number is free."""
     files, path = _files(spark, f"{commit.root}/commits/{commit.version:020d}.json")
     try:

@@ -17,6 +17,7 @@ from drivetrove.schema import TREE_COLUMNS, conform
 from drivetrove.session import materialize, scratch_path
 from drivetrove.sources import files, ingest, probes, sinks
 from drivetrove.streaming.presence import presence_batch
+from drivetrove.streaming.sinks import index_sink, online_now, online_status_sink, read_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -253,6 +254,22 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return _posting_report(cat.text_postings)
 
 
+def _stream_into(rows: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
+    """Send a stored table through a sink as a stream, a file a batch."""
+    spark, stored = rows.sparkSession, materialize(rows.repartition(6), "arriving")
+    arriving = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(stored.step_path)
+    arriving.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "progress")) \
+        .trigger(availableNow=True).start().awaitTermination()
+
+
+@query("incremental_index", _posting_sql("SELECT id AS entry_id, name AS text FROM entries"))
+def _(cat: Catalog, sf_dir: str) -> DataFrame:
+    """The name index of a stream of entries, merged as it grows."""
+    root = scratch_path(cat.spark, "streamed")
+    _stream_into(cat.entries.select("id", "disk_id", "name"), index_sink(root, fan=3))
+    return _posting_report(read_index(cat.spark, root)[0])
+
+
 @query("update_name_index", _posting_sql("""SELECT id AS entry_id, name AS text FROM entries WHERE (disk_id - 1) % 3 <> 2
     UNION ALL SELECT id, 'again ' || name FROM entries WHERE (disk_id - 1) % 3 = 2"""))
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
@@ -879,6 +896,21 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return stats.placed(cat.video_frames, ["entry_id"], stats.strip_columns()).select("entry_id", "pos_ms", *_big("place"))
 
 
+@query("online_status_stream", """, last AS (SELECT user_id AS u, arg_max(CAST(floor(epoch(ts)) AS BIGINT) % 16 = 0, floor(epoch(ts))) AS here FROM events GROUP BY 1),
+    m AS (SELECT 'dev' || CAST(u AS VARCHAR) AS mount_path, u % 25 AS n FROM last WHERE here)
+    SELECT d.id, d.name, min(m.mount_path) AS mount_path, min(m.mount_path) IS NOT NULL AS is_online FROM disks d LEFT JOIN m ON m.n + 1 = d.id GROUP BY 1, 2""")
+def _(cat: Catalog, sf_dir: str) -> DataFrame:
+    """Devices of the access log stand for mounts, each of one nation's disk; a second of 16 says that it came, the others that it went."""
+    at = F.timestamp_seconds("ts").alias("at")
+    events = cat.access_log.select(F.col("device_id").alias("mount_path"), F.when(F.col("ts") % 16 == 0, "added").otherwise("removed").alias("event"), at)
+    nation = F.substring("mount_path", 4, 20).cast("bigint") % 25
+    volumes = events.select("mount_path").distinct().select(
+        "mount_path", F.concat(F.lit("uuid-"), nation).alias("fingerprint"), F.concat(F.lit("NATION_"), nation).alias("name"))
+    root = scratch_path(cat.spark, "streamed")
+    _stream_into(events, online_status_sink(root, fan=3))
+    return online_now(cat.spark, root, cat.disks, volumes).select("id", "name", "mount_path", "is_online")
+
+
 @query("device_list", "SELECT id, created_at, last_seen, revoked FROM devices")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
     return stats.device_list(cat).select("id", "created_at", "last_seen", "revoked")

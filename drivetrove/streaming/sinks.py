@@ -1,6 +1,7 @@
 """``foreachBatch`` sinks; each can see the same batch again and leaves the same result.
 
-A batch is stored under its number and read together with the others, so nothing written before is lost or copied.
+Batches are runs of levelled tables (:class:`runs.Runs`): nothing written before is lost or copied, what later batches replace goes when
+runs are merged, and reading costs what is current and not what ever came.
 """
 
 from __future__ import annotations
@@ -12,48 +13,67 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from drivetrove.functions import text as tx
 from drivetrove.operators import search, status
 from drivetrove.schema import conform
+from drivetrove.streaming.runs import Runs, Tables
 
 
-def online_status_sink(root: str) -> Callable[[DataFrame, int], None]:
-    """Keep the presence events ``(mount_path, event, at)`` of :func:`presence.presence_changes`."""
+def _presence(root: str, **options) -> Runs:
+    return Runs(f"{root}/presence", {"events": "mount_path string, event string, at timestamp, batch bigint"},
+                lambda tables: {"events": _last_events(tables["events"])}, **options)
+
+
+def _last_events(events: DataFrame) -> DataFrame:
+    """The last event of every mount."""
+    last = F.max(F.struct("at", "batch", "event")).alias("e")
+    return events.groupBy("mount_path").agg(last).select("mount_path", "e.event", "e.at", "e.batch")
+
+
+def online_status_sink(root: str, **options) -> Callable[[DataFrame, int], None]:
+    """Keep the last of the presence events ``(mount_path, event, at)`` of :func:`presence.presence_changes`."""
     def write(events: DataFrame, batch_id: int) -> None:
-        events.select("mount_path", "event", "at").write.mode("overwrite").parquet(f"{root}/presence/batch={batch_id}")
+        arrived = events.select("mount_path", "event", "at", F.lit(batch_id).cast("bigint").alias("batch"))
+        _presence(root, **options).add(events.sparkSession, batch_id, {"events": _last_events(arrived)})
 
     return write
 
 
 def online_now(spark: SparkSession, root: str, disks: DataFrame, volumes: DataFrame) -> DataFrame:
     """``disks`` with online flags from the last event of every mount; ``volumes`` says which volume a mount is."""
-    events = spark.read.schema("mount_path string, event string, at timestamp, batch bigint").parquet(f"{root}/presence")
-    last = events.groupBy("mount_path").agg(F.max_by("event", F.struct("at", "batch", "event")).alias("event"))
+    last = _last_events(_presence(root).read(spark)["events"])
     present = last.filter("event <> 'removed'").select("mount_path")
     return status.online_status(disks, volumes.join(present, "mount_path", "left_semi"))
 
 
-_DOCS = "entry_id bigint, disk_id bigint, n_words int, batch bigint"
-_POSTINGS = "token string, entry_id bigint, disk_id bigint, tf int, doc_len int, batch bigint"
+def _index(root: str, **options) -> Runs:
+    return Runs(f"{root}/name_index", {
+        "docs": "entry_id bigint, disk_id bigint, n_words int, batch bigint",
+        "postings": "token string, entry_id bigint, disk_id bigint, tf int, doc_len int, batch bigint"}, _current, **options)
+
+
+def _current(tables: Tables) -> Tables:
+    """Entries and postings without those of entries that came again."""
+    last = tables["docs"].groupBy("entry_id").agg(F.max(F.struct("batch", "disk_id", "n_words")).alias("d")).select(
+        "entry_id", "d.disk_id", "d.n_words", "d.batch")
+    return {"docs": last, "postings": tables["postings"].join(last.select("entry_id", "batch"), ["entry_id", "batch"], "left_semi")
+            .select(tables["postings"].columns)}
 
 
-def index_sink(root: str) -> Callable[[DataFrame, int], None]:
+def index_sink(root: str, **options) -> Callable[[DataFrame, int], None]:
     """Index newly arrived entries; a disk may arrive over any number of batches."""
     def write(entries: DataFrame, batch_id: int) -> None:
-        docs = search.name_documents(entries)
+        docs, batch = search.name_documents(entries), F.lit(batch_id).cast("bigint").alias("batch")
         postings = conform(search.build_postings(docs), "name_postings")
-        postings.write.mode("overwrite").parquet(f"{root}/name_index/postings/batch={batch_id}")
-        docs.select("entry_id", "disk_id", F.size(tx.tokens(F.col("text"))).alias("n_words")) \
-            .write.mode("overwrite").parquet(f"{root}/name_index/docs/batch={batch_id}")
+        _index(root, **options).add(entries.sparkSession, batch_id, {
+            "docs": docs.select("entry_id", "disk_id", F.size(tx.tokens(F.col("text"))).alias("n_words"), batch),
+            "postings": postings.select("token", "entry_id", "disk_id", "tf", "doc_len", batch)})
 
     return write
 
 
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Name postings and index facts of all batches; an entry that came again counts as it came last."""
-    docs = spark.read.schema(_DOCS).parquet(f"{root}/name_index/docs")
-    last = docs.groupBy("entry_id").agg(F.max(F.struct("batch", "disk_id", "n_words")).alias("d")).select("entry_id", "d.*")
-    postings = spark.read.schema(_POSTINGS).parquet(f"{root}/name_index/postings")
-    current = postings.join(last.select("entry_id", "batch"), ["entry_id", "batch"], "left_semi")
-    facts = last.groupBy("disk_id").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"))
-    return conform(current, "name_postings"), conform(facts, "name_stats")
+    current = _current(_index(root).read(spark))
+    facts = current["docs"].groupBy("disk_id").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"))
+    return conform(current["postings"], "name_postings"), conform(facts, "name_stats")
 
 
 def audit_stream(records: DataFrame, path: str, checkpoint: str):

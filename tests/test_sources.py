@@ -4,14 +4,17 @@ import json
 import os
 import zipfile
 
+import pytest
 from conftest import rows, typed
 from pyspark.sql import functions as F
 
 from drivetrove import Catalog
+from drivetrove.catalog import commits, last_commit
 from drivetrove.functions import media, solar, text as tx, words
 from drivetrove.operators import enrich, status
 from drivetrove.sources import files, probes, sinks
 from drivetrove.streaming.presence import presence_batch, presence_changes
+from drivetrove.streaming.runs import Runs
 from drivetrove.streaming.sinks import index_sink, online_now, online_status_sink, read_index
 
 
@@ -173,3 +176,38 @@ def test_sinks_are_idempotent(spark, tmp_path):
 
 def test_catalog_defaults_to_empty_tables(spark):
     assert Catalog(spark, {}).transcripts.isEmpty()
+
+
+def test_runs_stay_few_and_whole(spark, tmp_path):
+    def last(tables):
+        return {"t": tables["t"].groupBy("k").agg(F.max("v").alias("v"))}
+
+    runs = Runs(str(tmp_path), {"t": "k bigint, v bigint"}, last, fan=3, keep_seconds=0)
+    assert runs.read(spark)["t"].isEmpty()
+    opened = []
+    for batch in range(30):
+        rows_ = spark.createDataFrame([(batch % 4, batch), (100 + batch, batch)], "k bigint, v bigint")
+        for _ in range(2 if batch % 5 == 0 else 1):  # seen again
+            runs.add(spark, batch, {"t": rows_})
+        opened.append(len(last_commit(spark, str(tmp_path)).places))
+    assert max(opened) <= 2 * 4 and opened[26] == 1
+    assert rows(last(runs.read(spark))["t"], "k", "v") == sorted([*[(k, max(b for b in range(30) if b % 4 == k)) for k in range(4)], *[(100 + b, b) for b in range(30)]], key=str)
+    assert runs.read(spark)["t"].count() < 60  # what was replaced is gone
+    kept = {p for c in commits(spark, str(tmp_path))[:2] for p in c.places.values()}
+    assert len(list((tmp_path / "data").iterdir())) < 30 and all((tmp_path / p).is_dir() for p in kept)
+
+
+def test_a_merge_that_dies_leaves_the_batches(spark, tmp_path):
+    def dies(tables):
+        raise OSError("lost")
+
+    one = spark.createDataFrame([(1,)], "k bigint")
+    runs = Runs(str(tmp_path), {"t": "k bigint"}, dies, fan=2)
+    runs.add(spark, 0, {"t": one})
+    with pytest.raises(OSError):
+        runs.add(spark, 1, {"t": one})
+    runs.merge = lambda tables: tables
+    runs.add(spark, 1, {"t": one})  # the query starts again with the same batch
+    assert runs.read(spark)["t"].count() == 2
+    runs.add(spark, 2, {"t": one})
+    assert runs.read(spark)["t"].count() == 3 and len(last_commit(spark, str(tmp_path)).places) == 2
