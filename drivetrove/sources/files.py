@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,8 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drivetrove.functions import media, paths, text as tx, words
 from drivetrove.operators.tree import tree_from_paths
+from drivetrove.session import materialize, number_rows, skew_join
 
-CHUNK = 8 * 1024 * 1024
+#: Bytes that one task hashes at a time, and digests that one node of a hash tree holds.
+CHUNK, FAN = 64 * 2**20, 4096
+READ = 8 * 2**20
+#: Folders or chunks of one task.
+FOLDERS_EACH, CHUNKS_EACH = 64, 16
+
+_NODES = "rel_path string, name string, is_folder boolean, size_logical bigint, size_physical bigint, modified_at bigint"
 
 
 def _scan(spark: SparkSession, root: str) -> DataFrame:
@@ -26,11 +35,72 @@ def _relative(root: str):
     return F.regexp_replace(F.substring_index("path", bare + "/", -1), "^/+", "")
 
 
+def _children(folder: str) -> Iterator[tuple]:
+    """``name, is_folder, size, allocated, modified`` of what a folder holds; links are neither followed nor measured."""
+    if folder.startswith("/") or folder.startswith("file:"):
+        with os.scandir(folder.removeprefix("file:").replace("//", "/")) as found:
+            for item in found:
+                try:
+                    facts = item.stat(follow_symlinks=False)
+                except OSError:
+                    continue  # gone meanwhile
+                plain = not item.is_dir(follow_symlinks=False) and not item.is_symlink()
+                yield (item.name, item.is_dir(follow_symlinks=False), facts.st_size if plain else 0,
+                       facts.st_blocks * 512 if plain else 0, int(facts.st_mtime))
+    else:
+        store, path = _store(folder)
+        for item in store.get_file_info(pafs.FileSelector(path)):
+            is_folder = item.type == pafs.FileType.Directory
+            yield item.base_name, is_folder, 0 if is_folder else item.size, None, item.mtime and int(item.mtime.timestamp())
+
+
+def walk(spark: SparkSession, root: str, keep: Callable[[str], bool] = lambda name: True) -> DataFrame:
+    """All files and folders below ``root``, empty folders too: ``rel_path, name, is_folder, size_logical, size_physical, modified_at``.
+
+    Folders are listed level by level, each level spread over tasks; the driver only learns how many there are. A name that ``keep`` turns
+    down is left out with all below it. Folders that cannot be read are empty, links are files of no size, and what a store does not
+    tell is NULL.
+    """
+    base = root.rstrip("/") or "/"
+
+    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for above in batch.column("rel_path").to_pylist():
+                items = _readable(_children(f"{base}/{above}".rstrip("/") or "/"))
+                while rows := list(islice(items, 10_000)):
+                    rows = [(f"{above}/{r[0]}".lstrip("/"), *r) for r in rows if keep(r[0])]
+                    yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                                          names=["rel_path", "name", "is_folder", "size_logical", "size_physical", "modified_at"])
+
+    folders, n, found = spark.createDataFrame([("",)], "rel_path string"), 1, spark.createDataFrame([], _NODES)
+    while n:
+        tasks = -(-n // FOLDERS_EACH)  # by number: names are few bytes, but each is a folder to list
+        level = materialize(folders.repartition(tasks).mapInArrow(list_folders, _NODES), "level")
+        found, folders = found.unionByName(level), level.filter("is_folder").select("rel_path")
+        n = folders.count()
+    return found
+
+
+def _readable(items: Iterator[tuple]) -> Iterator[tuple]:
+    try:
+        yield from items
+    except OSError:
+        return
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """``rel_path, size_logical, modified_at`` of all files; contents are not read."""
-    return _scan(spark, root).select(
-        _relative(root).alias("rel_path"), F.col("length").alias("size_logical"),
-        F.unix_seconds("modificationTime").alias("modified_at"))
+    return walk(spark, root).filter("NOT is_folder").select("rel_path", "size_logical", "modified_at")
+
+
+def _banned(skip_time_machine: bool, exclude_names: list[str], exclude_junk: bool) -> list[str]:
+    return [".DS_Store", *(words.TIME_MACHINE if skip_time_machine else []), *exclude_names, *(words.JUNK if exclude_junk else [])]
+
+
+def _wanted(banned: list[str], skip_hidden: bool = False) -> Callable[[str], bool]:
+    names = frozenset(banned)
+    return lambda name: name not in names and not name.startswith("._") and not (skip_hidden and name.startswith("."))
 
 
 def apply_exclusions(df: DataFrame, path_col: str = "rel_path", skip_hidden: bool = False,
@@ -40,8 +110,7 @@ def apply_exclusions(df: DataFrame, path_col: str = "rel_path", skip_hidden: boo
 
     ``.DS_Store`` and ``._`` companions are always left out.
     """
-    banned = [".DS_Store", *(words.TIME_MACHINE if skip_time_machine else []), *exclude_names,
-              *(words.JUNK if exclude_junk else [])]
+    banned = _banned(skip_time_machine, exclude_names, exclude_junk)
     parts = F.split(path_col, "/")
     unwanted = F.exists(parts, lambda c: c.isin(banned) | c.startswith("._"))
     if skip_hidden:
@@ -49,48 +118,79 @@ def apply_exclusions(df: DataFrame, path_col: str = "rel_path", skip_hidden: boo
     return df.filter(~unwanted)
 
 
-def file_inventory(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Files and their folders as tree nodes. Physical sizes and empty folders are invisible here."""
-    files = apply_exclusions(listing(spark, root), **options)
-    tree = tree_from_paths(files, "rel_path")
-    facts = files.withColumnRenamed("rel_path", "path")
-    return tree.join(facts, "path", "left").select(
-        "id", "parent_id", F.col("path").alias("rel_path"), "name", "is_folder",
-        F.coalesce("size_logical", F.lit(0)).alias("size_logical"), F.lit(None).cast("bigint").alias("size_physical"),
-        "modified_at", F.when(~F.col("is_folder"), tx.extension(F.col("name"))).alias("ext"))
+def file_inventory(spark: SparkSession, root: str, skip_hidden: bool = False, skip_time_machine: bool = True,
+                   exclude_names: list[str] = (), exclude_junk: bool = False) -> DataFrame:
+    """Files and folders below ``root`` as tree nodes, empty folders too; unwanted ones are not even listed."""
+    found = walk(spark, root, _wanted(_banned(skip_time_machine, exclude_names, exclude_junk), skip_hidden))
+    nodes = materialize(number_rows(found, "rel_path", name="id").withColumn("_above", F.regexp_replace("rel_path", r"/?[^/]*\z", "")), "nodes")
+    folders = nodes.filter("is_folder").select(F.col("rel_path").alias("_above"), F.col("id").alias("parent_id"))
+    return skew_join(nodes, folders, "_above", "left", spread=F.col("id")).select(
+        "id", "parent_id", "rel_path", "name", "is_folder", "size_logical", "size_physical", "modified_at",
+        F.when(~F.col("is_folder"), tx.extension(F.col("name"))).alias("ext"))
 
 
-def _open(path: str):
-    """A listed file, opened in the task from the storage all executors share."""
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The storage all executors share, and the path in it."""
     scheme, _, rest = path.partition(":")
     if scheme in ("file", path):
-        return pafs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+        return pafs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
     authority, _, inner = rest.removeprefix("//").partition("/")
     store, base = pafs.FileSystem.from_uri(f"{scheme}://{authority}")
-    return store.open_input_file(f"{base.rstrip('/')}/{inner}")
+    return store, f"{base.rstrip('/')}/{inner}"
 
 
-def _stream_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = []
-        for path in batch.column("path").to_pylist():
-            try:
-                digest = hashlib.sha256()
-                with _open(path) as f:
-                    while chunk := f.read(CHUNK):
-                        digest.update(chunk)
-                digests.append(digest.hexdigest())
-            except OSError:
-                digests.append(None)
-        yield pa.record_batch([batch.column("rel_path"), batch.column("size"), pa.array(digests, pa.string())],
-                              names=["rel_path", "size", "content_hash"])
-
-
-def content_hash(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256 of every file, read in chunks so that no row of bytes holds one; NULL where a file cannot be read."""
-    found = _scan(spark, root).select("path", _relative(root).alias("rel_path"), F.col("length").alias("size"))
-    hashed = found.repartition("path").mapInArrow(_stream_hashes, "rel_path string, size bigint, content_hash string")
-    return hashed.withColumn("hash_algo", F.when(F.col("content_hash").isNotNull(), "sha256"))
+def _open(path: str):
+    """A listed file, opened in the task."""
+    store, inner = _store(path)
+    return store.open_input_file(inner)
+
+
+def chunk_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFrame:
+    """SHA-256 of every ``chunk`` bytes of every file that an inventory lists: ``rel_path, size, chunk, digest``. The chunks of a file are hashed by many tasks;
+    an empty file has one empty chunk, and ``digest`` is NULL where a file cannot be read."""
+    base = root.rstrip("/")
+    ranges = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("size_logical") / chunk) - 1, F.lit(0)).cast("bigint"))
+    parts = materialize(walk(spark, root, _wanted(_banned(True, [], False))).filter("NOT is_folder").select("rel_path", F.col("size_logical").alias("size"), F.explode(ranges).alias("chunk")), "ranges")
+
+    def hash_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path, number in zip(batch.column("rel_path").to_pylist(), batch.column("chunk").to_pylist()):
+                try:
+                    digest, left = hashlib.sha256(), chunk
+                    with _open(f"{base}/{path}") as f:
+                        f.seek(number * chunk)
+                        while left and (data := f.read(min(READ, left))):
+                            digest.update(data)
+                            left -= len(data)
+                    digests.append(digest.hexdigest())
+                except OSError:
+                    digests.append(None)
+            yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=["rel_path", "size", "chunk", "digest"])
+
+    tasks = max(1, -(-parts.count() // CHUNKS_EACH))
+    return parts.repartition(tasks).mapInArrow(hash_ranges, "rel_path string, size bigint, chunk bigint, digest string")
+
+
+def content_hash(spark: SparkSession, root: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """Content hash of every file, ``rel_path, size, content_hash, hash_algo``; NULL where a file cannot be read.
+
+    A file of one chunk has its SHA-256. A longer one has the root of a tree: SHA-256 over the joined hexadecimal digests of ``fan``
+    chunks, over those in turn, until one is left; the name of the algorithm says chunk and fan. Files of one size always have one algorithm.
+    """
+    level = materialize(chunk_hashes(spark, root, chunk).withColumn("chunks", F.greatest(F.ceil(F.col("size") / chunk), F.lit(1))), "chunk-hashes")
+    most = level.agg(F.max("chunks")).first()[0] or 0
+    nodes = level.select("rel_path", "size", "chunks", F.col("chunk").alias("at"), "digest")
+    while most > 1:
+        listed = F.array_sort(F.collect_list(F.struct("at", "digest")))
+        joined = F.array_join(F.transform("_d", lambda d: d["digest"]), "")
+        whole = ~F.exists("_d", lambda d: d["digest"].isNull())
+        up = nodes.filter("chunks > 1").groupBy("rel_path", "size", "chunks", F.floor(F.col("at") / fan).alias("_up")).agg(listed.alias("_d"))
+        nodes = nodes.filter("chunks = 1").unionByName(up.select(
+            "rel_path", "size", F.ceil(F.col("chunks") / fan).alias("chunks"), F.col("_up").alias("at"), F.when(whole, F.sha2(joined, 256)).alias("digest")))
+        most = -(-most // fan)
+    algo = F.when(F.col("size") > chunk, F.lit(f"sha256-tree-{chunk}-{fan}")).otherwise("sha256")
+    return nodes.select("rel_path", "size", F.col("digest").alias("content_hash"), F.when(F.col("digest").isNotNull(), algo).alias("hash_algo"))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,51 @@ def test_inventory_hashes_and_archives(spark, tmp_path):
         ("fotos", "fotos", True, 0, 1672531200), ("fotos/a.jpg", "a.jpg", False, 2048, 1700000000)]
 
 
+def test_walk_sees_empty_folders_and_follows_no_links(spark, tmp_path):
+    root = tmp_path / "TESTVOL"
+    (root / "CLIP").mkdir(parents=True)
+    (root / "CLIP" / "a.mov").write_bytes(b"\0" * 1234)
+    (root / "readme.txt").write_bytes(b"hello")
+    tree = files.file_inventory(spark, str(root))
+    ids = {r["rel_path"]: (r["id"], r["parent_id"]) for r in tree.collect()}
+    assert ids.keys() == {"CLIP", "CLIP/a.mov", "readme.txt"} and ids["CLIP/a.mov"][1] == ids["CLIP"][0] and ids["CLIP"][1] is None
+    clip = tree.filter("name = 'a.mov'").first()
+    assert (clip["size_logical"], clip["is_folder"]) == (1234, False) and (clip["size_physical"] >= 1234 or clip["size_physical"] == 0)
+
+    (root / "empty" / "deep" / "deeper").mkdir(parents=True)
+    (root / "up").symlink_to(root)
+    (root / "gone").symlink_to(root / "nowhere")
+    (root / "_kept").write_bytes(b"x")
+    (root / ".hidden").mkdir()
+    (root / ".hidden" / "h.txt").write_bytes(b"x")
+    seen = {r["rel_path"]: (r["is_folder"], r["size_logical"]) for r in files.file_inventory(spark, str(root)).collect()}
+    assert {k: v for k, v in seen.items() if k not in ids} == {
+        "empty": (True, 0), "empty/deep": (True, 0), "empty/deep/deeper": (True, 0), "up": (False, 0), "gone": (False, 0), "_kept": (False, 1),
+        ".hidden": (True, 0), ".hidden/h.txt": (False, 1)}
+    assert not files.file_inventory(spark, str(root), skip_hidden=True).filter("rel_path LIKE '.hidden%'").count()
+    assert rows(files.walk(spark, str(root / "empty")), "rel_path") == [("deep",), ("deep/deeper",)]
+    assert files.walk(spark, str(root / "absent")).isEmpty() and files.file_inventory(spark, f"file://{root}").count() == len(seen)
+
+
+def test_hash_trees(spark, tmp_path):
+    data = {"empty": b"", "one": b"abcd", "long": bytes(range(23)), "longer": bytes(reversed(range(37)))}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+
+    def tree(content, chunk, fan):
+        level = [hashlib.sha256(content[i:i + chunk]).hexdigest() for i in range(0, max(1, len(content)), chunk)]
+        while len(level) > 1:
+            level = [hashlib.sha256("".join(level[i:i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+        return level[0]
+
+    got = {r["rel_path"]: (r["size"], r["content_hash"], r["hash_algo"]) for r in files.content_hash(spark, str(tmp_path), chunk=4, fan=3).collect()}
+    assert got == {n: (len(c), tree(c, 4, 3), "sha256-tree-4-3" if len(c) > 4 else "sha256") for n, c in data.items()}
+    before = {(r["rel_path"], r["chunk"]): r["digest"] for r in files.chunk_hashes(spark, str(tmp_path), 4).collect()}
+    (tmp_path / "long").write_bytes(data["long"][:9] + b"!" + data["long"][10:])
+    after = {(r["rel_path"], r["chunk"]): r["digest"] for r in files.chunk_hashes(spark, str(tmp_path), 4).collect()}
+    assert [k for k in before if before[k] != after[k]] == [("long", 2)]
+
+
 def test_export_quotes_only_where_needed(spark, tmp_path):
     df = spark.createDataFrame([("D", '/a "b", c', "n", "mp4", 1, None)], "disk string, path string, name string, type string, size bigint, modified bigint").coalesce(1)
     sinks.export_rows(df, "csv", f"{tmp_path}/csv")
