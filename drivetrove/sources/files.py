@@ -10,7 +10,7 @@ from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from drivetrove.functions import media, paths, text as tx, words
 from drivetrove.operators.tree import tree_from_paths
@@ -37,37 +37,39 @@ def _relative(root: str):
 
 def _children(folder: str) -> Iterator[tuple]:
     """``name, is_folder, size, allocated, modified`` of what a folder holds; links are neither followed nor measured."""
-    if folder.startswith("/") or folder.startswith("file:"):
-        with os.scandir(folder.removeprefix("file:").replace("//", "/")) as found:
+    try:
+        with os.scandir(folder) as found:
             for item in found:
                 try:
                     facts = item.stat(follow_symlinks=False)
                 except OSError:
                     continue  # gone meanwhile
-                plain = not item.is_dir(follow_symlinks=False) and not item.is_symlink()
-                yield (item.name, item.is_dir(follow_symlinks=False), facts.st_size if plain else 0,
-                       facts.st_blocks * 512 if plain else 0, int(facts.st_mtime))
-    else:
-        store, path = _store(folder)
-        for item in store.get_file_info(pafs.FileSelector(path)):
-            is_folder = item.type == pafs.FileType.Directory
-            yield item.base_name, is_folder, 0 if is_folder else item.size, None, item.mtime and int(item.mtime.timestamp())
-
-
-def walk(spark: SparkSession, root: str, keep: Callable[[str], bool] = lambda name: True) -> DataFrame:
-    """All files and folders below ``root``, empty folders too: ``rel_path, name, is_folder, size_logical, size_physical, modified_at``.
-
-    Folders are listed level by level, each level spread over tasks; the driver only learns how many there are. A name that ``keep`` turns
-    down is left out with all below it. Folders that cannot be read are empty, links are files of no size, and what a store does not
-    tell is NULL.
+                is_folder = item.is_dir(follow_symlinks=False)
+                plain = not is_folder and not item.is_symlink()
+                name = os.fsencode(item.name).decode("utf-8", "replace")
+                yield name, is_folder, facts.st_size if plain else 0, facts.st_blocks * 512 if plain else 0, int(facts.st_mtime)
+    except OSError:
+        return
+
+
+def walk(spark: SparkSession, root: str, banned: list[str] | None = None, skip_hidden: bool = False) -> DataFrame:
+    """All files and folders below ``root``: ``rel_path, name, is_folder, size_logical, size_physical, modified_at``.
+
+    Mounted folders are listed level by level, each level spread over tasks; the driver only learns how many there are. Empty folders are there,
+    folders that cannot be read are empty, links are files of no size. Other stores are listed by Spark, which tells folders by their files,
+    no allocated sizes and no names that begin with a dot or an underscore. Names that are ``banned`` (and then those that never count) are left
+    out with all below them.
     """
-    base = root.rstrip("/") or "/"
+    if not root.startswith(("/", "file:")):
+        return _stored(spark, root, banned, skip_hidden)
+    base = "/" + root.removeprefix("file:").strip("/")
+    keep = (lambda name: True) if banned is None else _wanted(banned, skip_hidden)
 
     def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             for above in batch.column("rel_path").to_pylist():
-                items = _readable(_children(f"{base}/{above}".rstrip("/") or "/"))
+                items = _children(f"{base}/{above}")
                 while rows := list(islice(items, 10_000)):
                     rows = [(f"{above}/{r[0]}".lstrip("/"), *r) for r in rows if keep(r[0])]
                     yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -82,11 +84,15 @@ def walk(spark: SparkSession, root: str, keep: Callable[[str], bool] = lambda na
     return found
 
 
-def _readable(items: Iterator[tuple]) -> Iterator[tuple]:
-    try:
-        yield from items
-    except OSError:
-        return
+def _stored(spark: SparkSession, root: str, banned: list[str] | None, skip_hidden: bool) -> DataFrame:
+    """What :func:`walk` tells of stores that are not mounted."""
+    found = _scan(spark, root).select(_relative(root).alias("path"), F.col("length").alias("size_logical"),
+                                      F.unix_seconds("modificationTime").alias("modified_at"))
+    if banned is not None:
+        found = found.filter(~_unwanted("path", banned, skip_hidden))
+    return tree_from_paths(found, "path").join(found, "path", "left").select(
+        F.col("path").alias("rel_path"), "name", "is_folder", F.coalesce("size_logical", F.lit(0)).alias("size_logical"),
+        F.lit(None).cast("bigint").alias("size_physical"), "modified_at")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -98,11 +104,18 @@ def _banned(skip_time_machine: bool, exclude_names: list[str], exclude_junk: boo
     return [".DS_Store", *(words.TIME_MACHINE if skip_time_machine else []), *exclude_names, *(words.JUNK if exclude_junk else [])]
 
 
-def _wanted(banned: list[str], skip_hidden: bool = False) -> Callable[[str], bool]:
+def _wanted(banned: list[str], skip_hidden: bool) -> Callable[[str], bool]:
     names = frozenset(banned)
     return lambda name: name not in names and not name.startswith("._") and not (skip_hidden and name.startswith("."))
 
 
+def _unwanted(path: str, banned: list[str], skip_hidden: bool) -> Column:
+    """Whether a name of the path is unwanted."""
+    parts = F.split(path, "/")
+    unwanted = F.exists(parts, lambda c: c.isin(banned) | c.startswith("._"))
+    return unwanted | F.exists(parts, lambda c: c.startswith(".")) if skip_hidden else unwanted
+
+
 def apply_exclusions(df: DataFrame, path_col: str = "rel_path", skip_hidden: bool = False,
                      skip_time_machine: bool = True, exclude_names: list[str] = (),
                      exclude_junk: bool = False) -> DataFrame:
@@ -110,18 +123,13 @@ def apply_exclusions(df: DataFrame, path_col: str = "rel_path", skip_hidden: boo
 
     ``.DS_Store`` and ``._`` companions are always left out.
     """
-    banned = _banned(skip_time_machine, exclude_names, exclude_junk)
-    parts = F.split(path_col, "/")
-    unwanted = F.exists(parts, lambda c: c.isin(banned) | c.startswith("._"))
-    if skip_hidden:
-        unwanted = unwanted | F.exists(parts, lambda c: c.startswith("."))
-    return df.filter(~unwanted)
+    return df.filter(~_unwanted(path_col, _banned(skip_time_machine, exclude_names, exclude_junk), skip_hidden))
 
 
 def file_inventory(spark: SparkSession, root: str, skip_hidden: bool = False, skip_time_machine: bool = True,
                    exclude_names: list[str] = (), exclude_junk: bool = False) -> DataFrame:
     """Files and folders below ``root`` as tree nodes, empty folders too; unwanted ones are not even listed."""
-    found = walk(spark, root, _wanted(_banned(skip_time_machine, exclude_names, exclude_junk), skip_hidden))
+    found = walk(spark, root, _banned(skip_time_machine, exclude_names, exclude_junk), skip_hidden)
     nodes = materialize(number_rows(found, "rel_path", name="id").withColumn("_above", F.regexp_replace("rel_path", r"/?[^/]*\z", "")), "nodes")
     folders = nodes.filter("is_folder").select(F.col("rel_path").alias("_above"), F.col("id").alias("parent_id"))
     return skew_join(nodes, folders, "_above", "left", spread=F.col("id")).select(
@@ -150,7 +158,8 @@ def chunk_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFram
     an empty file has one empty chunk, and ``digest`` is NULL where a file cannot be read."""
     base = root.rstrip("/")
     ranges = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("size_logical") / chunk) - 1, F.lit(0)).cast("bigint"))
-    parts = materialize(walk(spark, root, _wanted(_banned(True, [], False))).filter("NOT is_folder").select("rel_path", F.col("size_logical").alias("size"), F.explode(ranges).alias("chunk")), "ranges")
+    parts = materialize(walk(spark, root, _banned(True, [], False)).filter("NOT is_folder").select(
+        "rel_path", F.col("size_logical").alias("size"), F.explode(ranges).alias("chunk")), "ranges")
 
     def hash_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +173,7 @@ def chunk_hashes(spark: SparkSession, root: str, chunk: int = CHUNK) -> DataFram
                             digest.update(data)
                             left -= len(data)
                     digests.append(digest.hexdigest())
-                except OSError:
+                except (OSError, pa.ArrowInvalid):  # the latter: a store unknown here
                     digests.append(None)
             yield pa.record_batch([*batch.columns, pa.array(digests, pa.string())], names=["rel_path", "size", "chunk", "digest"])
 

@@ -126,6 +126,9 @@ def test_walk_sees_empty_folders_and_follows_no_links(spark, tmp_path):
         ".hidden": (True, 0), ".hidden/h.txt": (False, 1)}
     assert not files.file_inventory(spark, str(root), skip_hidden=True).filter("rel_path LIKE '.hidden%'").count()
     assert rows(files.walk(spark, str(root / "empty")), "rel_path") == [("deep",), ("deep/deeper",)]
+    there = {r["rel_path"] for r in files.walk(spark, str(root), ["readme.txt"], skip_hidden=True).collect()}
+    assert {"CLIP", "CLIP/a.mov"} <= {r["rel_path"] for r in files._stored(spark, str(root), ["readme.txt"], True).filter("NOT rel_path LIKE 'up%'").collect()} <= there  # no empty folders, links or hidden names
+    assert there.isdisjoint({"readme.txt", ".hidden", ".hidden/h.txt"}) and {"CLIP", "CLIP/a.mov", "empty/deep"} <= there
     assert files.walk(spark, str(root / "absent")).isEmpty() and files.file_inventory(spark, f"file://{root}").count() == len(seen)
 
 
