@@ -110,3 +110,19 @@ def test_skew_join_equals_plain_join(spark):
 def test_rollup_of_backup(load):
     cat = load({"SF28": SF28, "BACKUP": BACKUP})
     assert rows(cat.disks, "name", "total_size") == [("BACKUP", 1000000), ("SF28", 5563402752)]
+
+
+def test_hot_keys_are_found_by_hash_first(spark):
+    left = spark.range(400).select("id", (F.col("id") % 20).alias("k")).unionByName(spark.range(400, 1000).select("id", F.lit(7).cast("long").alias("k")))
+    left = left.unionByName(spark.range(1000, 1100).select("id", F.lit(None).cast("long").alias("k")))
+    right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            joined = skew_join(left, right, "k", how, spread=F.col("id"), hot_rows=50)
+            assert sorted(map(repr, joined.collect())) == sorted(map(repr, left.join(right, "k", how).select(joined.columns).collect())), how
+        plan = skew_join(left, right, "k", "left", spread=F.col("id"), hot_rows=50)._jdf.queryExecution().optimizedPlan().toString()
+        assert "_bucket" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
