@@ -3,7 +3,7 @@ import random
 from conftest import BACKUP, SF28, entry_id, rows
 from pyspark.sql import functions as F
 
-from drivetrove.operators import tree
+from drivetrove.operators import compare, tree
 from drivetrove.session import skew_join
 
 
@@ -112,6 +112,25 @@ def test_rollup_of_backup(load):
     assert rows(cat.disks, "name", "total_size") == [("BACKUP", 1000000), ("SF28", 5563402752)]
 
 
+def test_paths_and_sizes_at_once(spark):
+    """Roots, deep and empty folders, a file as parent, a missing parent, a cycle and what hangs below it."""
+    rows = [(1, None, "V", True, 7), (2, 1, "A", True, None), (3, 2, "B", True, 5), (4, 3, "f", False, 10), (5, 1, "g", False, 20), (6, 4, "in", False, 3),
+            (7, 1, "empty", True, 9), (8, 99, "lost", True, 1), (9, 8, "h", False, 4), (10, 11, "x", True, 0), (11, 10, "y", True, 0), (12, 11, "z", False, 8)]
+    nodes = spark.createDataFrame([(1, *r, r[-1]) for r in rows], "disk_id long, id long, parent_id long, name string, is_folder boolean, size_logical long, size_physical long")
+    got, want = tree.with_paths_and_sizes(nodes), tree.folder_rollup(tree.with_paths(nodes))
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r["id"]: r["size_logical"] for r in got.filter("is_folder").collect()} == {1: 33, 2: 13, 3: 13, 7: 0, 8: 4, 10: 0, 11: 0}
+
+
+def test_unasked_columns_are_not_shuffled(spark):
+    rows = [(1, 1, "A/x", "/V/A/x", False, 5, "h1", "md5"), (2, 1, "A/x", "/V/A/x", False, 6, None, None), (3, 1, "B", "/V/B", True, 0, None, None)]
+    entries = spark.createDataFrame(rows, "id long, disk_id long, rel_path string, path string, is_folder boolean, size_logical long, content_hash string, hash_algo string")
+    index = tree.rel_index(entries)
+    assert sorted(index.collect()) == [(1, "A/x", False, 6, 2, None, None), (1, "B", True, 0, 3, None, None)]
+    plan = compare.compare(index, index)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by(content_hash" not in plan and "max_by(size_logical" in plan
+
+
 def test_hot_keys_are_found_by_hash_first(spark):
     left = spark.range(400).select("id", (F.col("id") % 20).alias("k")).unionByName(spark.range(400, 1000).select("id", F.lit(7).cast("long").alias("k")))
     left = left.unionByName(spark.range(1000, 1100).select("id", F.lit(None).cast("long").alias("k")))
