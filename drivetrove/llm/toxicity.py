@@ -15,6 +15,8 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, materialize, only, small_batches, texts, utf8
@@ -217,24 +219,16 @@ class Scorer:
         return [float(1 / (1 + np.exp(-np.clip(self.bias + sum(weights[f] for f in text_features(t, known)), -40, 40)))) for t in batch]
 
 
-def logistic(rows: list[list[int]], toxic: list[int], width: int, ridge: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic model over 0/1 features, by accelerated gradient steps."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.array([c for r in rows for c in r], np.int64)
-    y = np.array(toxic, float)
-    share = np.clip(y.mean() if len(y) else 0.1, 1e-3, 1 - 1e-3)
-    w, bias = np.zeros(width), float(np.log(share / (1 - share)))
-    if not len(y):
-        return w, bias
-    past_w, past_b = w.copy(), bias
-    scale = 0.25 * np.bincount(column, minlength=width) * max(1.0, np.bincount(at, minlength=len(rows)).mean()) + ridge
-    for k in range(rounds):
-        look_w, look_b = w + k / (k + 3) * (w - past_w), bias + k / (k + 3) * (bias - past_b)
-        error = 1 / (1 + np.exp(-np.clip(look_b + np.bincount(at, look_w[column], len(rows)), -40, 40))) - y
-        past_w, past_b = w, bias
-        w = look_w - (np.bincount(column, error[at], width) + ridge * look_w) / scale
-        bias = look_b - error.sum() / (0.25 * len(y) * 4)
-    return w, bias
+def logistic(rows: DataFrame, width: int, n: int, positive: int, ridge: float = 0.5, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic model over ``rows(toxic, columns)``, the columns being those of 0/1 features that are 1. Spark sums
+    the gradients over all rows; only ``width`` of them reach the driver a round."""
+    share = np.clip(positive / n if n else 0.1, 1e-3, 1 - 1e-3)
+    if not width or positive in (0, n):
+        return np.zeros(width), float(np.log(share / (1 - share)))
+    vector = F.udf(lambda at: Vectors.sparse(width, sorted(at or []), [1.0] * len(at or [])), VectorUDT())
+    fitted = LogisticRegression(regParam=ridge / n, standardization=False, maxIter=rounds, labelCol="toxic").fit(
+        rows.select(F.col("toxic").cast("double").alias("toxic"), vector("columns").alias("features")))
+    return fitted.coefficients.toArray(), float(fitted.intercept)
 
 
 def common_words(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
@@ -249,13 +243,12 @@ def common_words(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, folds: int, sample: int, width: int, seed: int = 11) -> Scorer:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold, equal texts once, and the ``width`` features that
-    tell most about them."""
+def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, folds: int, width: int) -> Scorer:
+    """Fits on all labelled documents outside the held-out fold, equal texts once, and the ``width`` features that tell most
+    about them."""
     chosen = only(labels, doc_id="long", toxic="int").dropna().filter(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
 
-    rows = only(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = only(docs, doc_id="long", text="string").join(chosen, "doc_id").select("text", "toxic")
     common = common_words(rows)
 
     def run(batches):
@@ -275,21 +268,21 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, folds: int, sam
     z = (F.col("t") - F.col("c") * (p / max(1, n))) / F.sqrt(F.col("c") * max(p / max(1, n) * (1 - p / max(1, n)), 1e-9))
     top = counted.withColumn("z", F.abs(z)).filter("z >= 3").orderBy(F.desc("z"), "f").limit(width).select("f")
     number = {r["f"]: k for k, r in enumerate(sorted(top.collect()))}
-    kept = flat.join(F.broadcast(top), "f").groupBy("h").agg(F.sort_array(F.collect_list("f")).alias("fs"))
-    data = rows.select("h", "toxic").join(kept, "h", "left").orderBy("h").select("toxic", "fs").collect()  # at most `sample` rows of at most `width`
-    w, bias = logistic([[number[f] for f in r["fs"] or []] for r in data], [r["toxic"] for r in data], len(number))
+    columns = rows.sparkSession.createDataFrame(list(number.items()), "f long, k int")
+    kept = flat.join(F.broadcast(columns), "f").groupBy("h").agg(F.collect_list("k").alias("columns"))
+    w, bias = logistic(rows.select("h", "toxic").join(kept, "h", "left"), len(number), n, p)
     return Scorer(model, {f: float(w[k]) for f, k in number.items()}, bias, common)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = 20_000, width: int = 4096) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, width: int = 4096) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
-    Learns from ``labels`` (doc_id, toxic 0/1) of at most ``sample`` documents outside the held-out fold; only the text decides a
+    Learns from all ``labels`` (doc_id, toxic 0/1) of documents outside the held-out fold; only the text decides a
     score. NULL and empty texts get the score of a text without any known word. Repeated rows score alike, an id labelled twice
     is toxic if one label says so, NULL ids count as the text '' for the fold. Without labels every text gets one low score.
     Empty input: no rows.
     """
-    scorer = train(docs, labels, letter_model(docs), folds, sample, width)
+    scorer = train(docs, labels, letter_model(docs), folds, width)
 
     def run(batches):
         known = scorer.words()

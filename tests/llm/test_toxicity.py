@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from drivetrove.llm.common import table
 from drivetrove.llm.toxicity import SYMBOLS, letter_counts, model_of, restored_word, spaced, symbol, toxicity, viterbi
@@ -122,3 +123,14 @@ def test_spelt_words_count(spark, docs):
     rows = [(i, ("see an idiot " if i % 4 == 1 else "a fine text ") + chr(97 + i % 26) + chr(97 + i // 26)) for i in range(160)]
     got = {r["doc_id"]: r["score"] for r in toxicity(docs(rows + [(300, "a i d i o t"), (301, "a f i n e"), (302, "an idi" + "o" * 80 + "t")]), labels).collect()}
     assert got[300] > got[301] and got[302] > got[301]
+
+
+def test_all_labels_are_learnt_from(spark, docs, monkeypatch):
+    """More labelled texts than the sample that once was drawn; only few of them show the toxic word."""
+    seen = []
+    monkeypatch.setattr("drivetrove.llm.toxicity.logistic", lambda rows, width, n, positive, **more: seen.append((rows.count(), n, positive)) or (np.zeros(width), 0.0))
+    rows = spark.range(26_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") % 4 == 1).cast("int").alias("toxic"))
+    toxicity(rows, labels)
+    want = [i for i in range(26_000) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(len(want), len(want), sum(i % 4 == 1 for i in want))] and len(want) > 20_000
