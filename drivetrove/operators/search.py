@@ -38,6 +38,14 @@ def build_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def name_postings(docs: DataFrame) -> DataFrame:
+    """:func:`build_postings` for names, one row of ``docs(entry_id, disk_id, text)`` per entry: words are counted inside their row, so
+    nothing is shuffled."""
+    split = docs.select("entry_id", "disk_id", tx.tokens(F.col("text")).alias("w"))
+    spread = split.select("entry_id", "disk_id", F.size("w").alias("doc_len"), "w", F.explode(F.array_distinct("w")).alias("token"))
+    return spread.select("token", "entry_id", "disk_id", F.size(F.filter("w", lambda x: x == F.col("token"))).alias("tf"), "doc_len")
+
+
 def name_documents(entries: DataFrame) -> DataFrame:
     return entries.select(F.col("id").alias("entry_id"), "disk_id", F.col("name").alias("text"))
 

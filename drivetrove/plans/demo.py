@@ -319,7 +319,7 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "gazetteer": lambda: gazetteer(spark, sf_dir),
         "clips": shot,
         "name_postings": stored("name_postings", lambda: conform(
-            search.build_postings(search.name_documents(cat.entries)), "name_postings")),
+            search.name_postings(search.name_documents(cat.entries)), "name_postings")),
         "name_terms": stored("name_terms", lambda: conform(search.build_terms(search.name_documents(cat.entries)), "name_terms")),
         "name_stats": stored("name_stats", lambda: search.index_stats(search.name_documents(cat.entries))),
         "text_postings": stored("text_postings", lambda: conform(search.build_postings(spoken()), "text_postings")),

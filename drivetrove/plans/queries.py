@@ -246,7 +246,7 @@ def _posting_sql(docs: str) -> str:
 
 @query("build_name_index", _posting_sql("SELECT id AS entry_id, name AS text FROM entries"))
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return _posting_report(conform(search.build_postings(search.name_documents(cat.entries)), "name_postings"))
+    return _posting_report(conform(search.name_postings(search.name_documents(cat.entries)), "name_postings"))
 
 
 @query("build_text_index", _posting_sql("SELECT entry_id, text FROM transcripts"))
@@ -255,9 +255,11 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 
 def _stream_into(rows: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
-    """Send a stored table through a sink as a stream, a file a batch."""
-    spark, stored = rows.sparkSession, materialize(rows.repartition(6), "arriving")
-    arriving = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(stored.step_path)
+    """Send a stored table through a sink as a stream of six batches, each in as many files as there are cores."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    stored = materialize(rows.repartition(6 * cores), "arriving")
+    arriving = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", cores).parquet(stored.step_path)
     arriving.writeStream.foreachBatch(sink).option("checkpointLocation", scratch_path(spark, "progress")) \
         .trigger(availableNow=True).start().awaitTermination()
 

@@ -49,19 +49,28 @@ def _index(root: str, **options) -> Runs:
         "postings": "token string, entry_id bigint, disk_id bigint, tf int, doc_len int, batch bigint"}, _current, **options)
 
 
+#: So many entries that came again are sent to all tasks; postings of more are shuffled.
+FEW_AGAIN = 100_000
+
+
 def _current(tables: Tables) -> Tables:
     """Entries and postings without those of entries that came again."""
-    last = tables["docs"].groupBy("entry_id").agg(F.max(F.struct("batch", "disk_id", "n_words")).alias("d")).select(
+    docs, postings = tables["docs"], tables["postings"]
+    last = docs.groupBy("entry_id").agg(F.max(F.struct("batch", "disk_id", "n_words")).alias("d")).select(
         "entry_id", "d.disk_id", "d.n_words", "d.batch")
-    return {"docs": last, "postings": tables["postings"].join(last.select("entry_id", "batch"), ["entry_id", "batch"], "left_semi")
-            .select(tables["postings"].columns)}
+    again = docs.groupBy("entry_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last")).filter("first < last").select("entry_id", "last")
+    n = again.count()
+    if n:
+        gone = (F.broadcast(again) if n <= FEW_AGAIN else again).withColumnRenamed("entry_id", "_again")
+        postings = postings.join(gone, (postings["entry_id"] == F.col("_again")) & (postings["batch"] < F.col("last")), "left_anti")
+    return {"docs": last, "postings": postings}
 
 
 def index_sink(root: str, **options) -> Callable[[DataFrame, int], None]:
     """Index newly arrived entries; a disk may arrive over any number of batches."""
     def write(entries: DataFrame, batch_id: int) -> None:
         docs, batch = search.name_documents(entries), F.lit(batch_id).cast("bigint").alias("batch")
-        postings = conform(search.build_postings(docs), "name_postings")
+        postings = conform(search.name_postings(docs), "name_postings")
         _index(root, **options).add(entries.sparkSession, batch_id, {
             "docs": docs.select("entry_id", "disk_id", F.size(tx.tokens(F.col("text"))).alias("n_words"), batch),
             "postings": postings.select("token", "entry_id", "disk_id", "tf", "doc_len", batch)})

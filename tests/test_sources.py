@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from drivetrove import Catalog
 from drivetrove.catalog import commits, last_commit
 from drivetrove.functions import media, solar, text as tx, words
-from drivetrove.operators import enrich, status
+from drivetrove.operators import enrich, search, status
 from drivetrove.sources import files, probes, sinks
 from drivetrove.streaming.presence import presence_batch, presence_changes
 from drivetrove.streaming.runs import Runs
@@ -259,3 +259,30 @@ def test_a_merge_that_dies_leaves_the_batches(spark, tmp_path):
     assert runs.read(spark)["t"].count() == 2
     runs.add(spark, 2, {"t": one})
     assert runs.read(spark)["t"].count() == 3 and len(last_commit(spark, str(tmp_path)).places) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_postings_are_counted_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, 1, "Élan elan b.MOV"), (2, 1, ""), (3, 2, "b b b"), (4, 2, None)], "entry_id long, disk_id long, text string")
+    got, want = search.name_postings(docs), search.build_postings(docs)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() == 4
+    assert "Exchange" not in _plan(got) and "Exchange" in _plan(want)
+
+
+def test_postings_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A merge shuffles postings only if many entries came again."""
+    root, shape = str(tmp_path), "id long, disk_id long, name string"
+    sink = index_sink(root)
+    sink(spark.createDataFrame([(1, 1, "old name"), (2, 1, "b")], shape), 0)
+    sink(spark.createDataFrame([(3, 1, "c c")], shape), 1)
+    postings, _ = read_index(spark, root)
+    assert "Exchange" not in _plan(postings) and postings.count() == 4
+    sink(spark.createDataFrame([(1, 2, "new name")], shape), 2)
+    few = read_index(spark, root)[0]
+    want = {("new", 1, 2, 1), ("name", 1, 2, 1), ("b", 2, 1, 1), ("c", 3, 1, 2)}
+    assert {(r["token"], r["entry_id"], r["disk_id"], r["tf"]) for r in few.collect()} == want and few.count() == 4
+    monkeypatch.setattr("drivetrove.streaming.sinks.FEW_AGAIN", 0)
+    assert sorted(read_index(spark, root)[0].collect()) == sorted(few.collect())
