@@ -106,10 +106,23 @@ def viterbi(word: str, model) -> str:
     return "".join(reversed(out))
 
 
+#: Readings that a worker has decoded, by model and common words, for its later tasks and passes; one model at a time.
+_decoded: dict[str, dict[str, tuple[str, ...]]] = {}
+DECODED_MOST, DECODED_LENGTH = 100_000, 64
+
+
+def _decoded_by(model: np.ndarray, common: Mapping[str, int]) -> dict[str, tuple[str, ...]]:
+    key = xxhash.xxh3_128_hexdigest(np.asarray(model, np.float64).tobytes() + repr(sorted(common.items())).encode("utf-8", "surrogatepass"))
+    if key not in _decoded:
+        _decoded.clear()
+    return _decoded.setdefault(key, {})
+
+
 class Words(dict):
     """Restored words by word as written; ``of`` turns a restored word into what is kept."""
 
     def __init__(self, model: np.ndarray, of, common: Mapping[str, int], most: int = 300_000):
+        self.decoded = _decoded_by(model, common)
         self.model, self.of, self.most = np.asarray(model).tolist(), of, most
         whole = np.log(max(1, sum(common.values())))
         self.common = {w: float(np.log(n) - whole) for w, n in common.items()}
@@ -118,9 +131,18 @@ class Words(dict):
     def __missing__(self, raw: str):
         if len(self) >= self.most:
             self.clear()
-        self[raw] = value = self.of(restored_word(raw, self.model, self.common))
+        self[raw] = value = self.of(self.restored(raw))
         return value
 
+    def restored(self, raw: str) -> tuple[str, ...]:
+        if len(raw) > DECODED_LENGTH or raw.isalpha() and not _TWICE.search(raw):
+            return restored_word(raw, self.model, self.common)
+        if raw not in self.decoded:
+            if len(self.decoded) >= DECODED_MOST:
+                self.decoded.clear()
+            self.decoded[raw] = restored_word(raw, self.model, self.common)
+        return self.decoded[raw]
+
 
 def restored_word(raw: str, model, common: Mapping[str, float] = {}) -> tuple[str, ...]:
     """Readings of a word as written, and its runs of letters. Without signs, marks and repeats the one reading is the word; a word
@@ -205,20 +227,6 @@ def text_features(text: str, known: Words) -> set:
     return found
 
 
-class Scorer:
-    def __init__(self, model: np.ndarray, weights: dict[int, float], bias: float, common: Mapping[str, int]):
-        self.model, self.weights, self.bias, self.common = model, weights, bias, common
-
-    def words(self) -> Words:
-        """One for all batches of a task."""
-        weights = self.weights
-        return Words(self.model, lambda words: tuple(f for f in features(words) if f in weights), self.common)
-
-    def __call__(self, batch: list[str], known: Words) -> list[float]:
-        weights = self.weights
-        return [float(1 / (1 + np.exp(-np.clip(self.bias + sum(weights[f] for f in text_features(t, known)), -40, 40)))) for t in batch]
-
-
 def logistic(rows: DataFrame, width: int, n: int, positive: int, ridge: float = 0.5, rounds: int = 100) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic model over ``rows(toxic, columns)``, the columns being those of 0/1 features that are 1. Spark sums
     the gradients over all rows; only ``width`` of them reach the driver a round."""
@@ -232,64 +240,90 @@ def logistic(rows: DataFrame, width: int, n: int, positive: int, ridge: float =
 
 
 def common_words(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
-    """The ``most`` words that most of ``docs`` hold, with their numbers of texts, two at least."""
+    """The ``most`` words that most of ``docs(text, copies)`` hold, with their numbers of texts, two at least."""
 
     def run(batches):
         for batch in batches:
             for part in small_batches(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([w for t in texts(part.column("text")) for w in set(filter(str.isalpha, (x.strip(_ENDS) for x in t.lower().split())))], pa.string())], ["word"])
+                held = [set(filter(str.isalpha, (x.strip(_ENDS) for x in t.lower().split()))) for t in texts(part.column("text"))]
+                copies = np.repeat(np.asarray(part.column("copies")), [len(h) for h in held])
+                yield pa.RecordBatch.from_arrays([pa.array([w for h in held for w in h], pa.string()), pa.array(copies, pa.int64())], ["word", "copies"])
 
-    counted = docs.select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counted = docs.select("text", "copies").mapInArrow(run, "word string, copies long").groupBy("word").agg(F.sum("copies").alias("n")).filter("n > 1")
     return {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, folds: int, width: int) -> Scorer:
-    """Fits on all labelled documents outside the held-out fold, equal texts once, and the ``width`` features that tell most
-    about them."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
+    """``h, doc_id, toxic, copies, text`` of the labelled texts outside the held-out fold, equal ones once: toxic if one label says so, under
+    the smallest id. Only ids and hashes meet the labels, then whole texts are moved once."""
     chosen = only(labels, doc_id="long", toxic="int").dropna().filter(~held_out("doc_id", folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    hashed = hashed_texts(docs).filter(~held_out("doc_id", folds))
+    each = materialize(hashed.select("doc_id", "h").join(chosen, "doc_id").groupBy("h").agg(
+        F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "labels")
+    # merged at every size, so that what is moved grows with the texts; a repeated row meets its text twice
+    return materialize(hashed.join(each.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("h", "doc_id", "toxic", "copies", "text"), "labelled")
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    return only(docs, doc_id="long", text="string").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+
 
-    rows = only(docs, doc_id="long", text="string").join(chosen, "doc_id").select("text", "toxic")
-    common = common_words(rows)
+def telling_features(labelled: DataFrame, n: int, p: int, model: np.ndarray, common: Mapping[str, int], width: int) -> dict[int, int]:
+    """The ``width`` features that tell most about the labels, numbered."""
 
     def run(batches):
         known = Words(model, features, common)
         for batch in batches:
             for part in small_batches(batch, "text"):
-                found = texts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(utf8(t)) - 2**63 for t in found], pa.int64()), part.column("toxic"),
-                                                  pa.array([sorted(text_features(t, known)) for t in found], pa.list_(pa.int64()))], ["h", "toxic", "found"])
+                found = [text_features(t, known) for t in texts(part.column("text"))]
+                toxic = np.repeat(np.asarray(part.column("toxic")), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.int64()), pa.array(toxic, pa.int32())], ["f", "toxic"])
 
-    rows = rows.mapInArrow(run, "h long, toxic int, found array<long>").groupBy("h").agg(F.max("toxic").alias("toxic"), F.any_value("found").alias("found"))
-    rows = materialize(rows, "labelled")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
-    n, p = size["n"], size["p"] or 0
-    flat = rows.select("h", "toxic", F.explode("found").alias("f"))
+    flat = labelled.select("text", "toxic").mapInArrow(run, "f long, toxic int")
     counted = flat.groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("toxic").alias("t")).filter("c >= 3")
     z = (F.col("t") - F.col("c") * (p / max(1, n))) / F.sqrt(F.col("c") * max(p / max(1, n) * (1 - p / max(1, n)), 1e-9))
     top = counted.withColumn("z", F.abs(z)).filter("z >= 3").orderBy(F.desc("z"), "f").limit(width).select("f")
-    number = {r["f"]: k for k, r in enumerate(sorted(top.collect()))}
-    columns = rows.sparkSession.createDataFrame(list(number.items()), "f long, k int")
-    kept = flat.join(F.broadcast(columns), "f").groupBy("h").agg(F.collect_list("k").alias("columns"))
-    w, bias = logistic(rows.select("h", "toxic").join(kept, "h", "left"), len(number), n, p)
-    return Scorer(model, {f: float(w[k]) for f, k in number.items()}, bias, common)
+    return {r["f"]: k for k, r in enumerate(sorted(top.collect()))}
+
+
+def columns_of(docs: DataFrame, number: Mapping[int, int], model: np.ndarray, common: Mapping[str, int]) -> DataFrame:
+    """``docs(doc_id, text, h)`` with the numbers of the features that a text has in place of the text."""
+
+    def run(batches):
+        known = Words(model, lambda words: tuple(number[f] for f in features(words) if f in number), common)
+        for batch in batches:
+            for part in small_batches(batch, "text"):
+                found = [sorted(text_features(t, known)) for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "h", "columns"])
+
+    return docs.mapInArrow(run, "doc_id long, h long, columns array<int>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, width: int = 4096) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
-    Learns from all ``labels`` (doc_id, toxic 0/1) of documents outside the held-out fold; only the text decides a
+    Learns from all ``labels`` (doc_id, toxic 0/1) of documents outside the held-out fold, equal texts once; only the text decides a
     score. NULL and empty texts get the score of a text without any known word. Repeated rows score alike, an id labelled twice
     is toxic if one label says so, NULL ids count as the text '' for the fold. Without labels every text gets one low score.
     Empty input: no rows.
     """
-    scorer = train(docs, labels, letter_model(docs), folds, width)
+    labelled, model = labelled_texts(docs, labels, folds), letter_model(docs)
+    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
+    n, p = size["n"], size["p"] or 0
+    common = common_words(labelled)
+    number = telling_features(labelled, n, p, model, common, width)
+    # every text is read for its columns once, to learn from and to score
+    found = materialize(columns_of(hashed_texts(docs), number, model, common), "columns")
+    learnt = labelled.select("h", "doc_id", "toxic").join(found.dropDuplicates(["doc_id", "h"]), ["doc_id", "h"])
+    w, bias = logistic(learnt.select("h", "toxic", "columns"), len(number), n, p)
 
     def run(batches):
-        known = scorer.words()
         for batch in batches:
-            for part in small_batches(batch, "text"):
-                scores = scorer(texts(part.column("text")), known)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                                                 ["doc_id", "held_out", "score", "predicted"])
-
-    return only(docs, doc_id="long", text="string").withColumn("held_out", held_out("doc_id", folds)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+            at = batch.column("columns")
+            row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+            sums = bias + np.bincount(row, weights=w[at.flatten().to_numpy()], minlength=len(at))
+            scores = 1 / (1 + np.exp(-np.clip(sums, -40, 40)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(scores >= 0.5).cast(pa.int32())],
+                                             ["doc_id", "held_out", "score", "predicted"])
+
+    return found.select("doc_id", held_out("doc_id", folds).alias("held_out"), "columns").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

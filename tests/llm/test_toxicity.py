@@ -134,3 +134,32 @@ def test_all_labels_are_learnt_from(spark, docs, monkeypatch):
     toxicity(rows, labels)
     want = [i for i in range(26_000) if zlib.crc32(str(i).encode()) % 5]
     assert seen == [(len(want), len(want), sum(i % 4 == 1 for i in want))] and len(want) > 20_000
+
+
+def test_texts_are_stored_once_without_their_features(spark, docs, monkeypatch):
+    """What is stored on the way: equal labelled texts once, and of every text only the features that were chosen."""
+    from drivetrove.llm import toxicity as module
+    steps, store = {}, module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: steps.setdefault(name, store(df, name)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(160)], "doc_id long, toxic int")
+    text = lambda i: ("see an idiot " if i % 4 == 1 else "a fine text ") + chr(97 + i % 80 // 26) + chr(97 + i % 80 % 26)
+    rows = [(i, text(i)) for i in range(160)] + [(7, text(7)), (None, None), (400, "an idiot")]
+    got = {r["doc_id"]: r["score"] for r in toxicity(docs(rows), labels).collect()}
+    assert got[400] > 0.5 and all((got[i] > 0.5) == (i % 4 == 1) for i in range(160))
+    learnt = [(text(i), int(i % 4 == 1)) for i in [*range(160), 7] if zlib.crc32(str(i).encode()) % 5]
+    assert sorted((r["text"], r["toxic"], r["copies"]) for r in steps["labelled"].collect()) == sorted((*k, n) for k, n in Counter(learnt).items())
+    stored = steps["columns"].selectExpr("max(size(columns)) AS most", "count(*) AS n").first()
+    assert stored["n"] == len(rows) and stored["most"] <= 3 and "text" not in steps["columns"].columns
+
+
+def test_words_are_decoded_once_a_worker(model, monkeypatch):
+    from drivetrove.llm import toxicity as module
+    seen, decode = [], module.restored_word
+    monkeypatch.setattr(module, "_decoded", {})
+    monkeypatch.setattr(module, "restored_word", lambda *given: seen.append(given[0]) or decode(*given))
+    common = {"stupid": 9, "idiot": 9}
+    reads = [module.Words(model, tuple, common)["1d10t"] for _ in range(3)]
+    assert seen == ["1d10t"] and reads == [reads[0]] * 3 and "idiot" in reads[0]
+    module.Words(model, tuple, {"idiot": 1})["1d10t"]
+    module.Words(model + 1, tuple, common)["1d10t"]
+    assert seen == ["1d10t"] * 3
