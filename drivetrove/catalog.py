@@ -63,8 +63,8 @@ class Catalog:
     def __iter__(self) -> Iterator[str]:
         return iter(self._tables)
 
-    def replacing(self, **tables: DataFrame) -> Catalog:
-        """A copy with some tables exchanged."""
+    def replacing(self, **tables: DataFrame | Callable[[], DataFrame]) -> Catalog:
+        """A copy with some tables exchanged, for functions that build them on first use as well."""
         kept = {name: where for name, where in self._stored.items() if name not in tables}
         return Catalog(self.spark, {**self._tables, **tables}, kept, self._base)
 

@@ -55,13 +55,13 @@ def _top_ids(cat: Catalog) -> tuple[int, int]:
 def _with_index(cat: Catalog, entries: DataFrame) -> Catalog:
     """Add new entries together with their name postings and index facts."""
     docs = search.name_documents(entries)
-    stats, terms = search.index_stats(docs), {}
+    stats, terms, known = search.index_stats(docs), {}, "name_stats" in cat
     if "name_terms" in cat or "name_postings" not in cat:  # an index without a dictionary goes on without one
-        terms["name_terms"] = conform(search.merge_terms(cat["name_terms"], search.build_terms(docs)), "name_terms")
+        terms["name_terms"] = lambda: conform(search.merge_terms(cat["name_terms"], search.build_terms(docs)), "name_terms")
     return cat.replacing(
         entries=cat.entries.unionByName(entries),
-        name_postings=cat.name_postings.unionByName(conform(search.build_postings(docs), "name_postings")),
-        name_stats=cat["name_stats"].unionByName(stats) if "name_stats" in cat else stats, **terms)
+        name_postings=lambda: cat["name_postings"].unionByName(conform(search.name_postings(docs), "name_postings")),
+        name_stats=(lambda: cat["name_stats"].unionByName(stats)) if known else stats, **terms)
 
 
 def _add_disks(cat: Catalog, numbered: DataFrame, entries: DataFrame) -> Catalog:
@@ -79,19 +79,20 @@ def bulk_ingest(cat: Catalog, nodes: DataFrame) -> Catalog:
 
 
 def drop_disks(cat: Catalog, ids: DataFrame) -> Catalog:
-    """Remove whole disks ``ids(id)`` with every derived row and posting."""
+    """Remove whole disks ``ids(id)`` with every derived row and posting; tables that nobody asks for are not built for it."""
     gone = ids.select(F.col("id").alias("disk_id")).distinct()
     leaving = cat.entries.join(gone, "disk_id", "left_semi").select(F.col("id").alias("entry_id"))
     changed = {"disks": cat.disks.join(gone.select(F.col("disk_id").alias("id")), "id", "left_anti"),
                "entries": cat.entries.join(gone, "disk_id", "left_anti")}
+    # like the tables of any catalogue, built when they are first asked for
     for table in DERIVED:
         if table in cat:
             by_disk = "disk_id" in TABLES[table].names
-            changed[table] = cat[table].join(gone if by_disk else leaving, "disk_id" if by_disk else "entry_id",
-                                             "left_anti")
+            changed[table] = lambda table=table, by_disk=by_disk: cat[table].join(
+                gone if by_disk else leaving, "disk_id" if by_disk else "entry_id", "left_anti")
     for facts in ("name_stats", "text_stats", "name_terms"):
         if facts in cat:
-            changed[facts] = cat[facts].join(gone, "disk_id", "left_anti")
+            changed[facts] = lambda facts=facts: cat[facts].join(gone, "disk_id", "left_anti")
     return cat.replacing(**changed)
 
 
@@ -112,16 +113,20 @@ def delete_subtrees(cat: Catalog, ids: DataFrame) -> Catalog:
     by_entry = leaving.select(F.col("id").alias("entry_id"))
     for table in DERIVED:
         if table in cat:
-            changed[table] = cat[table].join(by_entry, "entry_id", "left_anti")
-    gone = {"name_stats": search.name_documents(leaving)}
-    if "transcripts" in cat:
-        gone["text_stats"] = cat.transcripts.join(leaving.select(F.col("id").alias("entry_id"), "disk_id"), "entry_id")
-    for stats, docs in gone.items():
-        if stats in cat:
-            fewer = search.index_stats(docs).select("disk_id", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_words")).alias("n_words"))
-            changed[stats] = cat[stats].unionByName(fewer).groupBy("disk_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
+            changed[table] = lambda table=table: cat[table].join(by_entry, "entry_id", "left_anti")
+    names = search.name_documents(leaving)
+
+    def fewer_docs(stats: str, docs: DataFrame) -> DataFrame:
+        fewer = search.index_stats(docs).select("disk_id", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_words")).alias("n_words"))
+        return cat[stats].unionByName(fewer).groupBy("disk_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_words").alias("n_words"))
+
+    if "name_stats" in cat:
+        changed["name_stats"] = lambda: fewer_docs("name_stats", names)
+    if "text_stats" in cat and "transcripts" in cat:
+        changed["text_stats"] = lambda: fewer_docs("text_stats", cat.transcripts.join(
+            leaving.select(F.col("id").alias("entry_id"), "disk_id"), "entry_id"))
     if "name_terms" in cat:
-        changed["name_terms"] = search.merge_terms(cat["name_terms"], search.build_terms(gone["name_stats"]).withColumn("n", -F.col("n")))
+        changed["name_terms"] = lambda: search.merge_terms(cat["name_terms"], search.build_terms(names).withColumn("n", -F.col("n")))
     fewer = disk_counts(leaving).select(F.col("disk_id").alias("id"), *[(-F.col(c)).alias(c) for c in COUNTS])
     changed["disks"] = _counted(cat.disks, fewer)
     return cat.replacing(**changed)

@@ -196,3 +196,18 @@ def test_numbers_over_many_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == list(range(1, 3001))
+
+
+def test_deletes_build_only_the_tables_that_are_asked_for(spark, load):
+    def never():
+        raise AssertionError("nobody asked for this table")
+
+    cat = load({"SF28": SF28, "BACKUP": BACKUP})
+    watched = cat.replacing(name_postings=never, name_terms=never, name_stats=never, text_postings=never, thumbnails=never)
+    disk = cat.disks.filter("name = 'BACKUP'").first()["id"]
+    left = ingest.drop_disks(watched, cat.disks.filter("name = 'BACKUP'").select("id"))
+    assert {r["disk_id"] for r in left.entries.collect()} == {r["id"] for r in cat.disks.collect()} - {disk}
+    clip = entry_id(cat, "/SF28/CLIP")
+    less = ingest.delete_subtrees(watched, spark.createDataFrame([(clip,)], "id bigint"))
+    assert less.entries.count() == cat.entries.count() - 3
+    assert ingest.drop_disks(cat, cat.disks.filter("name = 'BACKUP'").select("id")).name_postings.filter(F.col("disk_id") == disk).isEmpty()
