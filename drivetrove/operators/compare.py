@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from drivetrove.functions import paths
 from drivetrove.session import skew_join
@@ -80,8 +80,11 @@ def compare_summary(diff: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def diff_list(diff: DataFrame, status: str, limit: int = LIST_LIMIT) -> DataFrame:
     """The first rows of one status by path; ``truncated`` tells whether more exist."""
     rows = diff.filter(F.col("status") == status)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return rows.orderBy("rel_path", "src_entry_id").limit(limit).withColumn("truncated", total > limit)
+    # one row more than the page tells, so the comparison is run once; the windows see no more than that page
+    page = rows.orderBy("rel_path", "src_entry_id").limit(limit + 1)
+    placed = page.withColumn("_at", F.row_number().over(Window.orderBy("rel_path", "src_entry_id"))).withColumn(
+        "truncated", F.count(F.lit(1)).over(Window.partitionBy()) > limit)
+    return placed.filter(F.col("_at") <= limit).orderBy("rel_path", "src_entry_id").drop("_at")
 
 
 def missing_tree(diff: DataFrame, include_mismatch: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:

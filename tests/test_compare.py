@@ -116,3 +116,13 @@ def test_gather(spark, load):
     assert ("/Volumes/SF99/CLIP/C0001.MP4", "/dst/SF99/CLIP/C0001.MP4", None) in targets
     assert (None, None, "disk offline: SF28") in targets
     assert not gather.gather_plan(cat, spark.createDataFrame([], "id bigint"))[2].first()["expanded_folders"]
+
+
+def test_list_reads_the_comparison_once(spark):
+    diff = spark.createDataFrame([(f"p{i}", "mismatch", i) for i in range(5)], "rel_path string, status string, src_entry_id bigint")
+    for limit, cut in ((4, True), (5, False), (6, False)):
+        page = compare.diff_list(diff, "mismatch", limit)
+        assert [(r["rel_path"], r["truncated"]) for r in page.collect()] == [(f"p{i}", cut) for i in range(min(limit, 5))]
+        assert page.columns == [*diff.columns, "truncated"]
+        assert "subquery" not in page._jdf.queryExecution().optimizedPlan().toString()
+    assert compare.diff_list(diff, "extra", 3).isEmpty()
