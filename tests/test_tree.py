@@ -145,3 +145,31 @@ def test_hot_keys_are_found_by_hash_first(spark):
         assert "_bucket" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_leaves_and_holders_of_any_depth(spark):
+    deep = [(i, i - 1 if i else None, f"f{i}", True) for i in range(12)]
+    nodes = spark.createDataFrame([*deep, (50, 11, "leaf", True), (51, 50, "file", False), (60, 99, "lost", True), (61, 60, "x", False), (70, 51, "odd", False)],
+                                  "id bigint, parent_id bigint, name string, is_folder boolean")
+    got = {r["id"]: (r["path"], r["ancestor_ids"]) for r in tree.with_paths(nodes).collect()}
+    start = "/" + "/".join(f"f{i}" for i in range(12))
+    assert got[51] == (f"{start}/leaf/file", [*range(12), 50])
+    assert got[70] == (f"{start}/leaf/file/odd", [*range(12), 50, 51])
+    assert got[60] == ("/lost", []) and got[61] == ("/lost/x", [60])
+
+
+def test_relative_index_moves_rows_before_it_counts(spark):
+    rows_ = [(i, 1, f"a/{i % 3}", f"/v/a/{i % 3}", False, i, f"h{i}", "md5") for i in range(9)]
+    entries = spark.createDataFrame(rows_, "id bigint, disk_id bigint, rel_path string, path string, is_folder boolean, size_logical bigint, content_hash string, hash_algo string")
+    index = tree.rel_index(entries)
+    assert rows(index, "rel_path", "entry_id", "size", "content_hash") == [("a/0", 6, 6, "h6"), ("a/1", 7, 7, "h7"), ("a/2", 8, 8, "h8")]
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_max") < plan.index("Exchange")  # counted above the only shuffle
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_disks_and_transcripts_need_no_closed_trees(spark):
+    from drivetrove.plans.demo import demo_catalog, is_built
+    cat = demo_catalog(spark, "/root/testdata/sf0.001/")
+    assert cat.disks.count() == 25 and not cat["text_postings"].isEmpty()
+    assert not any(is_built(cat, name) for name in ("entries", "planned_entries", "nodes"))
