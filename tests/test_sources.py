@@ -49,6 +49,10 @@ def test_light(spark):
     phases = {r["t"]: r["p"] for r in times.collect()}
     assert phases[43200] == "day" and phases[0] == "night" and any("sunset" in p for p in phases.values())
     assert values(spark, lambda c: solar.light_phase(c, F.lit(0.0), F.lit(0)), [95.0], "double") == [None]
+    # the sun is worked out once where a phase is read, and once more where phases are filtered
+    plan = enrich.light_histogram(enrich.with_light(spark.range(3).selectExpr(
+        "id / 2 AS gps_lat", "id / 3 AS gps_lon", "id AS captured_at", "id AS size_logical")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.upper().count("ATAN2") <= 2
 
 
 def test_probes(spark):
