@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -27,6 +28,7 @@ BETWEEN = "*.-_~'`,"
 SYMBOLS = 28  # 0: outside words, 1-26: letters, 27: any other letter
 _CODE = bytes(27 if c >= 128 else c - 96 if 97 <= c <= 122 else 0 for c in range(256))
 _ENDS = ".,;:?!\"'()[]{}<>«»&*%#|-_~`/\\"
+_MARKS = "\"'()[]{}.,;:?&*%#|<>"  # of these, such as look like no letter
 _TWICE = re.compile(r"(.)\1", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
 SWAP, DROP_MARK, DROP_SIGN, DROP_REPEAT = -1.5, -1.0, -6.0, -1.0
@@ -73,29 +75,40 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
+@cache
+def _ways(c: str, again: bool) -> tuple[tuple[str, int, float], ...]:
+    """What a character may stand for, the letter's symbol and the cost; ``again``: it stands after itself."""
+    if c.isalpha():
+        said, drop = [(c, 0.0)], DROP_REPEAT if again else None
+    else:
+        said = [(x, SWAP) for x in LOOKS_LIKE.get(c, "")]
+        drop = DROP_MARK if c in BETWEEN else DROP_REPEAT if again else DROP_SIGN
+    return (*((x, symbol(x), cost) for x, cost in said), *([("", 0, drop)] if drop is not None else []))
+
+
 def viterbi(word: str, model) -> str:
     """Most likely reading of a lower-case word: letters only."""
     # What was said is linked back, so that time and memory stay in proportion to the word's length.
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for c in word:
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, 0.0))
-            if c == last:
-                options.append(("", DROP_REPEAT))
-        else:
-            options += [(x, SWAP) for x in LOOKS_LIKE.get(c, "")]
-            options.append(("", DROP_MARK if c in BETWEEN else DROP_REPEAT if c == last else DROP_SIGN))
+        options = _ways(c, c == last)
+        if len(options) == 1 and options[0][0]:  # one reading: states only meet where their last letters do
+            x, s, cost = options[0]
+            if len(states) == 1:
+                [((a, b), (score, said))] = states.items()
+                states, last = {(b, s): (score + cost + model[a][b][s], (said, x))}, c
+                continue
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, said) in states.items():
-            for x, cost in options:
+            row = model[a][b]
+            for x, s, cost in options:
                 if x:
-                    s = symbol(x)
-                    key, value = (b, s), score + cost + model[a][b][s]
+                    key, value = (b, s), score + cost + row[s]
                 else:
                     key, value = (a, b), score + cost
-                if key not in new or value > new[key][0]:
+                best = new.get(key)
+                if best is None or value > best[0]:
                     new[key] = (value, (said, x) if x else said)
         states, last = new, c
     said = max(((score + model[a][b][0], said) for (a, b), (score, said) in states.items()), key=lambda v: v[0])[1]
@@ -108,7 +121,7 @@ def viterbi(word: str, model) -> str:
 
 #: Readings that a worker has decoded, by model and common words, for its later tasks and passes; one model at a time.
 _decoded: dict[str, dict[str, tuple[str, ...]]] = {}
-DECODED_MOST, DECODED_LENGTH = 100_000, 64
+DECODED_MOST, DECODED_LENGTH = 200_000, 64
 
 
 def _decoded_by(model: np.ndarray, common: Mapping[str, int]) -> dict[str, tuple[str, ...]]:
@@ -135,7 +148,11 @@ class Words(dict):
         return value
 
     def restored(self, raw: str) -> tuple[str, ...]:
-        if len(raw) > DECODED_LENGTH or raw.isalpha() and not _TWICE.search(raw):
+        if (bare := raw.strip(_ENDS)).isalpha() and raw.strip(_MARKS) == bare and not _TWICE.search(bare):
+            return (bare,)  # nothing to restore
+        if not _LETTERS.search(bare):
+            return ()
+        if len(raw) > DECODED_LENGTH:
             return restored_word(raw, self.model, self.common)
         if raw not in self.decoded:
             if len(self.decoded) >= DECODED_MOST:
@@ -152,7 +169,7 @@ def restored_word(raw: str, model, common: Mapping[str, float] = {}) -> tuple[st
     if not plain or bare == raw and raw.isalpha() and not _TWICE.search(raw):
         return plain
     reads = []
-    for written in dict.fromkeys((raw.strip("\"'()[]{}.,;:?&*%#|<>"), bare)):
+    for written in dict.fromkeys((raw.strip(_MARKS), bare)):
         if not written.isalpha() or _TWICE.search(written):
             read = viterbi(written, model)
             if read and (read,) != plain and read not in reads and not (written in common and common[written] >= common.get(read, -np.inf)):
@@ -201,16 +218,14 @@ def cut(run: str, known: Words) -> list[str]:
 
 def spaced(words: list[str]) -> list[str]:
     """Words spelt with single characters, four or more in a row, put together; a run of one and the same is no spelling."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    short = sizes == 1
-    if np.count_nonzero(short) < 4:
+    short = [i for i, w in enumerate(words) if len(w) == 1]
+    if len(short) < 4:
         return []
-    out, at = [], 0
-    for one, run in groupby(short.tolist()):
-        n = len(list(run))
-        if one and 4 <= n and len(set(words[at:at + n])) > 2:
-            out.append("".join(words[at:at + n]))
-        at += n
+    out = []
+    for _, run in groupby(enumerate(short), lambda at: at[1] - at[0]):
+        own = [words[i] for _, i in run]
+        if len(own) >= 4 and len(set(own)) > 2:
+            out.append("".join(own))
     return out
 
 
@@ -220,7 +235,7 @@ def features(words: tuple[str, ...]) -> tuple[int, ...]:
 
 def text_features(text: str, known: Words) -> set:
     words = text.lower().split()
-    found = set().union(*set(map(known.__getitem__, words)))
+    found = set().union(*filter(None, map(known.__getitem__, set(words))))
     for whole in spaced(words):
         if _LETTERS.search(whole):
             found |= set(known.of(tuple(cut(whole, known))))
@@ -245,7 +260,7 @@ def common_words(docs: DataFrame, most: int = 20_000) -> dict[str, int]:
     def run(batches):
         for batch in batches:
             for part in small_batches(batch, "text"):
-                held = [set(filter(str.isalpha, (x.strip(_ENDS) for x in t.lower().split()))) for t in texts(part.column("text"))]
+                held = [set(filter(str.isalpha, (x.strip(_ENDS) for x in set(t.lower().split())))) for t in texts(part.column("text"))]
                 copies = np.repeat(np.asarray(part.column("copies")), [len(h) for h in held])
                 yield pa.RecordBatch.from_arrays([pa.array([w for h in held for w in h], pa.string()), pa.array(copies, pa.int64())], ["word", "copies"])
 

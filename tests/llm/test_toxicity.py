@@ -163,3 +163,16 @@ def test_words_are_decoded_once_a_worker(model, monkeypatch):
     module.Words(model, tuple, {"idiot": 1})["1d10t"]
     module.Words(model + 1, tuple, common)["1d10t"]
     assert seen == ["1d10t"] * 3
+
+
+def test_plain_words_are_not_kept_as_decoded(model, monkeypatch):
+    from drivetrove.llm import toxicity as module
+    monkeypatch.setattr(module, "_decoded", {})
+    known = module.Words(model, tuple, {"idiot": 9})
+    written = ["world,", "(world)", "12.50", "--", "world", "1d10t", "idiot!"]
+    assert [known[w] for w in written] == [restored_word(w, known.model, known.common) for w in written]
+    assert set(known.decoded) == {"1d10t", "idiot!"}
+    # readings are looked up once for a word of a text, however often it stands there
+    asked = []
+    monkeypatch.setattr(module.Words, "__getitem__", lambda self, w: asked.append(w) or ("x",), raising=False)
+    assert module.text_features("b a b a b", known) == {"x"} and sorted(asked) == ["a", "b"]
