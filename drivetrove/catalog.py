@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drivetrove.schema import TABLES, conform
+from drivetrove.session import shuffles_removed
 
 #: Large tables are stored by disk, so a rescan rewrites one folder and disk filters prune the rest.
 PARTITIONED = {"entries": "disk_id", "name_postings": "disk_id", "text_postings": "disk_id"}
@@ -202,7 +203,8 @@ def write_table(df: DataFrame, name: str, path: str, mode: str = "overwrite", ra
     writer = df.write.mode(mode).option("compression", "zstd")
     if name in PARTITIONED:
         writer = writer.partitionBy(PARTITIONED[name])
-    writer.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        writer.parquet(path)
 
 
 def load_catalog(spark: SparkSession, root: str) -> Catalog:

@@ -36,29 +36,39 @@ def epoch(ts: str) -> Column:
 _EXT = {"ECONOMY": "JPG", "STANDARD": "mp4", "PROMO": "MOV", "SMALL": "wav", "MEDIUM": "zip"}
 
 
-def _line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per (order, line number), with what its folders and part say about it.
+def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the nation of their customer, read for the folders and for the files in them."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderdate")
+    return orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+
+
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (order, line number), with what its folders and part say about it.
 
-    Lines move once, to their order, where they are counted and joined; an order has a few lines only. The joins fan a hot customer or
-    part out through adaptive skew handling.
+    Lines move to their order, where they are counted and meet it with its customer, and once more to their part; an order has a few lines
+    only. The joins fan a hot customer or part out through adaptive skew handling.
     """
     lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("p_partkey"), F.max("l_quantity").cast("bigint").alias("qty"),
         F.min("l_shipdate").alias("shipped"))
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderpriority")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return lines.join(_placed_orders(spark, sf_dir), "l_orderkey").join(parts, "p_partkey").select(
+        "l_orderkey", "l_linenumber", "c_custkey", "c_nationkey", "p_name", "p_brand", "p_type", "qty",
+        epoch("shipped").alias("shipped"), epoch("o_orderdate").alias("ordered"))
+
+
+def _as_files(lines: DataFrame) -> DataFrame:
     suffix = F.lit("pdf")
     for kind, ext in _EXT.items():
         suffix = F.when(F.col("p_type") == kind, ext).otherwise(suffix)
-    return lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(parts, "p_partkey").select(
+    return lines.select(
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4 + 3).alias("id"),
         (F.col("c_nationkey") + 1).cast("bigint").alias("disk_id"),
         (F.col("l_orderkey") * 4 + 2).alias("parent_id"),
         F.concat("p_name", F.lit(" "), "p_brand", F.lit("."), suffix).alias("name"),
-        F.lower(suffix).alias("kind"), "qty", epoch("shipped").alias("shipped"), epoch("o_orderdate").alias("ordered"),
-        "l_orderkey", "l_linenumber", "c_custkey", "c_nationkey", "p_brand", "o_orderpriority")
+        F.lower(suffix).alias("kind"), "qty", "shipped", "ordered",
+        "l_orderkey", "l_linenumber", "c_custkey", "c_nationkey", "p_brand")
 
 
 def _lat() -> Column:
@@ -73,13 +83,25 @@ def _captured() -> Column:
     return F.col("shipped") + (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 24 * 3600 + 1800
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nodes of all disks are made from, without any column that others tell; ``level`` counts from nations, 0, to lines, 3."""
+    files = _line_rows(spark, sf_dir)
+    orders = _placed_orders(spark, sf_dir).select("l_orderkey", "c_custkey", "c_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("folder_name"))
+    volumes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("folder_name"))
+    everything = files.withColumn("level", F.lit(3))
+    for level, part in ((2, orders), (1, customers), (0, volumes)):
+        everything = everything.unionByName(part.withColumn("level", F.lit(level)), allowMissingColumns=True)
+    return everything
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
     """Adjacency list of all disks, with the keys that the backup variant needs."""
     clip = F.col("kind").isin("mp4", "mov")
     digest = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 10 != 2,
                     F.md5(F.concat("name", F.lit(":"), F.col("qty").cast("string"))))
     modified = F.when(F.col("l_orderkey") % 17 != 0, F.col("shipped"))
-    files = _line_files(spark, sf_dir).select(
+    files = _as_files(rows.filter("level = 3")).select(
         "id", "disk_id", "parent_id", "name", F.lit(False).alias("is_folder"),
         (F.col("qty") * MIB).alias("size_logical"), (F.col("qty") * MIB + 4096).alias("size_physical"),
         F.col("ordered").alias("created_at"), modified.alias("modified_at"), tx.extension(F.col("name")).alias("ext"),
@@ -90,18 +112,16 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(clip, _captured()).alias("captured_at"),
         F.when(clip & (F.col("l_orderkey") % 2 == 0), F.concat(F.lit("Make "), "p_brand")).alias("camera_make"),
         "c_custkey", F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(
-        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select(
-        (F.col("o_orderkey") * 4 + 2).alias("id"), (F.col("c_nationkey") + 1).cast("bigint").alias("disk_id"),
-        (F.col("c_custkey") * 4 + 1).alias("parent_id"), F.concat(F.lit("Order#"), "o_orderkey").alias("name"),
-        F.lit(True).alias("is_folder"), "c_custkey", "o_orderkey")
-    customers = table(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") * 4 + 1).alias("id"), (F.col("c_nationkey") + 1).cast("bigint").alias("disk_id"),
-        (F.col("c_nationkey").cast("bigint") * 4).alias("parent_id"), F.col("c_name").alias("name"),
-        F.lit(True).alias("is_folder"), "c_custkey")
-    volumes = table(spark, sf_dir, "nation").select(
-        (F.col("n_nationkey").cast("bigint") * 4).alias("id"), (F.col("n_nationkey") + 1).cast("bigint").alias("disk_id"),
-        F.lit(None).cast("bigint").alias("parent_id"), F.col("n_name").alias("name"), F.lit(True).alias("is_folder"))
+    disk = (F.col("c_nationkey") + 1).cast("bigint").alias("disk_id")
+    orders = rows.filter("level = 2").select(
+        (F.col("l_orderkey") * 4 + 2).alias("id"), disk, (F.col("c_custkey") * 4 + 1).alias("parent_id"),
+        F.concat(F.lit("Order#"), "l_orderkey").alias("name"), F.lit(True).alias("is_folder"), "c_custkey", F.col("l_orderkey").alias("o_orderkey"))
+    customers = rows.filter("level = 1").select(
+        (F.col("c_custkey") * 4 + 1).alias("id"), disk, (F.col("c_nationkey").cast("bigint") * 4).alias("parent_id"),
+        F.col("folder_name").alias("name"), F.lit(True).alias("is_folder"), "c_custkey")
+    volumes = rows.filter("level = 0").select(
+        (F.col("c_nationkey").cast("bigint") * 4).alias("id"), disk, F.lit(None).cast("bigint").alias("parent_id"),
+        F.col("folder_name").alias("name"), F.lit(True).alias("is_folder"))
     everything = files
     for part in (orders, customers, volumes):
         everything = everything.unionByName(part, allowMissingColumns=True)
@@ -157,7 +177,7 @@ def _disks(spark: SparkSession, sf_dir: str, entries: DataFrame) -> DataFrame:
     return conform(rows.join(disk_counts(entries), "disk_id").withColumnRenamed("disk_id", "id"), "disks")
 
 
-def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def probes(lines: DataFrame) -> DataFrame:
     """Probe output of every clip as JSON text ``(entry_id, json)``."""
     def coordinate(value: Column) -> Column:
         tenths = F.round(value * 10).cast("bigint")
@@ -173,7 +193,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spot = F.concat(coordinate(_lat()), coordinate(_lon()), F.lit("+010.0/"))
     taken = F.date_format(F.timestamp_seconds(_captured()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    clips = _line_files(spark, sf_dir).filter(F.col("kind").isin("mp4", "mov"))
+    clips = _as_files(lines).filter(F.col("kind").isin("mp4", "mov"))
     in_container = F.col("l_orderkey") % 3 != 0
     return clips.select(F.col("id").alias("entry_id"), F.to_json(F.struct(
         F.struct(
@@ -286,7 +306,8 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     cat = Catalog(spark, {})
     # what needs no paths and no sizes of folders is read before the trees are closed
-    plain = lambda: cat["nodes"] if is_built(cat, "nodes") else _nodes(spark, sf_dir)
+    plain = lambda: cat["nodes"] if is_built(cat, "nodes") else _nodes(_node_rows(spark, sf_dir))
+    lines = lambda: cat["node_rows"].filter("level = 3") if is_built(cat, "node_rows") else _line_rows(spark, sf_dir)
     disk_of = lambda: plain().select(F.col("id").alias("entry_id"), "disk_id")
     docs = lambda: search.name_documents(cat["nodes"])
     shot = lambda: once(cat, "entries").filter(F.col("ext").isin("mp4", "mov"))
@@ -294,7 +315,8 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def tags() -> DataFrame:
         both = F.array(tx.normal_tag(F.col("p_brand")), tx.normal_tag(F.col("o_orderpriority")))
-        return _line_files(spark, sf_dir).select(F.col("id").alias("entry_id"), F.explode(both).alias("tag"))
+        urgency = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+        return _as_files(lines()).join(urgency, "l_orderkey").select(F.col("id").alias("entry_id"), F.explode(both).alias("tag"))
 
     def members() -> DataFrame:
         zips = plain().filter("ext = 'zip'").filter(n % 4 != 1).select(
@@ -311,7 +333,9 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             "pos_ms", F.floor(F.col("t") * 1000)), "video_frames")
 
     cat._tables.update({
-        "nodes": stored("nodes", lambda: _nodes(spark, sf_dir)),
+        # stored are the keys and what can't be told from them; a reader works out the columns that it asks for
+        "node_rows": stored("node_rows", lambda: _node_rows(spark, sf_dir)),
+        "nodes": functools.cache(lambda: _nodes(cat["node_rows"])),
         "planned_entries": functools.cache(lambda: _entries(cat["nodes"])),
         "planned_backup": functools.cache(lambda: _backup(cat["nodes"])),
         "entries": stored("entries", lambda: cat["planned_entries"], ranged=False),
@@ -321,7 +345,7 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "thumbnails": lambda: conform(
             plain().filter(F.col("ext").isin("jpg", "mp4", "mov")).filter(n % 3 != 0).select(
                 F.col("id").alias("entry_id"), F.lit(320).alias("w"), F.lit(180).alias("h")), "thumbnails"),
-        "probes": stored("probes", lambda: probes(spark, sf_dir)),
+        "probes": stored("probes", lambda: probes(lines())),
         "video_meta": stored("video_meta", lambda: conform(probe_video_meta(
             cat["probes"].filter(F.floor(F.col("entry_id") / 4) % 4 != 0)), "video_meta")),
         "video_frames": frames,

@@ -434,8 +434,7 @@ _COVER_SQL = """, sel AS (SELECT pair, rel_path, CASE WHEN len(p) > 1 THEN p[1]
 
 
 def _missing(cat: Catalog) -> DataFrame:
-    """Missing paths, stored as several steps read them."""
-    return materialize(_diff(cat, "fast").filter("status = 'missing'"), "missing")
+    return _diff(cat, "fast").filter("status = 'missing'")
 
 
 def _cover(lost: DataFrame) -> DataFrame:
@@ -450,7 +449,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 @query("selection_totals", _TREE_SQL.format(test="fast = 'missing'") + _COVER_SQL + """SELECT pair, CAST(sum(files) AS BIGINT) AS files,
     CAST(sum(bytes) AS BIGINT) AS bytes FROM missing_tree JOIN cover USING (pair, rel_path) GROUP BY pair""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    lost = _missing(cat)
+    lost = materialize(_missing(cat), "missing")  # several steps read it
     return tree.selection_totals(compare.missing_tree(lost, keys=("pair",)), _cover(lost), ("pair",))
 
 

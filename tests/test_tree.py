@@ -4,7 +4,7 @@ from conftest import BACKUP, SF28, entry_id, rows
 from pyspark.sql import functions as F
 
 from drivetrove.operators import compare, tree
-from drivetrove.session import skew_join
+from drivetrove.session import materialize, skew_join
 
 
 def test_paths_sizes_and_totals(load):
@@ -173,3 +173,37 @@ def test_disks_and_transcripts_need_no_closed_trees(spark):
     cat = demo_catalog(spark, "/root/testdata/sf0.001/")
     assert cat.disks.count() == 25 and not cat["text_postings"].isEmpty()
     assert not any(is_built(cat, name) for name in ("entries", "planned_entries", "nodes"))
+
+
+def test_rows_move_once_to_their_chains(spark):
+    nodes = spark.createDataFrame([(1, None, "v", True, 0), (2, 1, "a", True, 0), (3, 2, "x", False, 5), (4, 3, "odd", False, 7)],
+                                  "id bigint, parent_id bigint, name string, is_folder boolean, size_logical bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        closed = tree.with_paths_and_sizes(nodes.withColumn("size_physical", F.col("size_logical")))
+        plan = closed._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "_bucket" not in plan  # parents were counted before, so no pass looks for hot ones
+    assert rows(closed, "id", "path", "rel_path", "size_logical") == [
+        (1, "/v", None, 12), (2, "/v/a", "a", 12), (3, "/v/a/x", "a/x", 5), (4, "/v/a/x/odd", "a/x/odd", 7)]
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size())}
+
+    before = files()
+    step = materialize(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    assert not [name for name in files() - before if name.startswith("shuffle_")]
+    assert step.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_cover_reads_its_paths_once(spark):
+    paths = spark.createDataFrame([(1, "a"), (1, "a/b"), (1, "c/d"), (2, "a/b"), (2, "a/b"), (3, ""), (3, "x")], "k int, path string")
+    cover = tree.minimal_cover(paths, ("k",))
+    assert rows(cover, "k", "path") == [(1, "a"), (1, "c/d"), (2, "a/b"), (3, "")]
+    plan = cover._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan  # only stored steps are read
