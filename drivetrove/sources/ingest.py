@@ -280,6 +280,7 @@ def register_copied(cat: Catalog, copied: DataFrame) -> tuple[Catalog, DataFrame
     indexed. Idempotent; also returns the inserted files. Only new nodes get chains, from the nearest folder that exists; folders
     above take the changes of size that reach them through stored ancestors, and disks those of their counts.
     """
+    copied = materialize(copied.select("disk_id", "rel_path", "size", "is_folder"), "asked")  # a comparison as a rule, read three times
     folders = copied.select("disk_id", F.explode(paths.prefixes(F.col("rel_path"))).alias("rel_path")).unionByName(
         copied.filter("is_folder").select("disk_id", "rel_path")).filter("rel_path <> ''").distinct()
     wanted = materialize(

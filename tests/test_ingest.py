@@ -211,3 +211,17 @@ def test_deletes_build_only_the_tables_that_are_asked_for(spark, load):
     less = ingest.delete_subtrees(watched, spark.createDataFrame([(clip,)], "id bigint"))
     assert less.entries.count() == cat.entries.count() - 3
     assert ingest.drop_disks(cat, cat.disks.filter("name = 'BACKUP'").select("id")).name_postings.filter(F.col("disk_id") == disk).isEmpty()
+
+
+def test_copied_items_are_read_once(spark, load):
+    cat = load({"BACKUP": BACKUP})
+    read = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            read.add(batch.num_rows)
+            yield batch
+
+    items = spark.createDataFrame([(1, "CLIP/new.mov", 5, False)], "disk_id long, rel_path string, size long, is_folder boolean")
+    after, inserted = ingest.register_copied(cat, items.mapInArrow(count, items.schema))
+    assert rows(inserted, "rel_path", "size_logical") == [("CLIP/new.mov", 5)] and read.value == 1
