@@ -28,9 +28,9 @@ MIN_IDF = 1e-6
 def build_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Inverted index of ``docs(entry_id, disk_id, text)``: one row per word and entry.
 
-    Repeated words collapse before the shuffle, which then moves rows of the final size only.
+    Texts move to their entry, so words are counted where they are read; they would be several times the text.
     """
-    split = docs.select("entry_id", "disk_id", tx.tokens(F.col(text_col)).alias("w"))
+    split = docs.select("entry_id", "disk_id", text_col).repartition("entry_id").select("entry_id", "disk_id", tx.tokens(F.col(text_col)).alias("w"))
     return (
         split.select("entry_id", "disk_id", F.size("w").alias("doc_len"), F.explode("w").alias("token"))
         .groupBy("token", "entry_id", "disk_id", "doc_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))

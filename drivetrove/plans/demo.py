@@ -359,10 +359,11 @@ def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         "gazetteer": lambda: gazetteer(spark, sf_dir),
         "clips": shot,
         "name_postings": stored("name_postings", lambda: conform(
-            search.name_postings(docs()), "name_postings")),
+            search.name_postings(docs()), "name_postings"), ranged=False),
         "name_terms": stored("name_terms", lambda: conform(search.build_terms(docs()), "name_terms")),
         "name_stats": stored("name_stats", lambda: search.index_stats(docs())),
-        "text_postings": stored("text_postings", lambda: conform(search.build_postings(cat["spoken"]), "text_postings")),
+        "text_postings": stored("text_postings", lambda: conform(
+            search.build_postings(cat["spoken"]), "text_postings"), ranged=False),
         "text_stats": stored("text_stats", lambda: search.index_stats(cat["spoken"])),
     })
     _open[key] = cat

@@ -940,7 +940,7 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 @query("name_search", _RED + _page_sql(_SCORED, "score, id", 1000))
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    return _scored(search.search_names(cat, "Red w"))
+    return _scored(search.search_names(cat.replacing(entries=once(cat, "entries")), "Red w"))
 
 
 @query("name_search_suffix", oracle.bm25(_NAME_DOCS, [("mov", True)]) + _page_sql(_SCORED, "score, id", 50))

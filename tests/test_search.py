@@ -270,3 +270,19 @@ def test_saved_search_totals_by_size_bounds(spark, load):
     assert rows(found, "search_id", "n", "bytes", "ids") == rows(expected, "search_id", "n", "bytes", "ids") != []
     assert found.columns == ["search_id", "n", "bytes", "ids"]
     assert saved_search.total_saved_searches(cat, specs.limit(0), n=F.lit(1)).isEmpty()
+
+
+def test_texts_move_instead_of_their_words(spark):
+    docs = spark.createDataFrame([(1, 1, "a b a"), (2, 1, "b"), (2, 1, "b"), (3, 2, None)], "entry_id long, disk_id long, text string")
+    index = search.build_postings(docs)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, index.collect())) == [("a", 1, 1, 2, 3), ("b", 1, 1, 1, 3), ("b", 2, 1, 2, 1)]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_names_are_searched_without_storing_entries(spark):
+    from drivetrove.plans.demo import demo_catalog, is_built
+    from drivetrove.plans.queries import QUERIES
+    sf_dir = "/root/testdata//sf0.001"
+    assert QUERIES["name_search"](spark, sf_dir).count() > 0
+    assert not is_built(demo_catalog(spark, sf_dir), "entries")
