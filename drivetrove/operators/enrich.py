@@ -43,7 +43,8 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, cell: float | None =
     left = materialize(_unit_vector(points.select("lat", "lon").filter(on_globe).distinct()), "points")
     places = materialize(_unit_vector(gazetteer.filter(on_globe)), "places")
     shifts = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    solved, side = None, cell or _first_side(places.count())
+    known = places.count()
+    solved, side = None, cell or _first_side(known)
     while True:
         spread = places.select("place_id", "place", "_x", "_y", "_z", F.explode(F.array(*[
             F.struct(*_cell(side, s)) for s in shifts])).alias("_c")).select(
@@ -51,17 +52,16 @@ def nearest_place(points: DataFrame, gazetteer: DataFrame, cell: float | None =
                 F.col("_z").alias("_pz"), "_c.*")
         square = sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
                      for a, b in (("_x", "_px"), ("_y", "_py"), ("_z", "_pz")))
-        best = skew_join(left.select("*", *_cell(side)), spread, _CELL, "inner",
-                         spread=F.struct("lat", "lon")).withColumn("_d", square).groupBy("lat", "lon").agg(
-            F.min(F.struct("_d", "place_id", "place")).alias("b"))
-        if side < 2.0:
-            best = best.filter(F.col("b._d") <= side * side)
-        found = materialize(best.select("lat", "lon", F.col("b.place_id").alias("place_id"),
-                                        F.col("b.place").alias("place")), "nearest")
+        # points without an answer stay in the result, so they need not be looked for again
+        tried = materialize(skew_join(left.select("*", *_cell(side)), spread, _CELL, "left", spread=F.struct("lat", "lon"), rows=known * len(shifts))
+                            .withColumn("_d", square).groupBy("lat", "lon", "_x", "_y", "_z").agg(
+                                F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "place_id", "place"))).alias("b")), "nearest")
+        near = F.coalesce(F.col("b._d") <= side * side, F.lit(False)) if side < 2.0 else F.col("b").isNotNull()
+        found = tried.filter(near).select("lat", "lon", F.col("b.place_id").alias("place_id"), F.col("b.place").alias("place"))
         solved = found if solved is None else solved.unionByName(found)
         if side >= 2.0:
             return solved
-        left = materialize(left.join(found, ["lat", "lon"], "left_anti"), "points")
+        left = tried.filter(~near).drop("b")
         if left.isEmpty():
             return solved
         side = min(side * COARSENING, 2.0)
@@ -88,7 +88,8 @@ def enrich_location(entries: DataFrame, probes: DataFrame, gazetteer: DataFrame)
     from drivetrove.sources.probes import probe_location_meta
 
     clips = location_candidates(entries).select("id")
-    meta = probe_location_meta(probes.withColumnRenamed("entry_id", "id").join(clips, "id", "left_semi"))
+    # stored, as places are looked up for their points before rows pick them up
+    meta = materialize(probe_location_meta(probes.withColumnRenamed("entry_id", "id").join(clips, "id", "left_semi")), "located")
     return with_light(with_place(meta, gazetteer))
 
 

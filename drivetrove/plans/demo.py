@@ -22,6 +22,9 @@ from drivetrove.sources.probes import probe_video_meta
 MODEL = "clip"
 MIB = 1024 * 1024
 
+#: Bytes of rows that a byte of a stored table is taken for.
+FILE_FACTOR = 16.0
+
 _open: dict[tuple[str, str], Catalog] = {}
 
 
@@ -290,6 +293,8 @@ def once(cat: Catalog, name: str) -> DataFrame:
 def demo_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The catalogue over one folder of test tables, built once per session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # compressed columns with few values are far smaller than their rows; taken for their size, tables of millions of rows would be broadcast
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", str(FILE_FACTOR))
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _open:
         return _open[key]

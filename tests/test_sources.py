@@ -290,3 +290,20 @@ def test_postings_stay_where_they_are(spark, tmp_path, monkeypatch):
     assert {(r["token"], r["entry_id"], r["disk_id"], r["tf"]) for r in few.collect()} == want and few.count() == 4
     monkeypatch.setattr("drivetrove.streaming.sinks.FEW_AGAIN", 0)
     assert sorted(read_index(spark, root)[0].collect()) == sorted(few.collect())
+
+
+def test_places_of_many_points_are_not_broadcast(spark):
+    from drivetrove.operators import enrich
+    from drivetrove.session import skew_join
+    left, right = spark.range(50).withColumn("k", F.col("id") % 5), spark.range(5).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        joined = skew_join(left, right, "k", "left", spread=F.col("id"), rows=10)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    points = spark.createDataFrame([(10.0, 10.0), (10.0, 10.0), (-80.0, 170.0), (95.0, 0.0)], "lat double, lon double")
+    places = spark.createDataFrame([(2, 10.1, 10.0, "b"), (1, 10.1, 10.0, "a"), (3, 50.0, 0.0, "far")], "place_id long, lat double, lon double, place string")
+    assert rows(enrich.nearest_place(points, places, cell=0.01), "lat", "lon", "place_id", "place") == [(-80.0, 170.0, 1, "a"), (10.0, 10.0, 1, "a")]
+    assert enrich.nearest_place(points, places.limit(0)).count() == 0
