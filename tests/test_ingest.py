@@ -225,3 +225,11 @@ def test_copied_items_are_read_once(spark, load):
     items = spark.createDataFrame([(1, "CLIP/new.mov", 5, False)], "disk_id long, rel_path string, size long, is_folder boolean")
     after, inserted = ingest.register_copied(cat, items.mapInArrow(count, items.schema))
     assert rows(inserted, "rel_path", "size_logical") == [("CLIP/new.mov", 5)] and read.value == 1
+
+
+def test_numbered_disks_are_stored(spark, nodes):
+    trees = nodes({"A": SF28, "B": BACKUP})
+    disks = trees.select(F.col("disk_name").alias("name")).distinct()
+    numbered, placed = ingest.number_trees(trees, disks, 1, 1)
+    assert numbered.step_path and rows(numbered, "name", "disk_id", "base") == [("A", 1, 1), ("B", 2, 5)]
+    assert "BroadcastHashJoin" in placed._jdf.queryExecution().executedPlan().toString()
