@@ -178,8 +178,8 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
     """Order folders whose number is a multiple of three did not change; the rest is listed again."""
     order = F.regexp_extract("name", r"^Order#(\d+)$", 1).try_cast("bigint")
     stamp = F.when(F.col("is_folder"), F.when(order % 3 == 0, F.lit(1).cast("bigint"))).otherwise(F.col("modified_at"))
-    fresh = cat.backup.withColumn("disk_id", F.col("disk_id") - BACKUP_DISK).withColumn("modified_at", stamp)
-    rows, _ = ingest.incremental_splice(cat.entries.withColumn("modified_at", stamp), fresh, ("disk_id",))
+    fresh = once(cat, "backup").withColumn("disk_id", F.col("disk_id") - BACKUP_DISK).withColumn("modified_at", stamp)
+    rows, _ = ingest.incremental_splice(once(cat, "entries").withColumn("modified_at", stamp), fresh, ("disk_id",))
     return rows.select("disk_id", "rel_path", "is_folder",
                        F.when(F.col("is_folder"), F.lit(0)).otherwise(F.col("size_logical")).cast("bigint").alias("size"))
 
@@ -530,9 +530,10 @@ def _(cat: Catalog, sf_dir: str) -> DataFrame:
 
 @query("within_prefixes", f"""SELECT id, rel_path FROM entries WHERE rel_path IS NOT NULL AND c_custkey IN {_SEG}""")
 def _(cat: Catalog, sf_dir: str) -> DataFrame:
-    chosen = cat.entries.join(_building(cat, sf_dir), "id", "left_semi").select(
+    entries = materialize(once(cat, "entries").select("id", "disk_id", "rel_path"), "paths")  # read several times
+    chosen = entries.join(_building(cat, sf_dir), "id", "left_semi").select(
         "disk_id", F.col("rel_path").alias("prefix"))
-    rows = cat.entries.filter("rel_path IS NOT NULL").select("id", "disk_id", "rel_path")
+    rows = entries.filter("rel_path IS NOT NULL")
     return compare.within_prefixes(rows, chosen, ("disk_id",)).select("id", "rel_path")
 
 

@@ -250,7 +250,8 @@ def incremental_splice(old: DataFrame, fresh: DataFrame, keys: tuple[str, ...] =
     """
     on = [*keys, "rel_path"]
     columns = [*on, "name", "is_folder", "size_logical", "size_physical", "created_at", "modified_at"]
-    old, fresh = old.select(columns), fresh.select(columns)
+    # both are read several times: stored are only the columns that count, with the folder that a row lies in
+    old, fresh = (materialize(rows.select(*columns, paths.parent(F.col("rel_path")).alias("_up")), name) for rows, name in ((old, "old"), (fresh, "listed")))
     known = old.filter("is_folder AND modified_at <> 0 AND rel_path IS NOT NULL AND rel_path <> ''").select(
         *on, F.col("modified_at").alias("_was"))
     steady = fresh.filter("is_folder AND modified_at <> 0").join(known, on).filter("modified_at = _was").select(*on)
@@ -262,7 +263,6 @@ def incremental_splice(old: DataFrame, fresh: DataFrame, keys: tuple[str, ...] =
 
     # Whether a row lies below a reused folder depends on its parent only: folders are expanded, not rows.
     def below(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.withColumn("_up", paths.parent(F.col("rel_path")))
         parents = rows.select(*keys, "_up").distinct().withColumn(
             "rel_path", F.explode(paths.prefixes(F.col("_up"), include_self=True)))
         covered = skew_join(parents, top, on, "left_semi", spread=F.col("_up")).select(*keys, "_up").distinct()
@@ -270,7 +270,7 @@ def incremental_splice(old: DataFrame, fresh: DataFrame, keys: tuple[str, ...] =
 
     named = F.col("rel_path").isNotNull()
     # roots have no relative path and always come from the listing
-    kept = below(fresh.filter(named), "left_anti").unionByName(fresh.filter(~named))
+    kept = below(fresh.filter(named), "left_anti").unionByName(fresh.filter(~named).select(columns))
     return kept.unionByName(below(old.filter(named), "left_semi")), top
 
 

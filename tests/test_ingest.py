@@ -233,3 +233,19 @@ def test_numbered_disks_are_stored(spark, nodes):
     numbered, placed = ingest.number_trees(trees, disks, 1, 1)
     assert numbered.step_path and rows(numbered, "name", "disk_id", "base") == [("A", 1, 1), ("B", 2, 5)]
     assert "BroadcastHashJoin" in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splice_reads_both_trees_once(spark):
+    schema = "rel_path string, name string, is_folder boolean, size_logical long, size_physical long, created_at long, modified_at long"
+    old = spark.createDataFrame([("A", "A", True, 0, 0, 0, 5), ("A/x", "x", False, 1, 1, 0, 7), ("B", "B", True, 0, 0, 0, 5)], schema)
+    new = spark.createDataFrame([(None, "V", True, 0, 0, 0, 0), ("A", "A", True, 0, 0, 0, 5), ("A/x", "x", False, 9, 9, 0, 7), ("B", "B", True, 0, 0, 0, 6)], schema)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    spliced, top = ingest.incremental_splice(old.mapInArrow(count, old.schema), new.mapInArrow(count, new.schema))
+    assert rows(spliced, "rel_path", "size_logical") == [("A", 0), ("A/x", 1), ("B", 0), (None, 0)]
+    assert rows(top, "rel_path") == [("A",)] and read.value == 7
